@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, pieces
+from . import media, pieces, quality, toxicity
 from .common import table
 
 
@@ -23,8 +23,16 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op1_media": op1_media, "op2_pieces": op2_pieces}
+    return {"op1_media": op1_media, "op2_pieces": op2_pieces, "op3_toxicity": op3_toxicity, "op6_quality": op6_quality}
 
 
 def oracles():
