@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: The token rule that several contracts name: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +33,8 @@ def shuffle_width(spark: SparkSession) -> int:
 def tokens_lower(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased, as UTF-8 (bytes.lower and bytes.split touch ASCII alone)."""
     return text.encode().lower().split() if text else []
+
+
+def plus(df: DataFrame, **columns: str) -> T.StructType:
+    """df's schema with further columns, given as DDL types."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import plus
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 GRID, KEPT = 32, 8
@@ -198,7 +200,4 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     df = df.drop(*names)
     kinds = ("long", "long", "long", "string", "binary", "string")
-    schema = df.schema
-    for name, kind in zip(names, kinds, strict=True):
-        schema = schema.add(name, kind)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, plus(df, **dict(zip(names, kinds, strict=True))))

@@ -28,6 +28,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import plus
+
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MEMO = 300_000
@@ -222,7 +224,6 @@ def prefix_table(model_file: str) -> PrefixTable:
 def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Adds the ids (array of int, end id last) and the text that they decode to; all other columns stay."""
     df = df.drop(ids_col, decoded_col)
-    schema = df.schema.add(ids_col, "array<int>").add(decoded_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model_file)
@@ -231,7 +232,7 @@ def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", ids_col
             extra = [pa.array(ids, pa.list_(pa.int32())), pa.array([table.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, ids_col, decoded_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, plus(df, **{ids_col: "array<int>", decoded_col: "string"}))
 
 
 def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plus
+
 BITS = 16
 FACTORS = 6
 BINS = 8
@@ -192,7 +194,7 @@ def with_scores(df: DataFrame, model: Model, score_col: str = "quality_score") -
             scores = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score_col])
 
-    return df.mapInArrow(run, df.schema.add(score_col, "double"))
+    return df.mapInArrow(run, plus(df, **{score_col: "double"}))
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, pieces, quality, toxicity
+from . import media, mixing, pieces, quality, toxicity, urls
 from .common import table
 
 
@@ -31,9 +31,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op1_media": op1_media, "op2_pieces": op2_pieces, "op3_toxicity": op3_toxicity, "op6_quality": op6_quality}
+    return {
+        "op1_media": op1_media,
+        "op2_pieces": op2_pieces,
+        "op3_toxicity": op3_toxicity,
+        "op6_quality": op6_quality,
+        "op7_mixing": op7_mixing,
+        "op10_urls": op10_urls,
+    }
 
 
 def oracles():
-    return {}
+    return {"op7_mixing": mixing.ORACLE}
