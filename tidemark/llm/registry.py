@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, pieces, quality, toxicity, urls
+from . import media, mixing, pieces, quality, rules, simhash, toxicity, urls
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +54,8 @@ def queries():
         "op3_toxicity": op3_toxicity,
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
+        "op8_simhash": op8_simhash,
+        "op9_rules": op9_rules,
         "op10_urls": op10_urls,
     }
 
