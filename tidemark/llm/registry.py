@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, pieces, quality, rules, simhash, toxicity, urls
+from . import media, mixing, pieces, quality, rules, simhash, suffixes, toxicity, urls
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries():
         "op1_media": op1_media,
         "op2_pieces": op2_pieces,
         "op3_toxicity": op3_toxicity,
+        "op4_suffixes": op4_suffixes,
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
