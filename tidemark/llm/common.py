@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,3 +40,9 @@ def tokens_lower(text: str | None) -> list[bytes]:
 def plus(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema with further columns, given as DDL types."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, as after a checkpoint."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, pieces, quality, rules, simhash, suffixes, toxicity, urls
+from . import lm, media, mixing, pieces, quality, rules, simhash, suffixes, toxicity, urls
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ def queries():
         "op2_pieces": op2_pieces,
         "op3_toxicity": op3_toxicity,
         "op4_suffixes": op4_suffixes,
+        "op5_lm": op5_lm,
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
