@@ -157,9 +157,9 @@ def _shard_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
         right.append(values[i + lag])
     for k in np.flatnonzero(sizes > 8):
         own = values[starts[k] : starts[k] + sizes[k]]
-        if links := np.array(forest(own, radius), np.int64):
-            left.append(own[links[:, 0]])
-            right.append(own[links[:, 1]])
+        found = np.array(forest(own, radius), np.int64).reshape(-1, 2)
+        left.append(own[found[:, 0]])
+        right.append(own[found[:, 1]])
     return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
 
 
