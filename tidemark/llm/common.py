@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The token rule that several contracts name: runs of anything but ASCII white space.
@@ -42,6 +43,11 @@ def plus(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])
 
 
+def boxed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that no name of theirs meets one of an operator's; `select("row.*")` opens it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, as after a checkpoint."""
     gc.collect()

@@ -3,7 +3,7 @@
 Targets: sources in code point order (null last) take the weights in turn and share a multiple of all
 sizes; none may exceed a multiple of its own size, and what is cut off goes to the others by weight.
 That is one water level L with target_i = min(cap_i, L w_i): sorted by cap_i / w_i the sources at their
-cap come first, so running sums over the sources find L.
+cap come first, so running sums over the sources find L: the highest level that its own source can hold.
 
 Sampling: within a source every document expects the same number of copies, target / size. Their prefix
 sum is the document's rank times that rate; with one random offset u for the source a document is emitted
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD
+from .common import WORD, boxed
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         t.withColumn("_caps", F.sum("_cap").over(upto) - F.col("_cap"))
         .withColumn("_left", F.sum("_w").over(everything) - F.sum("_w").over(upto) + F.col("_w"))
         .withColumn("_level", (F.sum("source_size").over(everything) * share - F.col("_caps")) / F.col("_left"))
-        .withColumn("_level", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything))
+        .withColumn("_level", F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything))
     )
     return t.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
@@ -55,51 +55,49 @@ def _offset(source: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 4294967296.0
 
 
-def with_copies(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: str = "mix|", size: Column | None = None) -> DataFrame:
-    """df with _size, _source_size, _target and _copies; every row and column stays.
+def with_copies(rows: DataFrame, seed: str = "mix|") -> DataFrame:
+    """doc_id, source, size and any further columns -> with source_size, target and copies; every row stays.
 
     One shuffle of the rows, by block of a source's size class; the tables of counts are tiny beside it.
     """
-    own = [c for c in df.columns if c not in ("_size", "_source_size", "_target", "_copies")]
+    own = rows.columns
     rows = (
-        df.select(*own)
-        .withColumn("_size", size if size is not None else word_count(F.col(text_col)))
-        .withColumn("_class", F.length(F.bin("_size")))
-        .withColumn("_block", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(BLOCKS)).cast("int"))
+        rows.withColumn("_class", F.length(F.bin("size")))
+        .withColumn("_block", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(BLOCKS)).cast("int"))
         # One key for the join and the window, so that one shuffle serves both; null sources have a key as well.
-        .withColumn("_key", F.concat_ws("|", F.col("_class"), F.col("_block"), F.hex(F.coalesce(F.col(source_col).cast("string"), F.lit("\u0001null")))))
+        .withColumn("_key", F.concat_ws("|", F.col("_class"), F.col("_block"), F.hex(F.coalesce(F.col("source"), F.lit("\u0001null")))))
     )
-    blocks = rows.groupBy("_key", F.col(source_col).cast("string").alias("source"), "_class", "_block").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
+    blocks = rows.groupBy("_key", "source", "_class", "_block").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
     classes = blocks.groupBy("source", "_class").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"))
     per_source = targets(classes.groupBy("source").agg(F.sum("_words").alias("source_size")))
     before = W.partitionBy("source").orderBy("_class").rowsBetween(W.unboundedPreceding, -1)
-    classes = classes.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    classes = classes.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = W.partitionBy("source", "_class").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         blocks.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(classes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
         .join(per_source.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")))
-        .select("_key", (F.col("_first") + F.col("_in")).alias("_start"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+        .select("_key", (F.col("_first") + F.col("_in")).alias("_start"), "source_size", "target")
     )
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    u = _offset(F.col(source_col).cast("string"), seed)
-    order = W.partitionBy("_key").orderBy("_size", F.col(id_col))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    u = _offset(F.col("source"), seed)
+    order = W.partitionBy("_key").orderBy("size", "doc_id")
     ranked = rows.withColumn("_rank", F.row_number().over(order)).join(starts, "_key").withColumn("_at", F.col("_start") + F.col("_rank"))
     copies = F.floor(F.col("_at") * rate + u) - F.floor((F.col("_at") - 1) * rate + u)
-    return ranked.withColumn("_copies", copies.cast("long")).select(*own, "_size", "_source_size", "_target", "_copies")
+    return ranked.select(*own, "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def mix(df: DataFrame, **kw) -> DataFrame:
-    """df with each row repeated as often as the mix takes it; the columns are df's own."""
-    got = with_copies(df, **kw)
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_copies") > 0, F.col("_copies").cast("int"))))).select(*df.columns)
+def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: str = "mix|") -> DataFrame:
+    """df with each row repeated as often as the mix takes it; the columns are df's own, whatever their names."""
+    rows = df.select(boxed(df), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    taken = with_copies(rows, seed).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("n"))
-    got = with_copies(thin, size=F.col("n"))
-    return got.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    return with_copies(thin).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 ORACLE = r"""
@@ -114,7 +112,7 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(cap) OVER q - cap)) / (sum(w) OVER () - sum(w) OVER q + w) AS lev FROM c
   WINDOW q AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce((SELECT min(lev) FROM l WHERE lev * w <= cap) * w, cap)) AS target FROM l
+  SELECT source, source_size, least(cap, coalesce((SELECT max(lev) FROM l WHERE lev * w <= cap) * w, cap)) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
