@@ -24,8 +24,7 @@ from tidemark.llm.registry import piece_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model, "_quality").filter(F.col("_quality") >= 0.3).select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

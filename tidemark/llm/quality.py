@@ -31,6 +31,7 @@ FACTORS = 6
 BINS = 8
 STATS = 12
 MAX_ROWS = 8000
+THRESHOLD = 0.3
 WORDS = 1 << BITS
 DIM = WORDS + STATS * BINS
 
@@ -172,32 +173,45 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit(*labelled_rows(docs, labels, max_rows))
 
 
+def _scores(fm: Model, batch: pa.RecordBatch) -> np.ndarray:
+    """Scores of a batch's rows, some megabytes of text at a time."""
+    texts = batch.column("text").to_pylist()
+    chars = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * len(texts)
+    out, k = [np.zeros(0)], 0
+    while k < len(texts):
+        part, size = [], 0
+        while k < len(texts) and size < 1_000_000:
+            part.append(describe(texts[k], chars[k]))
+            size += len(texts[k] or "") + 1000
+            k += 1
+        out.append(fm.score(part))
+    return np.concatenate(out)
+
+
 def with_scores(df: DataFrame, model: Model, score_col: str = "quality_score") -> DataFrame:
-    """df with the score of each row; every column of df stays."""
+    """df with the score of each row; every other column of df stays."""
     df = df.drop(score_col)
-    has_n = "n_chars" in df.columns
     shared = df.sparkSession.sparkContext.broadcast(model)  # DIM x (FACTORS + 1) floats: 2 MB at any size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            chars = batch.column("n_chars").to_pylist() if has_n else [None] * len(texts)
-            out, k = [], 0
-            while k < len(texts):
-                part, size = [], 0
-                while k < len(texts) and size < 1_000_000:
-                    part.append(describe(texts[k], chars[k]))
-                    size += len(texts[k] or "") + 1000
-                    k += 1
-                out.append(fm.score(part))
-            scores = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(shared.value, batch), pa.float64())], names=[*batch.schema.names, score_col])
 
     return df.mapInArrow(run, plus(df, **{score_col: "double"}))
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+def accepted(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df whose score reaches the threshold, with df's own columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch) >= threshold, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = train(docs, labels, max_rows)
     return with_scores(_texts(docs), model, "score").select(

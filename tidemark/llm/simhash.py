@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, plus, shuffle_width, tokens_lower
+from .common import boxed, checkpointed, plus, shuffle_width, tokens_lower
 from .components import components
 
 RADIUS = 4
@@ -232,13 +232,14 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the least id (then least text hash). Columns as before."""
-    own = docs.columns
-    thin = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    prints = checkpointed(with_fingerprints(thin).select("doc_id", "fp"))
+    """docs with one row of each component: the one with the least id (then least row hash). Columns as before, whatever their names."""
+    rows = docs.select(boxed(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = checkpointed(with_fingerprints(rows.select("doc_id", "text")).select("doc_id", "fp"))
     # One row stands for each component: id and fingerprint; only rows with that id meet again.
-    keep = classes(prints).filter("fp = first_fp").select(F.col("component_id").alias("_id"), F.col("fp").alias("_fp"))
-    stay = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    again = with_fingerprints(stay, fp_col="_fp_").join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp_") == F.col("_fp")))
-    first = W.partitionBy("_id", "_fp").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
-    return again.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*own)
+    keep = classes(prints).filter("fp = first_fp").select(F.col("component_id").alias("id"), F.col("fp").alias("first_fp"))
+    at_first = F.col("doc_id").eqNullSafe(F.col("id"))
+    stay = rows.join(keep, at_first, "left_semi")
+    again = with_fingerprints(stay).join(keep, at_first & (F.col("fp") == F.col("first_fp")))
+    order = F.xxhash64(*[F.col("row").getField(c) for c, t in docs.dtypes if "map<" not in t])
+    first = W.partitionBy("id", "first_fp").orderBy(order)
+    return again.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
