@@ -1,0 +1,193 @@
+"""Stateful operators over several micro-batches equal the batch operators; sources that listen."""
+
+import base64
+import datetime as dt
+import hashlib
+import http.server
+import random
+import socket
+import struct
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.flow import Flow
+from tidemark.sources import sinks, unbounded
+from tidemark.streaming import stateful
+
+SCHEMA = "k string, ord long, ts timestamp, value long"
+
+
+def rows_in_files(spark, path, files=5, per=40, seed=1):
+    """Files whose rows come in order from file to file, and shuffled within each."""
+    rng, n, t = random.Random(seed), 0, dt.datetime(2024, 1, 1)
+    everything = []
+    for f in range(files):
+        rows = []
+        for _ in range(per):
+            t += dt.timedelta(milliseconds=rng.choice([1, 5, 20, 100]))
+            rows.append((rng.choice("abc"), n, t, rng.choice([1, 1, 2, 3])))
+            n += 1
+        everything += rows
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(f"{path}/part{f}")
+    return spark.createDataFrame(everything, SCHEMA)
+
+
+@pytest.fixture
+def source(spark, tmp_path):
+    batch = rows_in_files(spark, str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    make = lambda df: Flow(df, ("ts", "ord"), ("k",), "ts")
+    return make(batch), make(stream.withWatermark("ts", "0 seconds"))
+
+
+def ran(df, tmp_path, mode="append"):
+    at = str(tmp_path / "run")
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def same(a, b):
+    names = sorted(a.columns)
+    assert sorted(map(str, a.select(*names).collect())) == sorted(map(str, b.select(*names).collect())) and a.count()
+
+
+PAIRS = {
+    "scan": (lambda f: f.scan("sum").df, lambda s: stateful.scan(s, lambda a, v: a + v, 0, "long")),
+    "skip": (lambda f: f.skip(5).df, lambda s: stateful.skip(s, 5)),
+    "take": (lambda f: f.take(5).df, lambda s: stateful.take(s, 5)),
+    "pairwise": (lambda f: f.pairwise().df, stateful.pairwise),
+    "changed": (lambda f: f.distinct_until_changed().df, stateful.distinct_until_changed),
+    "distinct": (lambda f: f.distinct().df, stateful.distinct),
+    "windowed": (lambda f: f.windowed(3, "mean").df, lambda s: stateful.windowed(s, 3, "mean")),
+    "throttle": (lambda f: f.throttle(50).df, lambda s: stateful.throttle(s, 50)),
+}
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_batch_and_stream_agree(source, tmp_path, name):
+    batch, stream = source
+    same(PAIRS[name][0](batch), ran(PAIRS[name][1](stream), tmp_path))
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    for k, rows in enumerate([[("a", 5, day, 1)], [("a", 3, day, 1), ("a", 6, day, 1)]]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(f"{tmp_path}/in/p{k}")
+        time.sleep(0.05)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    out = ran(stateful.scan(Flow(stream, ("ord",), ("k",)), lambda s, v: s + v, 0, "long"), tmp_path)
+    assert sorted((r["ord"], r["scan"]) for r in out.collect()) == [(5, 1), (6, 2)]
+
+
+def test_debounce_flushes_by_watermark(source, tmp_path):
+    batch, stream = source
+    want = {r["ord"] for r in batch.debounce(20).df.collect()}
+    got = {r["ord"] for r in ran(stateful.debounce(stream, 20), tmp_path).collect()}
+    lasts = {r[1] for r in batch.df.groupBy("k").agg(F.max("ord")).collect()}
+    assert got <= want and want - got <= lasts and got
+
+
+def test_buffer_time_merge_and_distinct_within(source, spark, tmp_path):
+    batch, stream = source
+    out = ran(stateful.buffer_time(stream.df, "ts", 1000, "value", ("k",), ("ord",)), tmp_path)
+    day = batch.df.withColumn("w", F.window("ts", "1 second"))
+    want = {(r["k"], r["w"]["start"]): r["v"] for r in day.groupBy("k", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ord", "value"))), lambda x: x["value"]).alias("v")).collect()}
+    got = {(r["k"], r["window"]["start"]): r["items"] for r in out.collect()}
+    assert got and all(want[k] == v for k, v in got.items())
+    both = stateful.merge(stream.df.filter("value = 1"), stream.df.filter("value > 1"))
+    assert ran(both, tmp_path / "m").count() == batch.df.count()
+    assert ran(stateful.distinct_within(stream.df, ["ord"]), tmp_path / "d").count() == batch.df.count()
+
+
+def test_subscription(spark, tmp_path):
+    seen = []
+    ticks = unbounded.interval(spark, 50)
+    with sinks.subscribe(ticks, lambda df, n: seen.extend(r["value"] for r in df.collect()), str(tmp_path / "log")) as sub:
+        end = time.time() + 30
+        while len(seen) < 10 and time.time() < end:
+            time.sleep(0.2)
+        assert sub.is_active
+    assert not sub.is_active
+    n = len(seen)
+    time.sleep(1.5)
+    assert len(seen) == n and seen == list(range(n)) and n >= 10
+    with pytest.raises(ValueError):
+        unbounded.interval(spark, 0)
+
+
+def test_uneven_intervals(spark, tmp_path):
+    """Every 300 ms: the ticks of some seconds are consecutive numbers."""
+    ticks = unbounded.interval(spark, 300)
+    seen = []
+    with sinks.subscribe(ticks, lambda df, n: seen.extend(r["value"] for r in df.collect()), str(tmp_path / "log")):
+        end = time.time() + 30
+        while len(seen) < 7 and time.time() < end:
+            time.sleep(0.2)
+    assert sorted(seen) == list(range(len(seen))) and len(seen) >= 7
+
+
+class _Handler(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):  # noqa: N802
+        self.send_response(200)
+        if self.path == "/events":
+            self.send_header("Content-Type", "text/event-stream")
+            self.end_headers()
+            self.wfile.write(b": hello\n\nid: 1\ndata: one\n\nevent: other\ndata: not this\n\ndata: two\ndata: lines\n\n")
+        else:
+            self.end_headers()
+            self.wfile.write(b"answer")
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def server():
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def read_all(stream, tmp_path, n):
+    got = []
+    with sinks.subscribe(stream, lambda df, _: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "log"), processingTime="200 milliseconds"):
+        end = time.time() + 40
+        while len(got) < n and time.time() < end:
+            time.sleep(0.2)
+    return got
+
+
+def test_server_sent_events(spark, server, tmp_path):
+    assert read_all(unbounded.server_sent_events(spark, f"{server}/events"), tmp_path, 2) == [(0, "1", "one"), (1, "1", "two\nlines")]
+
+
+def test_polling(spark, server, tmp_path):
+    assert read_all(unbounded.polled(spark, f"{server}/once"), tmp_path, 1) == [(0, "200", "answer")]
+    got = read_all(unbounded.polled(spark, f"{server}/again", 100), tmp_path / "b", 3)
+    assert len(got) >= 3 and {g[2] for g in got} == {"answer"}
+
+
+def test_websocket(spark, tmp_path):
+    listener = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        conn, _ = listener.accept()
+        request = b""
+        while b"\r\n\r\n" not in request:
+            request += conn.recv(4096)
+        key = next(x.split(b": ")[1] for x in request.split(b"\r\n") if x.startswith(b"Sec-WebSocket-Key"))
+        accept = base64.b64encode(hashlib.sha1(key + b"258EAFA5-E914-47DA-95CA-C5AB0DC85B11").digest())
+        conn.sendall(b"HTTP/1.1 101 Switching Protocols\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Accept: " + accept + b"\r\n\r\n")
+        conn.sendall(b"\x81\x05hello" + b"\x01\x03two" + b"\x89\x00" + b"\x80\x06 parts" + b"\x82\x02\x00\xff" + b"\x81\x7e" + struct.pack(">H", 300) + b"x" * 300 + b"\x88\x00")
+        time.sleep(1)
+        conn.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    got = read_all(unbounded.websocket(spark, f"ws://127.0.0.1:{listener.getsockname()[1]}/chat"), tmp_path, 4)
+    assert got == [(0, "text", "hello"), (1, "text", "two parts"), (2, "binary", base64.b64encode(b"\x00\xff").decode()), (3, "text", "x" * 300)]

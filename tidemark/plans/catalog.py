@@ -1,31 +1,18 @@
-"""Named queries over the test tables, with the DuckDB SQL each is held against."""
+"""All queries over the test tables by name, with the DuckDB SQL each is held against."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from . import flows, streams, timed, vectors
+from .flows import flagship
+from .registry import ORACLES, QUERIES, Query
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .filter(F.col("value") > 50)
-        .select("user_id", "ts", "event_id", (F.col("value") * 2).alias("doubled"))
-        .withColumn("running", F.round(F.sum("doubled").over(w), 6))
-    )
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-_FLAGSHIP = """
-SELECT user_id, ts, event_id, value * 2 AS doubled,
-       round(sum(value * 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running
-FROM events WHERE value > 50"""
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def queries():
-    return {"scan": flagship}
-
-
-def oracles():
-    return {"scan": _FLAGSHIP}
+__all__ = ["flagship", "flows", "oracles", "queries", "streams", "timed", "vectors"]
