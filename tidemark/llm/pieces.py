@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -32,10 +33,32 @@ from .common import plus
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO = 300_000
+MEMO = 150_000
 LONGEST_MEMO = 48
 
 
+class Memo(dict):
+    """Units without the prefix that all of them have -> (ids in decimal, the bytes that they stand for).
+
+    Two generations of MEMO entries: what is still in use moves to the new one when the old one goes.
+    """
+
+    def __init__(self, table: PrefixTable, prefix: str):
+        self.table, self.prefix, self.old = table, prefix, {}
+
+    def __missing__(self, key: str) -> tuple[str, bytes]:
+        value = self.old.get(key)
+        if value is None:
+            ids = self.table.unit(self.prefix + key)
+            value = " ".join(map(str, ids)), self.table._bytes(ids)
+        if len(key) <= LONGEST_MEMO:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PrefixTable:
     """The encoder of one model file. Build it once in each Python worker."""
 
@@ -65,8 +88,8 @@ class PrefixTable:
                 self.halves[i], self.joined[last] = last, i
                 self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words, self.runs = Memo(self, SPACE), Memo(self, "")
 
     def _merge(self, t: str) -> tuple[list[int], tuple[int, int]]:
         """Plain merging of a vocabulary string: its tokens, and the last pair merged."""
@@ -88,8 +111,6 @@ class PrefixTable:
         Walks the border back in time: undo the later of the two tokens' last merges, and see whether what then
         stands on both sides would have merged before that.
         """
-        if (known := self.pairs.get((a, b))) is not None:
-            return known
         x, y, before, ok = a, b, 1 << 31, True
         rank, halves, joined = self.rank, self.halves, self.joined
         while True:
@@ -107,31 +128,44 @@ class PrefixTable:
                 before, y = (ry << 1) + 1, halves[y][0]
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << 20 | b] = ok
         return ok
 
     def _word(self, t: str) -> list[int]:
         """Ids of a string with U+2581 at most in front; -1 - ordinal for characters outside the vocabulary."""
         n = len(t)
-        last, size, done = [0] * n, [1] * n, 0
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, hit in self.automaton.iter(t):
-            found[end].append(hit)
-        stable = self._stable
-        for k in range(n):
-            hits = found[k]
-            if not hits:
-                last[k], done = -1 - ord(t[k]), k + 1
+        last, size = [0] * n, [1] * n  # of each prefix: its last token, and that token's length
+        known, at = self.pairs.get, -1
+        k = done = 0  # the next prefix to solve; where the characters known since begin
+        # Hits come by their end, the longest first; the first one that fits is the only one.
+        for end, (width, i) in self.automaton.iter(t):
+            if end < k:
                 continue
-            for width, i in hits:
-                start = k - width + 1
-                if start < done:
+            if end != at:
+                if k == at:
+                    raise AssertionError(f"no token ends at {k} of {t!r}")
+                at = end
+                while k < end:  # no hit ends there: a character outside the vocabulary
+                    last[k] = -1 - ord(t[k])
+                    k += 1
+                    done = k
+            start = end - width + 1
+            if start > done:
+                before = last[start - 1]
+                ok = known(before << 20 | i)
+                if ok is None:
+                    ok = self._stable(before, i)
+                if not ok:
                     continue
-                if start == done or stable(last[start - 1], i):
-                    last[k], size[k] = i, width
-                    break
-            else:
-                raise AssertionError(f"no token ends at {k} of {t!r}")
+            elif start < done:
+                continue
+            last[end], size[end] = i, width
+            k = end + 1
+        if k == at:
+            raise AssertionError(f"no token ends at {k} of {t!r}")
+        while k < n:
+            last[k] = -1 - ord(t[k])
+            k += 1
         out, k = [], n - 1
         while k >= 0:
             out.append(last[k])
@@ -176,27 +210,18 @@ class PrefixTable:
             return ids
         return [j for i in ids for j in ([i] if i >= 0 else [self.bytes_ids[b] for b in chr(-1 - i).encode()])]
 
-    def units(self, text: str) -> Iterator[tuple[int, str, bytes]]:
-        """For each unit of a text: number of ids, the ids in decimal, the bytes they stand for."""
+    def coded(self, text: str | None) -> tuple[str, bytes]:
+        """The ids of a text in decimal with the end id last, and the bytes that they stand for."""
         if not text:
-            return
-        memo = self.memo
-        for t in _UNIT.findall(SPACE + text.replace(" ", SPACE)):
-            got = memo.get(t)
-            if got is None:
-                ids = self.unit(t)
-                got = (len(ids), " ".join(map(str, ids)), self._bytes(ids))
-                if len(t) <= LONGEST_MEMO:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[t] = got
-            yield got
+            return str(self.end), b""
+        memo, keys = self.words, text.split(" ")
+        if "" in keys or SPACE in text:  # runs of spaces: units are not just words
+            memo, keys = self.runs, _UNIT.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(memo.__getitem__, keys))
+        return f"{' '.join([f[0] for f in found])} {self.end}", b"".join([f[1] for f in found])
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for _, ids, _ in self.units(text or ""):
-            out.extend(map(int, ids.split()))
-        return [*out, self.end]
+        return [int(i) for i in self.coded(text)[0].split()]
 
     def _bytes(self, ids: list[int]) -> bytes:
         raw = self.raw
@@ -228,8 +253,10 @@ def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", ids_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model_file)
         for batch in batches:
-            ids = [table.encode(x.as_py()) for x in batch.column(text_col)]
-            extra = [pa.array(ids, pa.list_(pa.int32())), pa.array([table.decode(x) for x in ids], pa.string())]
+            got = [table.coded(x.as_py()) for x in batch.column(text_col)]
+            ends = np.cumsum([0, *[g[0].count(" ") + 1 for g in got]])
+            values = np.fromstring(" ".join([g[0] for g in got]), np.int32, sep=" ")
+            extra = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array([table.plain(g[1]) for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, ids_col, decoded_col])
 
     return df.mapInArrow(run, plus(df, **{ids_col: "array<int>", decoded_col: "string"}))
@@ -241,14 +268,13 @@ def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model_file)
-        tail = str(table.end)
         for batch in batches:
             n, ids, back = [], [], []
             for x in batch.column(1):
-                got = list(table.units(x.as_py() or ""))
-                n.append(sum([g[0] for g in got]) + 1)
-                ids.append(hashlib.sha256(" ".join([*[g[1] for g in got], tail]).encode()).hexdigest())
-                back.append(hashlib.sha256(table.plain(b"".join([g[2] for g in got])).encode()).hexdigest())
+                text, raw = table.coded(x.as_py())
+                n.append(text.count(" ") + 1)
+                ids.append(hashlib.sha256(text.encode()).hexdigest())
+                back.append(hashlib.sha256(table.plain(raw).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
