@@ -46,15 +46,48 @@ def test_table_beats_the_base_on_held_out_texts(spark):
     assert all(math.isclose(again[r["doc_id"]], r["score"], rel_tol=1e-9) for r in rows)
 
 
-def test_probabilities_sum_to_one(spark):
-    """After a known context, over all known words and one unknown: a proper distribution."""
+def test_seen_pairs_beat_unknown_words(spark):
     train = [(k, "a b a c b") for k in range(40) if crc32(str(k).encode()) % 7 != 2]
-    probes = [k for k in range(100, 400) if crc32(str(k).encode()) % 7 == 2][:5]
-    texts = ["a", "a a", "a b", "a c", "a zzz"]
-    rows = {r["doc_id"]: r for r in rows_of(lm.scored(spark.createDataFrame([*train, *zip(probes, texts)], "doc_id long, text string")))}
-    # log P(a w END) holds P(w | a) times P(END | w); seen contexts give P(END | w) from the same model's texts "w" below.
+    probes = [k for k in range(100, 400) if crc32(str(k).encode()) % 7 == 2][:3]
+    rows = {r["doc_id"]: r for r in rows_of(lm.scored(spark.createDataFrame([*train, *zip(probes, ["a b", "a c", "a zzz"])], "doc_id long, text string")))}
     assert all(rows[p]["held_out"] for p in probes)
-    assert rows[probes[2]]["score"] > rows[probes[4]]["score"] and rows[probes[3]]["score"] > rows[probes[4]]["score"]
+    assert rows[probes[0]]["score"] > rows[probes[2]]["score"] < rows[probes[1]]["score"]
+
+
+def test_predictive_probabilities_sum_to_one():
+    rng = np.random.default_rng(8)
+    for d in (0.05, 0.5, 0.9):
+        c = rng.integers(1, 400, 60).astype(float)
+        base = rng.random(100)
+        base /= base.sum()
+        t = lm.seat(c, base[:60], np.full(60, 60.0), d, lm.STRENGTH, rng)
+        c, t = np.append(c, np.zeros(40)), np.append(t, np.zeros(40))
+        p = lm.predictive(c, t, base, c.sum(), t.sum(), d)
+        assert (p > 0).all() and abs(p.sum() - 1) < 1e-12
+
+
+def test_frequent_contexts_are_dealt_out_and_summed_exactly():
+    """Two buckets seat parts of one context; a group that asks only one of them still gets the tables of both."""
+    heavy = np.array([lm.START], np.uint64)
+    texts = [f"w{k}".encode() for k in range(40)]
+    ask, seat_contexts = lm._ask(2, heavy), lm._seat_contexts(2, heavy)
+    from tidemark.llm import blobs
+
+    packed = blobs.pack_rows(__import__("pyarrow").RecordBatch.from_pydict({"doc_id": [k for k in range(40)], "text": [t.decode() for t in texts]}))
+    sent: dict = {}
+    for batch in ask(0, {0: [packed]}):
+        for key, kind, blob in zip(*batch.to_pydict().values()):
+            sent.setdefault(key, {}).setdefault(kind, []).append(blob)
+    tables = 0
+    for b, held in sent.items():
+        for batch in seat_contexts(b, held):
+            for _, kind, blob in zip(*batch.to_pydict().values()):
+                if kind == 6:
+                    _, at, first, _ = blobs.unpack(blob, *[np.int64] * 4)
+                    assert at.tolist() == [0]
+                    tables += int(first[0])
+    learned = sum(crc32(str(k).encode()) % 7 != 2 for k in range(40))
+    assert len(sent) == 2 and tables == learned  # each word once after the start: a table each
 
 
 def test_seating():

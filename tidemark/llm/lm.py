@@ -178,6 +178,11 @@ def _discount(n1: float, n2: float) -> float:
     return float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 and n2 else 0.5
 
 
+def predictive(customers, tables, base, all_customers, all_tables, discount: float):
+    """Probability of a dish with so many customers and tables, in a restaurant with so many of each in all."""
+    return (np.maximum(customers - discount * tables, 0) + (STRENGTH + discount * all_tables) * base) / (STRENGTH + all_customers)
+
+
 def _seat_contexts(buckets: int, heavy: np.ndarray):
     """Pairs of a bucket -> answers for the groups (kind 2), root customers for word buckets (kind 3), totals (kind 6); words pass."""
 
@@ -203,7 +208,10 @@ def _seat_contexts(buckets: int, heavy: np.ndarray):
         u, w, restaurant = u[order][first], w[order][first], (np.cumsum(new_u) - 1)[first]
         del order
         n_u = int(restaurant[-1]) + 1
-        scale = np.where(np.isin(u[np.append(True, restaurant[1:] != restaurant[:-1])], heavy), buckets, 1)
+        own_u = u[np.append(True, restaurant[1:] != restaurant[:-1])]
+        spread = np.flatnonzero(np.isin(own_u, heavy))
+        scale = np.ones(n_u)
+        scale[spread] = buckets
         many = np.flatnonzero(c > 1)
         alone = np.bincount(restaurant[c == 1], minlength=n_u)
         n1, n2 = int((c == 1).sum()), int((c == 2).sum())
@@ -233,7 +241,7 @@ def _seat_contexts(buckets: int, heavy: np.ndarray):
             for to, part in _by((blobs.mix64(dish) % np.uint64(buckets)).astype(np.int64)):
                 made.append((to, 3, blobs.pack(_planes(dish[part]), *[s[part].astype(np.uint32) for s in sums])))
             yield blobs.rows(made)
-        yield blobs.rows([(b, 6, blobs.pack(np.array([n1, n2], np.int64)))])
+        yield blobs.rows([(b, 6, blobs.pack(np.array([n1, n2], np.int64), np.searchsorted(heavy, own_u[spread]).astype(np.int64), *[x[spread] for x in totals]))])
 
     return fn
 
@@ -280,8 +288,8 @@ def _seat_root(buckets: int):
     return fn
 
 
-def _score(buckets: int, heavy: np.ndarray, d: float, totals: np.ndarray):
-    """Texts and answers of a group -> one row a text."""
+def _score(buckets: int, heavy: np.ndarray, spread_tables: np.ndarray, d: float, totals: np.ndarray):
+    """Texts and answers of a group -> one row a text. spread_tables: samples x heavy contexts, over all buckets."""
     v, n_train = int(totals[0]), int(totals[1])
 
     def fn(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +309,7 @@ def _score(buckets: int, heavy: np.ndarray, d: float, totals: np.ndarray):
             for k in range(SAMPLES):
                 c0, t0, m1, m2 = (int(x) for x in totals[2 + 4 * k : 6 + 4 * k])
                 d0 = _discount(m1, m2)
-                root[k, at] = (np.maximum(got[1 + k] - d0 * got[1 + SAMPLES + k], 0) + (STRENGTH + d0 * t0) / (v + 1)) / (STRENGTH + c0)
+                root[k, at] = predictive(got[1 + k], got[1 + SAMPLES + k], 1 / (v + 1), c0, t0, d0)
         c_word[n] = c_word[np.searchsorted(own.words, np.uint64(END))] if n else 0  # texts start as often as they end
         answers = {}
         for blob in held.get(2, []):
@@ -316,10 +324,13 @@ def _score(buckets: int, heavy: np.ndarray, d: float, totals: np.ndarray):
             first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
             for k in range(SAMPLES):
                 t[k, at] = got[1 + k]
-                np.add.at(context[k], u[first], got[1 + SAMPLES + k])
+                context[k, u[first]] = got[1 + SAMPLES + k]
+        place = np.searchsorted(heavy, own.short).clip(max=len(heavy) - 1)
+        spread = np.flatnonzero(heavy[place] == own.short)
+        context[:, spread] = spread_tables[:, place[spread]]
         p = np.zeros(pairs)
         for k in range(SAMPLES):
-            p += (np.maximum(c - d * t[k], 0) + (STRENGTH + d * context[k][own.left]) * root[k][own.right]) / (STRENGTH + c_word[own.left])
+            p += predictive(c, t[k], root[k][own.right], c_word[own.left], context[k][own.left], d)
         del t, c
         starts = np.cumsum(own.sizes) - own.sizes
         score = np.add.reduceat(np.log10(p / SAMPLES)[own.pair_at], starts)
@@ -378,16 +389,16 @@ def scored(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     root = checkpointed(blobs.by_key(contexts.filter("kind in (1, 3)"), groups, _seat_root(groups), blobs.DDL))
     release(docs.sparkSession)
-    # A row of a few numbers from each bucket.
-    n1, n2 = _sums(contexts.filter("kind = 6"), 2)
-    totals = _sums(root.filter("kind = 7"), 2 + 4 * SAMPLES)
+    # A few numbers from each bucket, one bucket at a time: counts of counts, and the tables of fewer than HEAVY contexts.
+    singles, spread_tables = np.zeros(2, np.int64), np.zeros((SAMPLES, len(heavy)), np.int64)
+    for row in contexts.filter("kind = 6").select("blob").toLocalIterator():
+        own, at, *tables = blobs.unpack(bytes(row["blob"]), *[np.int64] * (2 + SAMPLES))
+        singles += own
+        for k in range(SAMPLES):
+            spread_tables[k, at] += tables[k]
+    totals = np.zeros(2 + 4 * SAMPLES, np.int64)
+    for row in root.filter("kind = 7").select("blob").toLocalIterator():
+        totals += blobs.unpack(bytes(row["blob"]), np.int64)[0]
     final = texts.union(contexts.filter("kind = 2")).union(root.filter("kind = 4"))
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return blobs.by_key(final, groups, _score(groups, heavy, _discount(n1, n2), totals), ddl)
-
-
-def _sums(df: DataFrame, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    for row in df.select("blob").toLocalIterator():
-        out += blobs.unpack(bytes(row["blob"]), np.int64)[0]
-    return out
+    return blobs.by_key(final, groups, _score(groups, heavy, spread_tables, _discount(*singles), totals), ddl)
