@@ -43,7 +43,7 @@ from .suffixes import _by, _group_of, _marks
 SAMPLES, BURN = 2, 2
 STRENGTH = 1.0
 HEAVY = 512
-GROUP_BYTES = 20_000_000
+GROUP_BYTES, LEAST_GROUP_BYTES = 20_000_000, 2_000_000
 END, START = 1, 2
 
 
@@ -381,7 +381,7 @@ def scored(docs: DataFrame) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     width = shuffle_width(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(width, -(-total // GROUP_BYTES))
+    groups = max(min(width, -(-total // LEAST_GROUP_BYTES)), -(-total // GROUP_BYTES), 1)
     heavy = heavy_words(docs)
     texts = blobs.packed_rows(docs, lambda batch: _group_of(*_marks(batch)[1:], groups))
     asked = blobs.by_key(texts, groups, _ask(groups, heavy), blobs.DDL)
