@@ -32,12 +32,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import checkpointed, release, shuffle_width, tokens_lower
+from .common import checkpointed, release, shuffle_width
 from .suffixes import _by, _group_of, _marks
 
 SAMPLES, BURN = 2, 2
@@ -47,34 +48,26 @@ GROUP_BYTES, LEAST_GROUP_BYTES = 20_000_000, 2_000_000
 END, START = 1, 2
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = Hashes()
-
-
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, END behind each text, and the number of tokens of each text."""
-    parts, sizes = [], []
-    for raw in texts:
-        words = raw.lower().split()
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        ids = np.empty(len(words) + 1, np.uint64)
-        ids[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-        ids[-1] = END
-        parts.append(ids)
-        sizes.append(len(ids))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(sizes, np.int64)
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, sorted; all tokens as places among them, END behind each text; tokens of each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = split.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)  # none before a leading space
+    upto = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    ends = upto[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))]
+    coded = flat.filter(real).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    words, place = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
+    sizes = np.diff(ends) + 1
+    tok = np.full(int(sizes.sum()), place[-1], np.int64)
+    own = np.ones(len(tok), bool)
+    own[np.cumsum(sizes) - 1] = False
+    tok[own] = place[coded.indices.to_numpy()]
+    return words, tok, sizes
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -87,14 +80,22 @@ def _unplanes(b: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(b.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _bytewise(x: np.ndarray) -> np.ndarray:
+    """Small integers byte by byte: the high bytes are all zero and cost nothing compressed."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _integers(b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(b.reshape(4, -1).T).view(np.uint32).ravel()
+
+
 class Group:
     """The tokens of one group of texts: distinct words and pairs, in an order that only depends on the texts."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, heavy: np.ndarray):
-        tok, self.sizes = _tokens(texts)
-        self.words, word = np.unique(tok, return_inverse=True)
+    def __init__(self, texts: pa.Array, train: np.ndarray, buckets: int, heavy: np.ndarray):
+        self.words, word, self.sizes = _tokens(texts)
         n = len(self.words)
-        before = np.empty(len(tok), np.int64)
+        before = np.empty(len(word), np.int64)
         before[1:] = word[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = n  # the start of a text
         self.word_at = word
@@ -115,22 +116,23 @@ def _ask(buckets: int, heavy: np.ndarray):
     """Texts of a group -> pairs (kind 0) and words (kind 1) for their buckets."""
 
     def fn(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        raw, train = _texts(held[0])
-        own = Group(raw, train, buckets, heavy)
+        texts, _, train = _texts(held[0])
+        own = Group(texts, train, buckets, heavy)
         head = np.array([g, int(own.word_count.sum())], np.int64)
         level = np.round(8 * np.log2(np.maximum(own.word_count, 0.5))).clip(0).astype(np.uint8)
         out = []
         for b, at in _by(own.pair_bucket):
-            u, w = own.short[own.left[at]], own.short[own.right[at]]
+            u = own.short[own.left[at]]
             first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
             runs = np.diff(np.append(first, len(u)))
+            used, place = np.unique(own.right[at], return_inverse=True)
             # START sorts behind all words of the group: its hash is small, so differences wrap around, which is harmless.
-            out.append((b, 0, blobs.pack(head, _planes(u[first]), runs.astype(np.uint32), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), (w >> np.uint64(32)).astype(np.uint16), own.count[at].astype(np.uint32), level[own.right[at]])))
+            out.append((b, 0, blobs.pack(head, _planes(u[first]), _bytewise(runs), _planes(own.short[used]), level[used], _bytewise(place), _bytewise(own.count[at]))))
             if len(out) == 64:
                 yield blobs.rows(out)
                 out = []
         for b, at in _by(own.word_bucket):
-            out.append((b, 1, blobs.pack(head, _planes(own.words[at]), own.word_count[at].astype(np.uint32))))
+            out.append((b, 1, blobs.pack(head, _planes(own.words[at]), _bytewise(own.word_count[at]))))
             if len(out) == 64:
                 yield blobs.rows(out)
                 out = []
@@ -140,18 +142,11 @@ def _ask(buckets: int, heavy: np.ndarray):
     return fn
 
 
-def _texts(packed: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    raw, train = [], []
-    for rows in _in_order(packed):
-        r, _, _ = _marks(rows)
-        raw += r
-        train += [not held_out(i) for i in rows.column("doc_id").to_pylist()]
-    return raw, np.array(train, bool)
-
-
-def _in_order(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for blob in sorted(packed, key=lambda b: (len(b), b)):  # the order of arrival is chance
-        yield blobs.unpack_rows(blob)
+def _texts(packed: list[bytes]) -> tuple[pa.Array, list, np.ndarray]:
+    """Texts, ids and whether each is learned from, in an order that is not chance."""
+    rows = pa.Table.from_batches([blobs.unpack_rows(b) for b in sorted(packed, key=lambda b: (len(b), b))])
+    ids = rows.column("doc_id").to_pylist()
+    return pc.fill_null(rows.column("text"), "").combine_chunks(), ids, np.array([not held_out(i) for i in ids], bool)
 
 
 def seat(c: np.ndarray, base: np.ndarray, rest: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
@@ -191,8 +186,9 @@ def _seat_contexts(buckets: int, heavy: np.ndarray):
             yield blobs.rows([(b, 1, blob)])
         asked = []
         for blob in held.pop(0, []):
-            head, u, runs, w0, w1, c, level = blobs.unpack(blob, np.int64, np.uint8, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8)
-            asked.append((int(head[0]), int(head[1]), _unplanes(u), runs, w0.astype(np.uint64) | (w1.astype(np.uint64) << np.uint64(32)), c, level))
+            head, u, runs, w, level, place, c = blobs.unpack(blob, np.int64, *[np.uint8] * 6)
+            place = _integers(place)
+            asked.append((int(head[0]), int(head[1]), _unplanes(u), _integers(runs), _unplanes(w)[place], _integers(c), level[place]))
         if not asked:
             return
         tokens = max(sum(a[1] for a in asked), 1)
@@ -231,7 +227,7 @@ def _seat_contexts(buckets: int, heavy: np.ndarray):
             here = back[at : at + len(own)]
             at += len(own)
             place = restaurant[here[np.cumsum(runs) - runs]]
-            yield blobs.rows([(g, 2, blobs.pack(np.array([b], np.int64), c[here].astype(np.uint32), *[k[here].astype(np.uint32) for k in kept], *[x[place].astype(np.uint32) for x in totals]))])
+            yield blobs.rows([(g, 2, blobs.pack(np.array([b], np.int64), _bytewise(c[here]), *[_bytewise(k[here]) for k in kept], *[_bytewise(x[place]) for x in totals]))])
         order = np.argsort(w, kind="stable")
         some = order[c[order] > 0]
         if len(some):
@@ -239,7 +235,7 @@ def _seat_contexts(buckets: int, heavy: np.ndarray):
             dish, sums = w[some][first], [np.add.reduceat(k[some], first) for k in kept]
             made = []
             for to, part in _by((blobs.mix64(dish) % np.uint64(buckets)).astype(np.int64)):
-                made.append((to, 3, blobs.pack(_planes(dish[part]), *[s[part].astype(np.uint32) for s in sums])))
+                made.append((to, 3, blobs.pack(_planes(dish[part]), *[_bytewise(s[part]) for s in sums])))
             yield blobs.rows(made)
         yield blobs.rows([(b, 6, blobs.pack(np.array([n1, n2], np.int64), np.searchsorted(heavy, own_u[spread]).astype(np.int64), *[x[spread] for x in totals]))])
 
@@ -252,14 +248,14 @@ def _seat_root(buckets: int):
     def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         asked = []
         for blob in held.get(1, []):
-            head, w, c = blobs.unpack(blob, np.int64, np.uint8, np.uint32)
-            asked.append((int(head[0]), _unplanes(w), c))
+            head, w, c = blobs.unpack(blob, np.int64, np.uint8, np.uint8)
+            asked.append((int(head[0]), _unplanes(w), _integers(c)))
         if not asked:
             return
         word, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
         c = np.bincount(back, np.concatenate([a[2] for a in asked]), len(word)).astype(np.int64)
-        sent = [blobs.unpack(blob, np.uint8, *[np.uint32] * SAMPLES) for blob in held.get(3, [])]
-        dish, at = np.unique(np.concatenate([_unplanes(s[0]) for s in sent]) if sent else np.zeros(0, np.uint64), return_inverse=True)
+        sent = [[_unplanes(w), *map(_integers, more)] for w, *more in (blobs.unpack(blob, *[np.uint8] * (1 + SAMPLES)) for blob in held.get(3, []))]
+        dish, at = np.unique(np.concatenate([s[0] for s in sent]) if sent else np.zeros(0, np.uint64), return_inverse=True)
         short = word >> np.uint64(16)
         place = np.searchsorted(dish, short).clip(max=max(len(dish) - 1, 0))
         rng = np.random.default_rng([13, b])
@@ -282,7 +278,7 @@ def _seat_root(buckets: int):
         for g, own, _ in asked:
             here = back[at : at + len(own)]
             at += len(own)
-            yield blobs.rows([(g, 4, blobs.pack(np.array([b], np.int64), c[here].astype(np.uint32), *[x[here].astype(np.uint32) for x in customers], *[x[here].astype(np.uint32) for x in tables]))])
+            yield blobs.rows([(g, 4, blobs.pack(np.array([b], np.int64), *[_bytewise(x[here]) for x in (c, *customers, *tables)]))])
         yield blobs.rows([(b, 7, blobs.pack(np.array([v, int(c.sum()), *totals], np.int64)))])
 
     return fn
@@ -293,16 +289,15 @@ def _score(buckets: int, heavy: np.ndarray, spread_tables: np.ndarray, d: float,
     v, n_train = int(totals[0]), int(totals[1])
 
     def fn(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        raw, train = _texts(held[0])
-        ids = [i for rows in _in_order(held[0]) for i in rows.column("doc_id").to_pylist()]
-        own = Group(raw, train, buckets, heavy)
+        texts, ids, train = _texts(held[0])
+        own = Group(texts, train, buckets, heavy)
         n = len(own.words)
         c_word = np.zeros(n + 1)
         root = np.zeros((SAMPLES, n))
         answers = {}
         for blob in held.get(4, []):
-            got = blobs.unpack(blob, np.int64, *[np.uint32] * (1 + 2 * SAMPLES))
-            answers[int(got[0][0])] = got[1:]
+            b, *got = blobs.unpack(blob, np.int64, *[np.uint8] * (1 + 2 * SAMPLES))
+            answers[int(b[0])] = [_integers(x) for x in got]
         for b, at in _by(own.word_bucket):
             got = answers[b]
             c_word[at] = got[0]
@@ -313,8 +308,8 @@ def _score(buckets: int, heavy: np.ndarray, spread_tables: np.ndarray, d: float,
         c_word[n] = c_word[np.searchsorted(own.words, np.uint64(END))] if n else 0  # texts start as often as they end
         answers = {}
         for blob in held.get(2, []):
-            got = blobs.unpack(blob, np.int64, *[np.uint32] * (1 + 2 * SAMPLES))
-            answers[int(got[0][0])] = got[1:]
+            b, *got = blobs.unpack(blob, np.int64, *[np.uint8] * (1 + 2 * SAMPLES))
+            answers[int(b[0])] = [_integers(x) for x in got]
         pairs = len(own.left)
         c, t, context = np.zeros(pairs), np.zeros((SAMPLES, pairs)), np.zeros((SAMPLES, n + 1))
         for b, at in _by(own.pair_bucket):
@@ -345,28 +340,22 @@ def _score(buckets: int, heavy: np.ndarray, spread_tables: np.ndarray, d: float,
 
 
 def heavy_words(docs: DataFrame) -> np.ndarray:
-    """Short hashes of the words with over 1 / HEAVY of all tokens (fewer than HEAVY), and of the text start."""
+    """Short hashes of the words with over 1 / HEAVY of all tokens (fewer than HEAVY), and of the text start.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        total = 0
-        often: Counter = Counter()
-
-        def settle() -> None:
-            n = sum(seen.values())
-            often.update({w: k for w, k in seen.items() if k * 2 * HEAVY > n})
-            seen.clear()
+    A batch reports what has over half that share of its own tokens, so a word near the border may be missed;
+    that moves its pairs to other buckets and changes no count.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, often = 0, Counter()
         for batch in batches:
-            for text in batch.column(0):
-                words = tokens_lower(text.as_py())
-                total += len(words)
-                seen.update(words)
-                if len(seen) > 400_000:
-                    settle()
-        settle()
-        keys = list(often)
-        yield pa.RecordBatch.from_arrays([pa.array([0, *[xxhash.xxh64_intdigest(w) >> 16 for w in keys]], pa.int64()), pa.array([total, *[often[w] for w in keys]], pa.int64())], names=["w", "n"])
+            flat = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(0), ""))).flatten()
+            seen = pc.value_counts(flat.filter(pc.not_equal(pc.binary_length(flat), 0)))
+            n = seen.field("counts").to_numpy()
+            total += int(n.sum())
+            many = np.flatnonzero(n * 2 * HEAVY > n.sum())
+            often.update(dict(zip(seen.field("values").take(pa.array(many)).to_pylist(), n[many].tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([0, *[xxhash.xxh64_intdigest(w.encode()) >> 16 for w in often]], pa.int64()), pa.array([total, *often.values()], pa.int64())], names=["w", "n"])
 
     sums = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = sums.filter("w = 0").first()
