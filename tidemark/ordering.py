@@ -3,18 +3,20 @@
 A window without a partition key puts all rows into one task. The helpers here give the same results
 for a flow without a key by cutting its order into segments:
 
-1. quantiles of the first order column give at most SEGMENTS bounds, so each row knows its segment;
+1. quantiles of the first order column give the segments' bounds, so each row knows its segment; there are
+   SEGMENTS at least, one for each SEGMENT_BYTES of the table's estimated size, and MOST_SEGMENTS at most;
 2. rows are counted by segment; summing those few counts gives each segment its first rank;
 3. ranks cut the rows into blocks of an exact length, and rows near a border are also handed to the
    neighbouring block (a halo), so that lag, lead and sliding frames are local to a block.
 
 Running aggregates are local to a segment plus the value brought in from the segments before it. The
-bounds and the table of segments have at most SEGMENTS rows, which is what is collected or broadcast.
+bounds and the table of segments have at most MOST_SEGMENTS rows, which is what is collected or broadcast.
 Ties in the first order column stay in one segment; rows that tie in all order columns have no order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,7 +26,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
-SEGMENTS = 256
+SEGMENTS, MOST_SEGMENTS = 256, 65536
+SEGMENT_BYTES = 256 << 20
 BLOCK = 1 << 20
 #: Estimated bytes of a table from which order without a key is cut into segments.
 WIDE_BYTES = 256 << 20
@@ -41,18 +44,28 @@ def is_wide(df: DataFrame, order: Sequence[str]) -> bool:
     return isinstance(df.schema[order[0]].dataType, _CUTTABLE) and estimated_bytes(df) > WIDE_BYTES
 
 
-def with_segment(df: DataFrame, order: Sequence[str], segments: int = SEGMENTS, name: str = "_seg") -> DataFrame:
+def segments_for(df: DataFrame) -> int:
+    return max(SEGMENTS, min(MOST_SEGMENTS, estimated_bytes(df) // SEGMENT_BYTES))
+
+
+def with_segment(df: DataFrame, order: Sequence[str], segments: int | None = None, name: str = "_seg") -> DataFrame:
     """Adds a number that never falls along the order. Nulls come first, as they sort."""
     first = F.col(order[0])
     kind = df.schema[order[0]].dataType
+    segments = segments or segments_for(df)
     probes = [k / segments for k in range(1, segments)]
     measure = F.unix_micros(first.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.datediff(first, F.lit("1970-01-01")) if isinstance(kind, T.DateType) else first
-    found = df.select(F.percentile_approx(measure, probes, 10_000).alias("q")).first()["q"]
+    found = df.select(F.percentile_approx(measure, probes, max(10_000, 10 * segments)).alias("q")).first()["q"]
     bounds = sorted(set(found or []))
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    lits = F.array(*[F.lit(b) for b in bounds])
-    at = F.aggregate(lits, F.lit(0), lambda n, b: n + F.when(b < measure, 1).otherwise(0))
+    # Two steps of about the square root of the bounds each: which chunk of bounds, then where in the chunk.
+    size = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[k : k + size] for k in range(0, len(bounds), size)]
+    below = lambda found: F.aggregate(found, F.lit(0), lambda n, b: n + F.when(b < measure, 1).otherwise(0))
+    array = lambda values: F.array(*[F.lit(v) for v in values])
+    chunk = below(array([c[0] for c in chunks[1:]])) if len(chunks) > 1 else F.lit(0)
+    at = chunk * size + below(F.get(F.array(*map(array, chunks)), chunk))
     return df.withColumn(name, F.when(first.isNull(), F.lit(0)).otherwise(at))
 
 
@@ -65,7 +78,7 @@ def ranked(df: DataFrame, order: Sequence[str], key: Sequence[str] = (), name: s
     before = W.orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy("_seg").orderBy(*order)))
-    joined = local.join(F.broadcast(starts), "_seg")  # at most SEGMENTS rows
+    joined = local.join(F.broadcast(starts), "_seg")  # at most MOST_SEGMENTS rows
     return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_seg", "_local", "_before")
 
 
@@ -138,6 +151,6 @@ def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[str, C
     brought = parts.select("_seg", *[_running(redo.get(outputs[name][0], outputs[name][0]), F.col(v)).over(before).alias(f"{v}b") for name, v in names.items()])
     w = up(W.partitionBy("_seg").orderBy(*order))
     local = cut.select("*", *[_running(outputs[name][0], F.col(v)).over(w).alias(f"{v}o") for name, v in names.items()])
-    joined = local.join(F.broadcast(brought), "_seg")  # at most SEGMENTS rows
+    joined = local.join(F.broadcast(brought), "_seg")  # at most MOST_SEGMENTS rows
     own = [c for c in df.columns]
     return joined.select(*own, *[_combine(outputs[name][0], F.col(f"{v}b"), F.col(f"{v}o")).alias(name) for name, v in names.items()])
