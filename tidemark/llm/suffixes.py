@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs
-from .common import checkpointed, shuffle_width
+from .common import checkpointed, release, shuffle_width
 
 LENGTH = 50
 GRAM = 20
@@ -384,6 +384,7 @@ def _solve(docs: DataFrame, make, schema, hot: int = HOT) -> DataFrame:
     thin = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     entries = thin.mapInArrow(_name_texts(groups, parts), blobs.DDL)
     found = checkpointed(blobs.by_key(entries, parts, _judge_names(groups, hot), blobs.DDL))
+    release(spark)  # the entries' shuffle is the largest; its files need not wait for the end
     key_of = lambda batch: _group_of(*_marks(batch)[1:], groups)
     wanted = blobs.packed_rows(thin, key_of).union(found.filter("kind = 2"))
     cut = blobs.by_key(wanted, parts, _cut_phrases, "shard long, doc long, mark long, pos long, piece binary")
