@@ -92,3 +92,16 @@ def test_suffix_order(reach):
             assert sorted(order.tolist()) == list(range(n))
             cut = [s[i : i + reach].tolist() for i in order]
             assert all(a <= b for a, b in zip(cut, cut[1:]))
+
+
+def test_entries_round_trip():
+    rng = np.random.default_rng(5)
+    for buckets in (1, 7, 102):
+        for n in (1, 2, 500):
+            bucket = int(rng.integers(buckets))
+            key = (rng.integers(0, (1 << 40) // buckets - 1, n) * buckets + bucket).astype(np.uint64)
+            name, doc = rng.integers(0, 1 << 48, n).astype(np.uint64), np.sort(rng.integers(-5, 9, n)) * (1 << 60) // 9
+            mark, pos, count = rng.integers(0, 1 << 32, n).astype(np.uint32), rng.integers(0, 1 << 32, n), rng.integers(1, 257, n)
+            blob = suffixes._pack_entries(bucket, buckets, key, name, doc, mark, pos, count)
+            for want, got in zip((key, name, doc, mark, pos, count), suffixes._unpack_entries(blob, bucket, buckets), strict=True):
+                assert (want == got).all()

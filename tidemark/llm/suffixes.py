@@ -16,7 +16,7 @@ smaller id. Strings are compared as byte windows within documents; nothing is sa
    with over HOT phrases is not kept together: its windows are dealt out by their own hash.
 3. Covering. The windows found are united per document and their bytes taken out.
 
-What is shuffled: about 15 bytes for each of some n/16 phrases, the phrases of step 2, and the texts
+What is shuffled: about 14 bytes for each of some n/16 phrases, the phrases of step 2, and the texts
 twice, compressed. Copies of a phrase are combined before the shuffle, so a passage in a third of all
 documents sends one entry a task.
 
@@ -51,6 +51,7 @@ GROUP_BYTES = 16_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _K_MASK = np.uint64((1 << 40) - 1)
+_NAME_MASK = np.uint64((1 << 48) - 1)
 
 
 # ---------------------------------------------------------------- suffix sorting in one shard
@@ -175,7 +176,6 @@ def phrases(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 # ---------------------------------------------------------------- the distributed plan
 
-_ENTRY = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint32, np.uint32, np.uint16)
 _RANGE = (np.int64, np.uint32, np.uint32, np.uint32)
 _WANT = (np.int64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint8)
 
@@ -184,6 +184,24 @@ def _group_of(doc: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
     return (blobs.mix64(doc.astype(np.uint64) ^ (mark.astype(np.uint64) << np.uint64(32))) % np.uint64(groups)).astype(np.int64)
 
 
+def _pack_entries(bucket: int, buckets: int, key, name, doc, mark, pos, count) -> bytes:
+    """Entries of a bucket in about 14 bytes each: the key without what the bucket tells, and runs of one document."""
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
+    step = np.diff(pos.astype(np.int64), prepend=0)
+    return blobs.pack(
+        blobs.planes((key - np.uint64(bucket)) // np.uint64(buckets), 5), blobs.planes(name, 6), blobs.planes(np.diff(doc[first].astype(np.int64), prepend=0), 8),
+        mark[first].astype(np.uint32), blobs.planes(np.diff(np.append(first, len(doc))), 4), blobs.planes(step, 4), blobs.planes(count, 2),
+    )
+
+
+def _unpack_entries(blob: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, ...]:
+    key, name, doc, mark, runs, step, count = blobs.unpack(blob, np.uint8, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8, np.uint8)
+    runs = blobs.from_planes(runs, 4).astype(np.int64)
+    pos = np.cumsum(blobs.from_planes(step, 4), dtype=np.uint64) & np.uint64(0xFFFFFFFF)
+    doc = np.cumsum(blobs.from_planes(doc, 8), dtype=np.uint64).view(np.int64)
+    return blobs.from_planes(key, 5) * np.uint64(buckets) + np.uint64(bucket), blobs.from_planes(name, 6), np.repeat(doc, runs), np.repeat(mark, runs), pos.astype(np.uint32), blobs.from_planes(count, 2).astype(np.uint16)
+
+
 def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     if len(order):
@@ -217,8 +235,7 @@ def _name_texts(groups: int, buckets: int):
         made = []
         for b, part in _by((key[stay] % np.uint64(buckets)).astype(np.int64)):
             at = stay[part]
-            k, n = key[at], name[at]
-            made.append((b, 0, blobs.pack((k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8), (n & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((n >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), doc[at], mark[at], pos[at].astype(np.uint32), count[at].astype(np.uint16))))
+            made.append((b, 0, _pack_entries(b, buckets, key[at], name[at] & _NAME_MASK, doc[at], mark[at], pos[at], count[at])))
         yield blobs.rows(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +254,16 @@ def _name_texts(groups: int, buckets: int):
     return run
 
 
-def _judge_names(groups: int, most: int):
+def _judge_names(groups: int, buckets: int, most: int):
     """All entries of a bucket -> windows that repeat (kind 1) and phrases to sort (kind 2), for their groups."""
 
-    def fn(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def fn(bucket: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if -1 in held:
             for blob in held[-1]:
                 yield from _emit_ranges(*blobs.unpack(blob, *_RANGE), groups)
         if 0 not in held:
             return
-        k0, k1, n0, n1, doc, mark, pos, count = blobs.unpack_all(held.pop(0), *_ENTRY)
-        key = k0.astype(np.uint64) | (k1.astype(np.uint64) << np.uint64(32))
-        name = n0.astype(np.uint64) | (n1.astype(np.uint64) << np.uint64(32))
+        key, name, doc, mark, pos, count = map(np.concatenate, zip(*[_unpack_entries(blob, bucket, buckets) for blob in held.pop(0)], strict=True))
         order = np.lexsort((doc, name, key))
         key, name, doc, mark, pos, count = key[order], name[order], doc[order], mark[order], pos[order], count[order]
         new_key = np.append(True, key[1:] != key[:-1])
@@ -383,7 +398,7 @@ def _solve(docs: DataFrame, make, schema, hot: int = HOT) -> DataFrame:
     parts = max(width, groups // 2)
     thin = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     entries = thin.mapInArrow(_name_texts(groups, parts), blobs.DDL)
-    found = checkpointed(blobs.by_key(entries, parts, _judge_names(groups, hot), blobs.DDL))
+    found = checkpointed(blobs.by_key(entries, parts, _judge_names(groups, parts, hot), blobs.DDL))
     release(spark)  # the entries' shuffle is the largest; its files need not wait for the end
     key_of = lambda batch: _group_of(*_marks(batch)[1:], groups)
     wanted = blobs.packed_rows(thin, key_of).union(found.filter("kind = 2"))
