@@ -15,6 +15,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 DDL = "key long, kind int, blob binary"
 SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -69,7 +71,7 @@ def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], SCHEMA.field(k).type) for k in range(3)], schema=SCHEMA)
 
 
-def packed_rows(df: DataFrame, key_of: Callable[[pa.RecordBatch], np.ndarray], kind: int = 0, most: int = 24_000_000) -> DataFrame:
+def packed_rows(df: DataFrame, key_of: Callable[[pa.RecordBatch], np.ndarray], kind: int = 0, most: int = 16_000_000) -> DataFrame:
     """df's rows as blobs by key, about `most` bytes of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,7 @@ def packed_rows(df: DataFrame, key_of: Callable[[pa.RecordBatch], np.ndarray], k
                 size = 0
         yield from flush()
 
-    return df.mapInArrow(run, DDL)
+    return mapped(df, run, DDL)
 
 
 def by_key(df: DataFrame, parts: int, fn: Callable[[int, dict[int, list[bytes]]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -114,7 +116,7 @@ def by_key(df: DataFrame, parts: int, fn: Callable[[int, dict[int, list[bytes]]]
         if at is not None:
             yield from fn(at, held)
 
-    return df.repartition(parts, "key").sortWithinPartitions("key", "kind").mapInArrow(run, schema)
+    return mapped(df.repartition(parts, "key").sortWithinPartitions("key", "kind"), run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

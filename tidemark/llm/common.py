@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +58,42 @@ def boxed(df: DataFrame, name: str = "row") -> Column:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, as after a checkpoint.
 
-    Its cleaner works behind the collector's back: what the first round frees may be what holds the rest.
+    Events that wait for listeners still hold their plans, so those go first; and Spark's cleaner works behind the
+    collector's back, so what one round frees may be what holds the rest.
     """
+    sc = spark.sparkContext
+    try:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    except Py4JJavaError:
+        pass  # a busy listener: files go later
     for _ in range(2):
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        sc._jvm.System.gc()
         time.sleep(0.5)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused Python worker does not carry one stage's peak through the next."""
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give_back(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with the worker's memory trimmed after each task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int | str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of text each; a longer text is a part of its own."""
+    if not batch.num_rows:
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    cuts = np.flatnonzero(np.diff(upto // size, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(upto)], strict=True):
+        yield batch.slice(int(a), int(b - a))

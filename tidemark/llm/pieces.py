@@ -29,11 +29,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import plus
+from .common import mapped, plus, slices
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO = 150_000
+MEMO, PAIRS = 150_000, 500_000
 LONGEST_MEMO = 48
 
 
@@ -126,7 +126,7 @@ class PrefixTable:
                 before, x = rx << 1, halves[x][1]
             else:
                 before, y = (ry << 1) + 1, halves[y][0]
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[a << 20 | b] = ok
         return ok
@@ -252,14 +252,14 @@ def encode_texts(df: DataFrame, model_file: str, text_col: str = "text", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model_file)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             got = [table.coded(x.as_py()) for x in batch.column(text_col)]
             ends = np.cumsum([0, *[g[0].count(" ") + 1 for g in got]])
             values = np.fromstring(" ".join([g[0] for g in got]), np.int32, sep=" ")
             extra = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array([table.plain(g[1]) for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, ids_col, decoded_col])
 
-    return df.mapInArrow(run, plus(df, **{ids_col: "array<int>", decoded_col: "string"}))
+    return mapped(df, run, plus(df, **{ids_col: "array<int>", decoded_col: "string"}))
 
 
 def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,4 +278,4 @@ def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, ddl)
+    return mapped(df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text"), run, ddl)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus
+from .common import mapped, plus
 
 BITS = 16
 FACTORS = 6
@@ -197,7 +197,7 @@ def with_scores(df: DataFrame, model: Model, score_col: str = "quality_score") -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(shared.value, batch), pa.float64())], names=[*batch.schema.names, score_col])
 
-    return df.mapInArrow(run, plus(df, **{score_col: "double"}))
+    return mapped(df, run, plus(df, **{score_col: "double"}))
 
 
 def accepted(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +208,7 @@ def accepted(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, batch) >= threshold, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:

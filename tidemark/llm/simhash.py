@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import boxed, checkpointed, plus, shuffle_width, tokens_lower
+from .common import boxed, checkpointed, mapped, plus, shuffle_width, tokens_lower
 from .components import components
 
 RADIUS = 4
@@ -197,7 +197,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 size = 0
         yield from flush(True)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return mapped(dealt, run, "u long, v long")
 
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", fp_col: str = "fp", width: int = SHINGLE) -> DataFrame:
@@ -208,7 +208,7 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", fp_col: str = "fp",
             made = pa.array([fingerprint(t.as_py(), width) for t in batch.column(text_col)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, fp_col])
 
-    return df.mapInArrow(run, plus(df, **{fp_col: "long"}))
+    return mapped(df, run, plus(df, **{fp_col: "long"}))
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

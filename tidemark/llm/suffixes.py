@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs
-from .common import checkpointed, release, shuffle_width
+from .common import checkpointed, mapped, release, shuffle_width
 
 LENGTH = 50
 GRAM = 20
@@ -246,7 +246,7 @@ def _name_texts(groups: int, buckets: int):
                 if doc.is_valid and len(raw) >= LENGTH:
                     held.append((*phrases(raw), doc.as_py(), crc32(raw)))
                     size += len(raw)
-                    if size >= 32_000_000:
+                    if size >= 20_000_000:
                         yield from flush(held)
                         held, size = [], 0
         yield from flush(held)
@@ -397,13 +397,13 @@ def _solve(docs: DataFrame, make, schema, hot: int = HOT) -> DataFrame:
     groups = max(2 * width, -(-total // GROUP_BYTES))
     parts = max(width, groups // 2)
     thin = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    entries = thin.mapInArrow(_name_texts(groups, parts), blobs.DDL)
+    entries = mapped(thin, _name_texts(groups, parts), blobs.DDL)
     found = checkpointed(blobs.by_key(entries, parts, _judge_names(groups, parts, hot), blobs.DDL))
     release(spark)  # the entries' shuffle is the largest; its files need not wait for the end
     key_of = lambda batch: _group_of(*_marks(batch)[1:], groups)
     wanted = blobs.packed_rows(thin, key_of).union(found.filter("kind = 2"))
     cut = blobs.by_key(wanted, parts, _cut_phrases, "shard long, doc long, mark long, pos long, piece binary")
-    sorted_ = cut.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(groups), blobs.DDL)
+    sorted_ = mapped(cut.repartition(parts, "shard").sortWithinPartitions("shard"), _sort_shards(groups), blobs.DDL)
     final = blobs.packed_rows(docs, key_of).union(found.filter("kind = 1")).union(sorted_)
     return blobs.by_key(final, parts, _finish(make, None), schema)
 
