@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import checkpointed, release, shuffle_width
+from .common import checkpointed, mapped, release, shuffle_width
 from .suffixes import _by, _group_of, _marks
 
 SAMPLES, BURN = 2, 2
 STRENGTH = 1.0
 HEAVY = 512
-GROUP_BYTES, LEAST_GROUP_BYTES = 20_000_000, 2_000_000
+GROUP_BYTES, LEAST_GROUP_BYTES = 16_000_000, 2_000_000
 END, START = 1, 2
 
 
@@ -62,8 +62,8 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     coded = flat.filter(real).dictionary_encode()
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
     words, place = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
-    sizes = np.diff(ends) + 1
-    tok = np.full(int(sizes.sum()), place[-1], np.int64)
+    place, sizes = place.astype(np.int32), np.diff(ends) + 1
+    tok = np.full(int(sizes.sum()), place[-1], np.int32)
     own = np.ones(len(tok), bool)
     own[np.cumsum(sizes) - 1] = False
     tok[own] = place[coded.indices.to_numpy()]
@@ -95,20 +95,25 @@ class Group:
     def __init__(self, texts: pa.Array, train: np.ndarray, buckets: int, heavy: np.ndarray):
         self.words, word, self.sizes = _tokens(texts)
         n = len(self.words)
-        before = np.empty(len(word), np.int64)
-        before[1:] = word[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = n  # the start of a text
+        key = np.empty(len(word), np.int64)
+        key[1:] = word[:-1]
+        key[np.cumsum(self.sizes) - self.sizes] = n  # the start of a text
         self.word_at = word
-        pair, self.pair_at = np.unique(before * (n + 1) + word, return_inverse=True)
-        self.left, self.right = pair // (n + 1), pair % (n + 1)
+        key *= n + 1
+        key += word
+        pair, at = np.unique(key, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        del key, at
+        self.left, self.right = (pair // (n + 1)).astype(np.int32), (pair % (n + 1)).astype(np.int32)
+        del pair
         learned = np.repeat(train, self.sizes)
-        self.count = np.bincount(self.pair_at[learned], minlength=len(pair))
+        self.count = np.bincount(self.pair_at[learned], minlength=len(self.left)).astype(np.int32)
         self.word_count = np.bincount(word[learned], minlength=n)
         self.short = np.append(self.words >> np.uint64(16), np.uint64(START))
         u, w = self.short[self.left], self.short[self.right]
         spread = np.isin(u, heavy)
         route = np.where(spread, blobs.mix64(u ^ blobs.mix64(w)), blobs.mix64(u))
-        self.pair_bucket = (route % np.uint64(buckets)).astype(np.int64)
+        self.pair_bucket = (route % np.uint64(buckets)).astype(np.int32)
         self.word_bucket = (blobs.mix64(self.short[:-1]) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -357,7 +362,7 @@ def heavy_words(docs: DataFrame) -> np.ndarray:
             often.update(dict(zip(seen.field("values").take(pa.array(many)).to_pylist(), n[many].tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array([0, *[xxhash.xxh64_intdigest(w.encode()) >> 16 for w in often]], pa.int64()), pa.array([total, *often.values()], pa.int64())], names=["w", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    sums = mapped(docs.select("text"), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = sums.filter("w = 0").first()
     if total is None or not total["n"]:
         return np.array([START], np.uint64)
