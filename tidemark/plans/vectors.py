@@ -28,7 +28,7 @@ _D = "list_transform(embedding, lambda x: x::DOUBLE)"
 _kernel("square", "list_transform(embedding, lambda x: x * x)", lambda a: kernels.map_kernel("square", a))
 _kernel("sqrt", "list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN sqrt(x) ELSE 0 END)", lambda a: kernels.map_kernel("sqrt", F.transform(a, lambda x: F.greatest(x, F.lit(0.0).cast("float")))))
 _kernel("mul_add", "list_transform(embedding, lambda x: x * 2::FLOAT + 1.5::FLOAT)", lambda a: kernels.map_kernel("mul_add", a, factor=2, addend=1.5))
-_kernel("cumsum", "list_transform(range(1, len(embedding) + 1), lambda i: list_sum(embedding[1:i]))", lambda a: kernels.map_kernel("cumsum", a))
+_kernel("cumsum", f"list_transform(range(1, len(embedding) + 1), lambda i: list_sum({_D}[1:i]))", lambda a: kernels.map_kernel("cumsum", a.cast("array<double>"), kind="double"))
 _kernel("normalize", f"list_transform({_D}, lambda x: (x - list_avg({_D})) / list_stddev_pop({_D}))", lambda a: kernels.map_kernel("normalize", a))
 _kernel("rolling_mean", "list_transform(range(4, len(embedding) + 1), lambda i: list_avg(embedding[i-3:i]))", lambda a: kernels.map_kernel("rolling_mean", a, n=4))
 _kernel("vector_add", "list_transform(embedding, lambda x, i: x + embedding[len(embedding) + 1 - i])", lambda a: kernels.map_kernel("vector_add", a, F.reverse(a)))
