@@ -102,3 +102,37 @@ def test_seating():
     assert abs(mean - exact) < 0.15, (mean, exact)
     t = lm.seat(np.array([1.0, 2.0, 500.0, 100000.0]), np.full(4, 0.25), np.zeros(4), d, h, rng)
     assert (t >= 1).all() and (t <= [1, 2, 500, 100000]).all()
+
+
+def sent_on(fn, inbox):
+    """What a stage makes of each key's blobs, by key and kind."""
+    out: dict = {}
+    for key in sorted(inbox):
+        for batch in fn(key, inbox[key]):
+            for to, kind, blob in zip(*batch.to_pydict().values()):
+                out.setdefault(to, {}).setdefault(kind, []).append(blob)
+    return out
+
+
+def test_seating_does_not_depend_on_the_number_of_groups(monkeypatch):
+    """Contexts are seated against each word's share of the whole corpus, whether its texts are one group or many."""
+    import pyarrow as pa
+
+    from tidemark.llm import blobs
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.5, 60).clip(max=500)) for _ in range(150)]
+    counts = Counter(t for i, text in enumerate(texts) if crc32(str(i).encode()) % 7 != 2 for t in tokens(text))
+    n, heavy, seats, seen = sum(counts.values()), np.array([lm.START], np.uint64), lm.seat, []
+    monkeypatch.setattr(lm, "seat", lambda c, base, *more: seen[-1].append(np.sort(base)) or seats(c, base, *more))
+    tables = []
+    for groups in (1, 30):
+        seen.append([])
+        held = {g: {0: [blobs.pack_rows(pa.RecordBatch.from_pydict({"doc_id": [*range(g, 150, groups)], "text": texts[g::groups]}))]} for g in range(groups)}
+        counted = sent_on(lm._sum_words(), sent_on(lm._count(1), held))
+        assert blobs.unpack(counted[0][8][0], np.int64)[0].tolist() == [n]
+        asked = sent_on(lm._ask(1, heavy, n), {g: {**held[g], 5: counted[g][5]} for g in held})
+        tables.append(sent_on(lm._seat_contexts(1, heavy), asked)[0])
+    assert all(np.array_equal(a, b) for a, b in zip(*seen, strict=True))
+    assert {round(x * n) for x in seen[1][0]} <= set(counts.values())
+    assert tables[0][3] == tables[1][3] and tables[0][6] == tables[1][6]

@@ -11,13 +11,15 @@ seatings are kept; the root is seated for each of them. A token's probability is
 and a text's score the sum of its log10. While contexts are seated, P0 is the words' share of the tokens.
 Discounts come from counts of counts, n1 / (n1 + 2 n2).
 
-Plan: texts go to groups by a hash. A group sends its distinct pairs (48-bit hashes of context and word)
-with their training counts to buckets by context, and its distinct words (64-bit hashes, exact) to buckets
-by word. Buckets of pairs seat the contexts and answer each group in the order of its request; buckets of
-words count, seat the root, and answer alike; groups then score their texts. Everything is counted over
-all training documents. Pairs of a context are together, but for contexts with over 1 / HEAVY of all
-tokens (fewer than HEAVY), whose pairs are dealt out by the pair: their table total is taken as the
-bucket's own times the number of buckets while sampling, and summed exactly for scoring.
+Plan: texts go to groups by a hash. A group sends its distinct words (64-bit hashes, exact) with their
+training counts to buckets by word, which sum them over all groups and answer each group in the order of
+its request; then its distinct pairs (48-bit hashes of context and word) with their counts, and with the
+corpus count of each word, to buckets by context. Buckets of pairs seat the contexts and answer alike;
+buckets of words seat the root and answer too; groups then score their texts. Everything is counted over
+all training documents; the shares that seat contexts are the same however texts are grouped. Pairs of a
+context are together, but for contexts with over 1 / HEAVY of all tokens (fewer than HEAVY), whose pairs
+are dealt out by the pair: their table total is taken as the bucket's own times the number of buckets
+while sampling, and summed exactly for scoring.
 
 Defined cases: null text is empty and has the end token alone; a null id counts as not held out; without
 training tokens every count is 0 and a token's probability is 1 / (V + 1) = 1; repeated rows are learned
@@ -89,6 +91,10 @@ def _integers(b: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(b.reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _word_bucket(short: np.ndarray, buckets: int) -> np.ndarray:
+    return (blobs.mix64(short) % np.uint64(buckets)).astype(np.int64)
+
+
 class Group:
     """The tokens of one group of texts: distinct words and pairs, in an order that only depends on the texts."""
 
@@ -114,17 +120,64 @@ class Group:
         spread = np.isin(u, heavy)
         route = np.where(spread, blobs.mix64(u ^ blobs.mix64(w)), blobs.mix64(u))
         self.pair_bucket = (route % np.uint64(buckets)).astype(np.int32)
-        self.word_bucket = (blobs.mix64(self.short[:-1]) % np.uint64(buckets)).astype(np.int64)
+        self.word_bucket = _word_bucket(self.short[:-1], buckets)
 
 
-def _ask(buckets: int, heavy: np.ndarray):
-    """Texts of a group -> pairs (kind 0) and words (kind 1) for their buckets."""
+def _count(buckets: int):
+    """Texts of a group -> words (kind 1) for their buckets."""
+
+    def fn(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        texts, _, train = _texts(held[0])
+        words, word, sizes = _tokens(texts)
+        count = np.bincount(word[np.repeat(train, sizes)], minlength=len(words))
+        out = []
+        for b, at in _by(_word_bucket(words >> np.uint64(16), buckets)):
+            out.append((b, 1, blobs.pack(np.array([g], np.int64), _planes(words[at]), _bytewise(count[at]))))
+            if len(out) == 64:
+                yield blobs.rows(out)
+                out = []
+        if out:
+            yield blobs.rows(out)
+
+    return fn
+
+
+def _sum_words():
+    """Words of a bucket -> their counts over all groups, as answers for the groups (kind 5), and the bucket's tokens (kind 8); words pass."""
+
+    def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for blob in held[1]:
+            head, w, c = blobs.unpack(blob, np.int64, np.uint8, np.uint8)
+            asked.append((int(head[0]), _unplanes(w) >> np.uint64(16), _integers(c)))
+            yield blobs.rows([(b, 1, blob)])
+        short, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+        c = np.bincount(back, np.concatenate([a[2] for a in asked]), len(short)).astype(np.int64)
+        at = 0
+        for g, own, _ in asked:
+            here = back[at : at + len(own)]
+            at += len(own)
+            yield blobs.rows([(g, 5, blobs.pack(np.array([b], np.int64), blobs.planes(c[here], 8)))])
+        yield blobs.rows([(b, 8, blobs.pack(np.array([c.sum()], np.int64)))])
+
+    return fn
+
+
+def _ask(buckets: int, heavy: np.ndarray, tokens: int | None = None):
+    """Texts of a group and its words' counts in a corpus of so many tokens -> pairs (kind 0) for their buckets.
+
+    Without tokens the group is the whole corpus.
+    """
 
     def fn(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         texts, _, train = _texts(held[0])
         own = Group(texts, train, buckets, heavy)
-        head = np.array([g, int(own.word_count.sum())], np.int64)
-        level = np.round(8 * np.log2(np.maximum(own.word_count, 0.5))).clip(0).astype(np.uint8)
+        in_all = own.word_count.astype(np.int64)
+        if tokens is not None:
+            answers = {int(b[0]): c for b, c in (blobs.unpack(blob, np.int64, np.uint8) for blob in held[5])}
+            for b, at in _by(own.word_bucket):
+                in_all[at] = blobs.from_planes(answers[b], 8)
+        head = np.array([g, in_all.sum() if tokens is None else tokens], np.int64)
         out = []
         for b, at in _by(own.pair_bucket):
             u = own.short[own.left[at]]
@@ -132,12 +185,7 @@ def _ask(buckets: int, heavy: np.ndarray):
             runs = np.diff(np.append(first, len(u)))
             used, place = np.unique(own.right[at], return_inverse=True)
             # START sorts behind all words of the group: its hash is small, so differences wrap around, which is harmless.
-            out.append((b, 0, blobs.pack(head, _planes(u[first]), _bytewise(runs), _planes(own.short[used]), level[used], _bytewise(place), _bytewise(own.count[at]))))
-            if len(out) == 64:
-                yield blobs.rows(out)
-                out = []
-        for b, at in _by(own.word_bucket):
-            out.append((b, 1, blobs.pack(head, _planes(own.words[at]), _bytewise(own.word_count[at]))))
+            out.append((b, 0, blobs.pack(head, _planes(u[first]), _bytewise(runs), _planes(own.short[used]), blobs.planes(in_all[used], 8), _bytewise(place), _bytewise(own.count[at]))))
             if len(out) == 64:
                 yield blobs.rows(out)
                 out = []
@@ -184,19 +232,17 @@ def predictive(customers, tables, base, all_customers, all_tables, discount: flo
 
 
 def _seat_contexts(buckets: int, heavy: np.ndarray):
-    """Pairs of a bucket -> answers for the groups (kind 2), root customers for word buckets (kind 3), totals (kind 6); words pass."""
+    """Pairs of a bucket -> answers for the groups (kind 2), root customers for word buckets (kind 3), totals (kind 6)."""
 
     def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for blob in held.get(1, []):
-            yield blobs.rows([(b, 1, blob)])
         asked = []
         for blob in held.pop(0, []):
-            head, u, runs, w, level, place, c = blobs.unpack(blob, np.int64, *[np.uint8] * 6)
+            head, u, runs, w, in_all, place, c = blobs.unpack(blob, np.int64, *[np.uint8] * 6)
             place = _integers(place)
-            asked.append((int(head[0]), int(head[1]), _unplanes(u), _integers(runs), _unplanes(w)[place], _integers(c), level[place]))
+            asked.append((int(head[0]), int(head[1]), _unplanes(u), _integers(runs), _unplanes(w)[place], _integers(c), blobs.from_planes(in_all, 8)[place]))
         if not asked:
             return
-        tokens = max(sum(a[1] for a in asked), 1)
+        tokens = max(asked[0][1], 1)
         u, w = np.concatenate([np.repeat(a[2], a[3]) for a in asked]), np.concatenate([a[4] for a in asked])
         order = np.lexsort((w, u))
         new_u = np.append(True, u[order][1:] != u[order][:-1])
@@ -205,7 +251,7 @@ def _seat_contexts(buckets: int, heavy: np.ndarray):
         back = np.empty(len(u), np.int64)
         back[order] = np.cumsum(fresh) - 1
         c = np.add.reduceat(np.concatenate([a[5] for a in asked]).astype(np.int64)[order], first)
-        share = np.add.reduceat(np.exp2(np.concatenate([a[6] for a in asked]) / 8.0)[order], first) / tokens
+        share = np.concatenate([a[6] for a in asked])[order[first]] / tokens  # every group sent the same count
         u, w, restaurant = u[order][first], w[order][first], (np.cumsum(new_u) - 1)[first]
         del order
         n_u = int(restaurant[-1]) + 1
@@ -378,10 +424,13 @@ def scored(docs: DataFrame) -> DataFrame:
     groups = max(min(width, -(-total // LEAST_GROUP_BYTES)), -(-total // GROUP_BYTES), 1)
     heavy = heavy_words(docs)
     texts = blobs.packed_rows(docs, lambda batch: _group_of(*_marks(batch)[1:], groups))
-    asked = blobs.by_key(texts, groups, _ask(groups, heavy), blobs.DDL)
+    counted = checkpointed(blobs.by_key(blobs.by_key(texts, groups, _count(groups), blobs.DDL), groups, _sum_words(), blobs.DDL))
+    release(docs.sparkSession)
+    tokens = sum(int(blobs.unpack(bytes(row["blob"]), np.int64)[0][0]) for row in counted.filter("kind = 8").select("blob").toLocalIterator())
+    asked = blobs.by_key(texts.union(counted.filter("kind = 5")), groups, _ask(groups, heavy, tokens), blobs.DDL)
     contexts = checkpointed(blobs.by_key(asked, groups, _seat_contexts(groups, heavy), blobs.DDL))
     release(docs.sparkSession)
-    root = checkpointed(blobs.by_key(contexts.filter("kind in (1, 3)"), groups, _seat_root(groups), blobs.DDL))
+    root = checkpointed(blobs.by_key(counted.filter("kind = 1").union(contexts.filter("kind = 3")), groups, _seat_root(groups), blobs.DDL))
     release(docs.sparkSession)
     # A few numbers from each bucket, one bucket at a time: counts of counts, and the tables of fewer than HEAVY contexts.
     singles, spread_tables = np.zeros(2, np.int64), np.zeros((SAMPLES, len(heavy)), np.int64)
