@@ -82,3 +82,23 @@ def test_mined_rules_against_brute_force(spark):
     assert {r[0] for r in mined.rules} == {r[0] for r in want.rules} and mined.rules
     fires = {r["page_id"] for r in pages.select("page_id", urls.matches(urls.tokens(F.col("url")), mined).alias("m")).filter("m").collect()}
     assert fires == {i for i, own in items.items() if any(set(r[0]) <= own for r in want.rules)}
+
+
+def test_long_rules_are_mined(spark):
+    """Only all five words together are blocked; each four of them are fine."""
+    words = ["red", "green", "blue", "black", "white"]
+    urls_of = ["/".join(words)] * 20 + ["/".join(c) for c in combinations(words, 4)] * 20
+    pages = spark.createDataFrame([(k, f"http://example.org/{u}") for k, u in enumerate(urls_of)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 20), 0) for k in range(len(urls_of))], "doc_id long, quality int, toxic int")
+    assert [set(r[0]) for r in urls.mine(pages, labels).rules] == [{f"p:{w}" for w in words}]
+    assert {r["page_id"] for r in rows_of(urls.judged(pages, labels)) if r["mined"]} == set(range(20))
+
+
+def test_all_minimal_rules_are_kept(spark):
+    names = ["".join(chr(97 + k // 26**i % 26) for i in range(3)) for k in range(1100)]
+    every = [*names, *names, *["fine"] * 3300]
+    pages = spark.createDataFrame([(k, f"http://example.org/x{w}") for k, w in enumerate(every)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 2200), 0) for k in range(len(every))], "doc_id long, quality int, toxic int")
+    mined = urls.mine(pages, labels, min_support=0.0003)
+    assert {r[0] for r in mined.rules} == {(f"p:x{w}",) for w in names}
+    assert {r["page_id"] for r in rows_of(urls.judged(pages, labels, min_support=0.0003)) if r["mined"]} == set(range(2200))

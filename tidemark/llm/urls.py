@@ -7,9 +7,10 @@ go through FP-growth; rules that conclude "blocked" stay if their support, confi
 and no shorter rule says the same. Matching goes through an inverted index from a rule's first token to
 the rules; a URL only meets rules under tokens that it has.
 
-At most `max_rows` labelled pages are mined (least hash of the id) and at most `max_rules` rules kept
-(best confidence, then support): the model's size does not depend on the input's, so it is sent along
-as a literal. The judged pages are not shuffled.
+At most `max_rows` labelled pages are mined (least hash of the id). All minimal rules that pass the
+thresholds are kept, of any length: rules are asked for by length, without those that hold a shorter rule,
+so that only minimal ones reach the driver. Their number is bounded by the mined pages, not by the input,
+so they are sent along as a literal. The judged pages are not shuffled.
 
 Defined cases: null URLs, and those without `://`, have empty host and path and get the method's verdict
 for no tokens, allow; no labels or no surviving rules: allow; equal URLs get equal verdicts.
@@ -17,6 +18,7 @@ for no tokens, allow; no labels or no surviving rules: allow; equal URLs get equ
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MAX_ROWS = 50_000
-MAX_RULES = 1000
 LABEL = "=blocked"
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -70,7 +71,7 @@ class Mined:
     rules: tuple[tuple[tuple[str, ...], float, float], ...] = ()  # tokens, confidence, support
 
 
-def prune(found: list[tuple[frozenset, float, float]], max_rules: int) -> Mined:
+def prune(found: list[tuple[frozenset, float, float]], max_rules: int | None = None) -> Mined:
     """Rules whose proper part is not a rule already, best confidence first."""
     found = sorted(found, key=lambda r: (len(r[0]), sorted(r[0])))
     kept: list[tuple[frozenset, float, float]] = []
@@ -84,7 +85,7 @@ def prune(found: list[tuple[frozenset, float, float]], max_rules: int) -> Mined:
     return Mined(tuple((tuple(sorted(i)), c, s) for i, c, s in kept[:max_rules]))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5, max_rows: int = MAX_ROWS, max_rules: int = MAX_RULES) -> Mined:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5, max_rows: int = MAX_ROWS) -> Mined:
     bad = (
         labels.filter(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("page_id"))
@@ -99,15 +100,19 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_co
         .limit(max_rows)
         .select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
     )
-    found = (
+    rules = (
         FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
         .fit(few)
-        .associationRules.filter((F.col("consequent") == F.array(F.lit(LABEL))) & (F.col("lift") >= min_lift) & (F.size("antecedent") <= 4))
-        .orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent"))
-        .limit(20 * max_rules)
-        .collect()  # limited above
+        .associationRules.filter((F.col("consequent") == F.array(F.lit(LABEL))) & (F.col("lift") >= min_lift))
+        .select("antecedent", "confidence", "support")
+        .persist()
     )
-    return prune([(frozenset(r["antecedent"]), r["confidence"], r["support"]) for r in found], max_rules)
+    found: list[tuple[frozenset, float, float]] = []
+    for row in rules.select(F.size("antecedent").alias("n")).distinct().orderBy("n").collect():  # one row a length
+        minimal = rules.filter((F.size("antecedent") == row["n"]) & ~matches(F.col("antecedent"), prune(found)))
+        found += [(frozenset(r["antecedent"]), r["confidence"], r["support"]) for r in minimal.collect()]
+    rules.unpersist()
+    return prune(found)
 
 
 def matches(own: Column, mined: Mined) -> Column:
@@ -117,8 +122,8 @@ def matches(own: Column, mined: Mined) -> Column:
         index.setdefault(items[0], []).append(items)
     if not index:
         return F.lit(False)
-    lookup = F.create_map(*[x for key, rules in sorted(index.items()) for x in (F.lit(key), F.array(*[F.array(*map(F.lit, r)) for r in rules]))])
-    keys = F.array(*map(F.lit, sorted(index)))
+    lookup = F.from_json(F.lit(json.dumps(index, sort_keys=True)), "map<string, array<array<string>>>")  # one literal, however many rules
+    keys = F.map_keys(lookup)
     return F.exists(F.array_intersect(own, keys), lambda t: F.exists(F.element_at(lookup, t), lambda r: F.size(F.array_except(r, own)) == 0))
 
 
