@@ -6,10 +6,12 @@ token strings gives just these two tokens back) and so continues that prefix's o
 table holds that last token for each prefix. Candidates come from an automaton over the vocabulary,
 the pair test from the vocabulary's own merges, and the ids are read off backwards.
 
-White space becomes U+2581 and one is put in front (the model's normaliser is the identity). No piece
-holds U+2581 after another character, so no merge crosses such a border: a run of U+2581 with the
-characters behind it is encoded on its own, and frequent units are remembered. Pieces made of U+2581
-alone all have the lowest score; they merge last, leftmost first, which `_spaces` follows.
+White space becomes U+2581 and one is put in front (the model's normaliser is the identity). A merge makes
+a piece, so none crosses a border between characters that stand side by side in no piece. Characters that do
+fall into classes (letters and signs, say), found from the vocabulary; no piece holds U+2581 after another
+character. A run of one class with the U+2581 before it is therefore encoded on its own, a character of no
+class alone, and frequent units are remembered. Pieces made of U+2581 alone all have the lowest score; they
+merge last, leftmost first, which `_spaces` follows.
 Characters outside the vocabulary fall back to one byte piece per UTF-8 byte and never merge.
 
 Defined cases: null is the empty text, whose ids are the end id alone; texts of any length run in
@@ -21,7 +23,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -32,25 +35,24 @@ from pyspark.sql import DataFrame
 from .common import mapped, plus, slices
 
 SPACE = "▁"
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO, PAIRS = 150_000, 500_000
+MEMO, PAIRS = 300_000, 500_000
 LONGEST_MEMO = 48
 
 
 class Memo(dict):
-    """Units without the prefix that all of them have -> (ids in decimal, the bytes that they stand for).
+    """Units, with spaces as they are -> (ids in decimal, the bytes that they stand for).
 
     Two generations of MEMO entries: what is still in use moves to the new one when the old one goes.
     """
 
-    def __init__(self, table: PrefixTable, prefix: str):
-        self.table, self.prefix, self.old = table, prefix, {}
+    def __init__(self, table: PrefixTable):
+        self.table, self.old = table, {}
 
     def __missing__(self, key: str) -> tuple[str, bytes]:
         value = self.old.get(key)
         if value is None:
-            ids = self.table.unit(self.prefix + key)
-            value = " ".join(map(str, ids)), self.table._bytes(ids)
+            ids = self.table.unit(key.replace(" ", SPACE))
+            value = " ".join(map(self.table.decimal.__getitem__, ids)), self.table._bytes(ids)
         if len(key) <= LONGEST_MEMO:
             if len(self) >= MEMO:
                 self.old = dict(self)
@@ -89,7 +91,9 @@ class PrefixTable:
                 self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words, self.runs = Memo(self, SPACE), Memo(self, "")
+        self.decimal = [str(i) for i in range(n)]
+        self.units_of = _unit_pattern(self.ids).findall
+        self.memo = Memo(self)
 
     def _merge(self, t: str) -> tuple[list[int], tuple[int, int]]:
         """Plain merging of a vocabulary string: its tokens, and the last pair merged."""
@@ -214,11 +218,10 @@ class PrefixTable:
         """The ids of a text in decimal with the end id last, and the bytes that they stand for."""
         if not text:
             return str(self.end), b""
-        memo, keys = self.words, text.split(" ")
-        if "" in keys or SPACE in text:  # runs of spaces: units are not just words
-            memo, keys = self.runs, _UNIT.findall(SPACE + text.replace(" ", SPACE))
-        found = list(map(memo.__getitem__, keys))
-        return f"{' '.join([f[0] for f in found])} {self.end}", b"".join([f[1] for f in found])
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        ids, raw = zip(*map(self.memo.__getitem__, self.units_of(" " + text)))
+        return f"{' '.join(ids)} {self.end}", b"".join(raw)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.coded(text)[0].split()]
@@ -237,6 +240,28 @@ class PrefixTable:
         return text[1:] if text[:1] == " " else text
 
 
+def _unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Matches a unit of a text with spaces for U+2581: spaces and a run of one class of characters, or one other character."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    for piece in pieces:
+        body = piece.lstrip(SPACE)
+        if SPACE in body:
+            raise ValueError(f"a piece with U+2581 inside: {piece!r}")
+        for a, b in pairwise(body):
+            root[find(b)] = find(a)
+    classes: dict[str, list[str]] = {}
+    for c in root:
+        classes.setdefault(find(c), []).append(c)
+    runs = ["[" + "".join(map(re.escape, sorted(own))) + "]+" for own in sorted(classes.values(), key=len, reverse=True)]
+    return re.compile("|".join([f" *(?:{'|'.join([*runs, '[^ ]'])})", " +"]))
+
+
 _TABLES: dict[str, PrefixTable] = {}
 
 
