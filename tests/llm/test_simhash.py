@@ -53,9 +53,9 @@ def test_documents(spark, case):
     assert got(simhash.grouped(docs)) == brute_groups([(i, brute_print(t)) for i, t in pairs])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_of_crowded_fingerprints(spark, seed):
-    """Chains, dense balls and scattered values, so that trees, shards and components all have work."""
+@pytest.mark.parametrize("seed, most", [(1, simhash.MOST), (2, simhash.MOST), (2, 20)])
+def test_links_of_crowded_fingerprints(spark, seed, most, monkeypatch):
+    """Chains, dense balls and scattered values, so that trees, shards, their parts and components all have work."""
     rng = random.Random(seed)
     values = {rng.getrandbits(64) for _ in range(300)} | {0, (1 << 64) - 1}
     centre = rng.getrandbits(64)
@@ -67,27 +67,71 @@ def test_links_of_crowded_fingerprints(spark, seed):
         values.add(at)
     prints = [(k, v) for k, v in enumerate(sorted(values))]
     df = spark.createDataFrame([(k, simhash._signed(v)) for k, v in prints], "doc_id long, fp long")
+    whole = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda d, radius: whole(d, radius, most))
     classes = {r["fp"]: r["component_id"] for r in rows_of(simhash.classes(df))}
     want = brute_groups(prints)
     assert sorted((str(k), f"{v:016x}", str(classes[simhash._signed(v)])) for k, v in prints) == want
 
 
-def test_tree_and_forest_against_all_pairs():
+def spanned(n, left, right):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(left, right):
+        parent[find(a)] = find(b)
+    return [find(x) for x in range(n)]
+
+
+def same_parts(a, b):
+    return len(set(a)) == len(set(b)) == len(set(zip(a, b)))
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4, 9])
+def test_trees_and_forest_against_all_pairs(radius):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
-    values = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 12)]]))
-    for radius in (0, 1, 4, 9):
-        tree = simhash.BKTree(values, np.arange(len(values)))
-        out: list[int] = []
-        assert tree.take(values[5], radius, out) == len(out)
-        assert sorted(out) == np.flatnonzero(np.bitwise_count(values ^ values[5]) <= radius).tolist()
-        for a, b in simhash.forest(values, radius):
-            assert int(np.bitwise_count(values[a] ^ values[b])) <= radius
-
-
-@pytest.mark.parametrize("blocks", [6, 7, 8])
-def test_every_close_pair_shares_a_shard(blocks):
-    rng, masks = random.Random(blocks), simhash._masks(blocks, 4)
+    one = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 12)]]))
+    values, shard = np.concatenate([one, one[:7], one[5:6], one[100:300]]), np.repeat([3, 4, 9, 11], [len(one), 7, 1, 200])
+    trees = simhash.BKTrees(values, shard)
+    assert (trees.below[trees.roots] == [len(one), 7, 1, 200]).all()
+    near = np.flatnonzero(np.bitwise_count(values ^ values[5]) <= radius)
+    found = np.concatenate([trees.take(values[5:6], trees.roots[k : k + 1], radius)[1] for k in range(4)])
+    assert sorted(found.tolist()) == near.tolist() and not trees.live[near].any()
+    assert trees.below[trees.roots].sum() == trees.live.sum() == len(values) - len(near)
+    left, right, _ = simhash.forest(values, shard, radius)
+    close = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+    assert close[left, right].all() and (shard[left] == shard[right]).all()
+    pairs = np.argwhere(close & (shard[:, None] == shard[None, :]))
+    want, own = spanned(len(values), *pairs.T.tolist()), spanned(len(values), left.tolist(), right.tolist())
+    assert same_parts(want, own) and len(left) == len(values) - len(set(want))  # a forest, however dense
+
+
+def test_trees_on_a_table(spark):
+    """On a table's fingerprints the shards are trees with inner nodes, and the search leaves most edges out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.array(sorted({simhash.fingerprint(r["text"]) for r in docs.select("text").collect()}), np.int64).view(np.uint64)
+    inner = followed = nodes = asked = 0
+    for mask in simhash.shard_masks(len(fps)):
+        key = fps & np.uint64(mask)
+        order = np.argsort(key, kind="stable")
+        values, shard = fps[order], np.unique(key[order], return_inverse=True)[1]
+        *_, trees = simhash.forest(values, shard)
+        inner += len(np.unique(trees.parent[trees.parent >= 0]))
+        sizes = np.bincount(shard)
+        nodes, followed, asked = nodes + len(values), followed + trees.followed, asked + int((sizes * sizes).sum())
+        assert len(trees.levels) > 2 and sizes.max() < 4 * simhash.PER_SHARD
+    assert inner > nodes / 8 and nodes < followed < asked / 2, (inner, nodes, followed, asked)
+
+
+@pytest.mark.parametrize("n", [0, 1, 900, 10**6, 10**9, 10**12])
+def test_every_close_pair_shares_a_shard(n):
+    rng, masks = random.Random(n), simhash.shard_masks(n)
+    assert len(set(masks)) == len(masks)
     for _ in range(500):
         x = rng.getrandbits(64)
         y = x ^ sum(1 << b for b in rng.sample(range(64), 4))

@@ -6,11 +6,13 @@ Fingerprints link at RADIUS or fewer differing bits; linked ones, directly or no
 
 Exact search: the 64 bits are cut into blocks. Two linked fingerprints agree in at least blocks - RADIUS
 of them, so they meet in the shard of some choice of that many blocks. A shard holds distinct
-fingerprints only, so copies cost nothing. In a shard a BK-tree (children keyed by the integer distance
-to the parent) is searched along the edges within the radius; found nodes leave the tree and are
-searched from next, so a dense shard yields a spanning forest, not all its pairs. Shards are dealt out
-by their key instead of broadcast, because the trees of a corpus have no size bound. The number of
-blocks grows with the number of distinct fingerprints, so that shards stay small; the links do not change.
+fingerprints only, so copies cost nothing; the number of key bits grows with the number of distinct
+fingerprints, so that a shard holds about PER_SHARD. In a shard every fingerprint is a node of a BK-tree
+(children keyed by the integer distance to the parent), which is searched along the edges within the
+radius; found nodes leave the tree and are searched from next, so a dense shard yields a spanning forest,
+not all its pairs. A shard with over MOST fingerprints is cut into parts and each pair of parts solved
+apart. Shards are dealt out by their key instead of broadcast: a broadcast would bring the fingerprints
+of all documents to the driver, and they have no size bound. The links do not depend on the shards.
 
 Defined cases: null text is an empty text (fingerprint zero, which links like any other); a null id never
 is a component's id, unless all ids of the component are null; repeated rows all get their component.
@@ -33,7 +35,7 @@ from .components import components
 
 RADIUS = 4
 SHINGLE = 4
-LEAF = 64
+PER_SHARD, MOST = 64, 10_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -56,85 +58,121 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0])
 
 
-class BKTree:
-    """A BK-tree whose small subtrees are kept as arrays. Entries can be taken out while searching."""
-
-    __slots__ = ("children", "entries", "live", "pivot", "pivot_live", "values")
-
-    def __init__(self, values: np.ndarray, entries: np.ndarray):
-        self.live = len(values)
-        self.children: dict[int, BKTree] = {}
-        self.pivot, self.pivot_live = None, False
-        if len(values) <= LEAF:
-            self.values, self.entries = values, entries
-            return
-        self.pivot, self.pivot_live = values[0], True
-        self.values, self.entries = values[:1], entries[:1]
-        d = np.bitwise_count(values[1:] ^ self.pivot)
-        order = np.argsort(d, kind="stable")
-        cuts = np.flatnonzero(np.diff(d[order])) + 1
-        for part in np.split(order, cuts):
-            if (k := int(d[part[0]])) == 0:
-                raise ValueError("values must be distinct")
-            self.children[k] = BKTree(values[1:][part], entries[1:][part])
-
-    def take(self, value: np.uint64, radius: int, out: list[int]) -> int:
-        """Removes the live entries within the radius, appends them to out and returns their number."""
-        if self.pivot is None:
-            near = np.bitwise_count(self.values ^ value) <= radius
-            n = int(near.sum())
-            if n:
-                out.extend(self.entries[near].tolist())
-                self.values, self.entries = self.values[~near], self.entries[~near]
-                self.live -= n
-            return n
-        d, n = int(np.bitwise_count(self.pivot ^ value)), 0
-        if self.pivot_live and d <= radius:
-            out.append(int(self.entries[0]))
-            self.pivot_live, n = False, 1
-        for k in range(d - radius, d + radius + 1):
-            child = self.children.get(k)
-            if child is not None and child.live:
-                n += child.take(value, radius, out)
-        self.live -= n
-        return n
-
-
-def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (positions) that span the components of the distinct values of one shard."""
-    tree, links = BKTree(values, np.arange(len(values))), []
-    gone = np.zeros(len(values), bool)
-    for seed in range(len(values)):
-        if gone[seed]:
-            continue
-        first: list[int] = []
-        tree.take(values[seed], 0, first)
-        gone[seed] = True
-        queue = [seed]
-        while queue and tree.live:
-            at = queue.pop()
-            found: list[int] = []
-            tree.take(values[at], radius, found)
-            for k in found:
-                gone[k] = True
-                links.append((at, k))
-            queue.extend(found)
-        if not tree.live:
-            break
-    return links
-
-
-def blocks_for(n: int, radius: int = RADIUS) -> int:
-    """How many blocks to cut fingerprints into, so that a shard holds a few of n even ones."""
-    blocks = radius + 2
-    while blocks < radius + 4 and n > 16 * 2 ** (64 * (blocks - radius) / blocks):
+class BKTrees:
+    """One BK-tree for each run of equal shard numbers: every value is a node, its children keyed by their distance to it.
+
+    All trees grow and are searched side by side, level by level. Nodes are the positions of the values; `key`
+    lists the edges in order (65 * parent + distance) and `child` where they lead.
+    """
+
+    def __init__(self, values: np.ndarray, shard: np.ndarray):
+        n = len(values)
+        self.values = values.view(np.uint64)
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        self.levels: list[np.ndarray] = []
+        rest, group, lead, edge = np.arange(n), shard, np.full(n, -1), np.zeros(n, np.int64)
+        while len(rest):
+            fresh = np.append(True, group[1:] != group[:-1])
+            node = rest[fresh]
+            self.parent[node], self.edge[node] = lead[fresh], edge[fresh]
+            self.levels.append(node)
+            lead, rest = node[np.cumsum(fresh) - 1][~fresh], rest[~fresh]
+            edge = np.bitwise_count(self.values[rest] ^ self.values[lead]).astype(np.int64)
+            group = lead * 65 + edge
+            order = np.argsort(group, kind="stable")
+            rest, lead, edge, group = rest[order], lead[order], edge[order], group[order]
+        if (self.edge[self.parent >= 0] == 0).any():
+            raise ValueError("values must be distinct")
+        self.roots = self.levels[0] if n else np.zeros(0, np.int64)
+        self.child = np.flatnonzero(self.parent >= 0)
+        self.key = self.parent[self.child] * 65 + self.edge[self.child]
+        order = np.argsort(self.key)
+        self.child, self.key = self.child[order], self.key[order]
+        self.live = np.ones(n, bool)
+        self.below = np.ones(n, np.int64)  # live nodes of the subtree
+        for level in self.levels[:0:-1]:
+            np.add.at(self.below, self.parent[level], self.below[level])
+        self.followed = 0
+
+    def take(self, query: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """For queries (values) each from its node down, (number of the query, node) of the live nodes within the radius.
+
+        An edge is followed if its distance is within the radius of the query's distance to the parent. No two
+        queries may search one tree at a time: what is found leaves the tree.
+        """
+        which, hits = np.arange(len(query)), []
+        while len(node):
+            d = np.bitwise_count(self.values[node] ^ query[which]).astype(np.int64)
+            near = self.live[node] & (d <= radius)
+            if near.any():
+                hits.append((which[near], node[near]))
+            at = node * 65
+            low = np.searchsorted(self.key, at + np.maximum(d - radius, 0))
+            size = np.searchsorted(self.key, at + np.minimum(d + radius, 64), "right") - low
+            ends = np.cumsum(size)
+            to = self.child[np.repeat(low - ends + size, size) + np.arange(ends[-1])]
+            open_ = self.below[to] > 0
+            which, node = np.repeat(which, size)[open_], to[open_]
+            self.followed += len(node)
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.concatenate([h[1] for h in hits])
+        self.remove(found)
+        return np.concatenate([h[0] for h in hits]), found
+
+    def remove(self, nodes: np.ndarray) -> None:
+        self.live[nodes] = False
+        while len(nodes):
+            np.subtract.at(self.below, nodes, 1)
+            nodes = self.parent[nodes]
+            nodes = nodes[nodes >= 0]
+
+
+def forest(values: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, BKTrees]:
+    """Links (positions) that span the components of each shard's distinct values; equal shards stand together.
+
+    Each round, every shard that has live nodes asks once: the oldest found value that has not asked yet, or
+    else the next live one, which leaves the tree itself. Found values leave the tree and ask later.
+    """
+    trees, n = BKTrees(values, shard), len(values)
+    start = trees.roots  # the first of each shard
+    seed, head, tail = start.copy(), start.copy(), start.copy()
+    queue = np.zeros(n, np.int64)  # each shard's part of it holds what was found
+    left, right = [], []
+    active = np.arange(len(start))
+    while len(active := active[trees.below[start[active]] > 0]):
+        asks = head[active] == tail[active]
+        new = active[asks]
+        while len(late := new[~trees.live[seed[new]]]):
+            seed[late] += 1
+        trees.remove(seed[new])
+        at = np.where(asks, seed[active], queue[np.minimum(head[active], n - 1)])
+        head[active[~asks]] += 1
+        which, found = trees.take(trees.values[at], start[active], radius)
+        if len(found):
+            left.append(at[which])
+            right.append(found)
+            order = np.argsort(which, kind="stable")
+            which, found = which[order], found[order]
+            first = np.searchsorted(which, which)
+            queue[tail[active[which]] + np.arange(len(which)) - first] = found
+            np.add.at(tail, active[which], 1)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none), trees
+
+
+def shard_masks(n: int, radius: int = RADIUS, per_shard: int = PER_SHARD) -> list[int]:
+    """The bits that make the shard keys, so that a shard holds about per_shard of n even fingerprints.
+
+    The 64 bits are cut into more blocks than the radius; two that link agree in all but `radius` blocks. Each
+    choice of that many blocks gives one key, of as many bits of its blocks as n asks for.
+    """
+    bits = max(n // per_shard, 1).bit_length()
+    blocks = radius + 1
+    while blocks < radius + 4 and bits > 64 // blocks * (blocks - radius):
         blocks += 1
-    return blocks
-
-
-def _masks(blocks: int, radius: int) -> list[int]:
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    part = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+    share = min(-(-bits // (blocks - radius)), 64 // blocks)
+    part = [((1 << share) - 1) << 64 * k // blocks for k in range(blocks)]
     return [sum(c) for c in combinations(part, blocks - radius)]
 
 
@@ -142,60 +180,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _shard_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole shards: keys sorted, equal keys are one shard."""
-    values = values.view(np.uint64)
-    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-    sizes = np.diff(np.append(starts, len(keys)))
-    size_of = np.repeat(sizes, sizes)
-    left, right = [], []
-    small = size_of <= 8
-    for lag in range(1, 8):  # small shards: neighbours up to seven apart are all pairs of a shard
-        i = np.flatnonzero(small[:-lag] & (keys[lag:] == keys[:-lag]).all(1)) if len(keys) > lag else np.zeros(0, np.int64)
-        i = i[np.bitwise_count(values[i] ^ values[i + lag]) <= radius]
-        left.append(values[i])
-        right.append(values[i + lag])
-    for k in np.flatnonzero(sizes > 8):
-        own = values[starts[k] : starts[k] + sizes[k]]
-        found = np.array(forest(own, radius), np.int64).reshape(-1, 2)
-        left.append(own[found[:, 0]])
-        right.append(own[found[:, 1]])
-    return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-
-
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that connect what the radius connects."""
-    masks = [_signed(m) for m in _masks(blocks_for(distinct.count(), radius), radius)]
+    masks = [_signed(m) for m in shard_masks(distinct.count(), radius)]
     keyed = distinct.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "key"), "fp")
-    dealt = keyed.repartition(shuffle_width(distinct.sparkSession), "choice", "key").sortWithinPartitions("choice", "key", "fp")
+    # A shard over `most` is cut into parts; each pair of parts is a shard of its own, so every pair of values still meets.
+    hot = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("choice", "key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(own, k) * F.col("parts") + F.greatest(own, k))
+    cut = keyed.join(hot, ["choice", "key"], "left").select("choice", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part"), "fp")
+    dealt = cut.repartition(shuffle_width(distinct.sparkSession), "choice", "key", "part").sortWithinPartitions("choice", "key", "part", "fp")
+
+    def solve(waiting: list[np.ndarray], whole: bool) -> tuple[Iterator[pa.RecordBatch], np.ndarray]:
+        """Links of the shards that are complete, and the rows of the last one, which may go on."""
+        rows = np.concatenate(waiting)
+        new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1))
+        cut = len(rows) if whole else int(np.flatnonzero(new)[-1])
+        a, b, _ = forest(rows[:cut, 3].copy(), np.cumsum(new[:cut]), radius)
+        made = [pa.RecordBatch.from_arrays([pa.array(rows[a, 3]), pa.array(rows[b, 3])], names=["u", "v"])] if len(a) else []
+        return iter(made), rows[cut:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_k, kept_v = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal kept_k, kept_v
-            keys = np.concatenate([kept_k, *[p[0] for p in pending]])
-            vals = np.concatenate([kept_v, *[p[1] for p in pending]])
-            pending.clear()
-            cut = len(keys)
-            if not final and cut:  # the last shard may go on
-                cut = int(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))[-1])
-            kept_k, kept_v = keys[cut:], vals[cut:]
-            if cut:
-                a, b = _shard_links(keys[:cut], vals[:cut], radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
-
+        waiting: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-            pending.append((np.stack(cols[:2], 1), cols[2]))
-            size += len(cols[2])
+            if not batch.num_rows:
+                continue
+            waiting.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
+            size += batch.num_rows
             if size >= 200_000:
-                yield from flush(False)
-                size = 0
-        yield from flush(True)
+                made, rest = solve(waiting, False)
+                yield from made
+                waiting, size = [rest], len(rest)
+        if size:
+            yield from solve(waiting, True)[0]
 
     return mapped(dealt, run, "u long, v long")
 
