@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import suffixes
+from tidemark.llm import blobs, suffixes
 
 from .util import SF, crowded, empty_docs, odd_docs, odd_rows, rows_of
 
@@ -94,14 +95,60 @@ def test_suffix_order(reach):
             assert all(a <= b for a, b in zip(cut, cut[1:]))
 
 
-def test_entries_round_trip():
+def test_suffix_order_of_large_names():
+    """Names too wide for three in one integer are named in two steps; the order is the same."""
+    rng = np.random.default_rng(9)
+    for n in (5, 40, 301):
+        s = rng.integers(1, 4, n)
+        wide = np.where(s == 3, 1 << 30, s * 1000)
+        assert suffixes.suffix_order(wide, n).tolist() == suffixes.suffix_order(s, n).tolist()
+
+
+def test_least_documents():
+    rng = random.Random(6)
+    text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    shared = [text(70) for _ in range(5)]
+    pieces = list({text(rng.randrange(20)) + rng.choice(shared)[rng.randrange(10) :] + text(rng.randrange(20)) for _ in range(60)})
+    docs = np.array([rng.randrange(40) for _ in pieces])
+    windows = [(p[k : k + N], d) for p, d in zip(pieces, docs.tolist()) for k in range(len(p) - N + 1)]
+    least: dict = {}
+    for w, d in windows:
+        least[w] = min(d, least.get(w, d))
+    assert suffixes.least_documents(pieces, docs).tolist() == [least[w] for w, _ in windows]
+
+
+def test_every_removal_comes_from_the_suffix_order(spark, monkeypatch):
+    """No window goes that the suffix order of some shard did not give a smaller document."""
+    docs = [(i, t) for i, t in planted(7) if t]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d[0] for d in docs], "text": [d[1] for d in docs]})
+    sent: dict = {}
+
+    def send(made):
+        for part in made:
+            for key, kind, blob in zip(*part.to_pydict().values()):
+                sent.setdefault(kind, {}).setdefault(key, []).append(blob)
+
+    send(suffixes._keys_of_texts(1, 3)(iter([batch])))
+    for key, found in sent.pop(0).items():
+        send(suffixes._judge_keys(1000)(key, {0: found}))
+    texts = [blobs.pack_rows(batch)]
+    send(suffixes._ask(3)(0, {0: texts, 1: sent[1][0]}))
+    whole, runs = suffixes.least_documents, []
+    monkeypatch.setattr(suffixes, "least_documents", lambda *a: runs.append(whole(*a)) or np.full(len(runs[-1]), 1 << 40))
+    for key, found in sent[2].items():
+        send(suffixes._sort_shards(key, {2: found}))
+    rows = suffixes._documents([batch])
+    assert suffixes._repeats({3: sent.pop(3, {}).get(0, []), 4: sent[4][0]}, rows) == {}  # had the order found nothing, nothing would go
+    monkeypatch.setattr(suffixes, "least_documents", whole)
+    for key, found in sent[2].items():
+        send(suffixes._sort_shards(key, {2: found}))
+    assert suffixes._repeats({3: sent[3][0], 4: sent[4][0]}, rows) and len(runs) == 3
+
+
+def test_steps_round_trip():
     rng = np.random.default_rng(5)
-    for buckets in (1, 7, 102):
-        for n in (1, 2, 500):
-            bucket = int(rng.integers(buckets))
-            key = (rng.integers(0, (1 << 40) // buckets - 1, n) * buckets + bucket).astype(np.uint64)
-            name, doc = rng.integers(0, 1 << 48, n).astype(np.uint64), np.sort(rng.integers(-5, 9, n)) * (1 << 60) // 9
-            mark, pos, count = rng.integers(0, 1 << 32, n).astype(np.uint32), rng.integers(0, 1 << 32, n), rng.integers(1, 257, n)
-            blob = suffixes._pack_entries(bucket, buckets, key, name, doc, mark, pos, count)
-            for want, got in zip((key, name, doc, mark, pos, count), suffixes._unpack_entries(blob, bucket, buckets), strict=True):
-                assert (want == got).all()
+    for width in (2, 4, 6, 8):
+        for x in (rng.integers(0, 1 << min(8 * width, 62), 300), np.zeros(1, np.int64), np.zeros(0, np.int64)):
+            assert suffixes._sums(suffixes._steps(x, width), width).tolist() == x.tolist()
+    negative = rng.integers(-(1 << 62), 1 << 62, 50)
+    assert suffixes._sums(suffixes._steps(negative, 8), 8).tolist() == negative.tolist()

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import mapped
 
@@ -116,7 +117,8 @@ def by_key(df: DataFrame, parts: int, fn: Callable[[int, dict[int, list[bytes]]]
         if at is not None:
             yield from fn(at, held)
 
-    return mapped(df.repartition(parts, "key").sortWithinPartitions("key", "kind"), run, schema)
+    # Keys are numbers from 0, dealt out evenly; hashed, some partitions would get several and others none.
+    return mapped(df.repartitionById(parts, F.col("key").cast("int")).sortWithinPartitions("key", "kind"), run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
