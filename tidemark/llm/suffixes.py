@@ -49,7 +49,7 @@ LONGEST = 256
 HOT = 16_000
 SHARD = 1_000_000
 CHUNK_BYTES = 64_000_000
-GROUP_BYTES = 16_000_000
+GROUP_BYTES, LEAST_GROUP_BYTES = 16_000_000, 2_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _K_MASK = np.uint64((1 << 48) - 1)
@@ -353,16 +353,21 @@ def _ask(buckets: int):
     return fn
 
 
-def _sort_shards(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-    """Phrases of a bucket of keys -> the least documents of their windows, in runs, for the groups that asked (kind 3)."""
+def _sort_shards(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Phrases of a bucket of keys -> the least documents of their windows, in runs, for the groups that asked (kind 3).
+
+    What a group keeps for itself (kind 4) passes through.
+    """
+    for blob in held.pop(4, []):
+        yield blobs.rows([(g, 4, blob)])
     pieces: list[bytes] = []
     columns: list[tuple] = []
     for blob in held.pop(2, []):
-        g, number, key, least, several, size, raw = blobs.unpack(blob, np.int64, *[np.uint8] * 6)
+        asker, number, key, least, several, size, raw = blobs.unpack(blob, np.int64, *[np.uint8] * 6)
         ends = np.cumsum(blobs.from_planes(size, 2).astype(np.int64))
         raw = raw.tobytes()
         pieces += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        columns.append((np.full(len(ends), g[0]), _sums(number, 4), blobs.from_planes(key, 6), _sums(least, 8), several))
+        columns.append((np.full(len(ends), asker[0]), _sums(number, 4), blobs.from_planes(key, 6), _sums(least, 8), several))
     if not pieces:
         return
     group, number, key, least, several = (np.concatenate([c[k] for c in columns]) for k in range(5))
@@ -392,9 +397,9 @@ def _sort_shards(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatc
         at, r = at[tell], r[tell]
         out.append((group[at], number[at], offset[r], count[r], found[run[r]]))
     group, number, offset, count, found = (np.concatenate([o[k] for o in out]) for k in range(5))
-    for g, at in _by(group):
+    for to, at in _by(group):
         at = at[np.lexsort((offset[at], number[at]))]
-        yield blobs.rows([(g, 3, blobs.pack(_steps(number[at], 4), blobs.planes(offset[at], 2), blobs.planes(count[at], 2), _steps(found[at], 8)))])
+        yield blobs.rows([(to, 3, blobs.pack(_steps(number[at], 4), blobs.planes(offset[at], 2), blobs.planes(count[at], 2), _steps(found[at], 8)))])
 
 
 def _covered(start: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
@@ -456,17 +461,16 @@ def _solve(docs: DataFrame, make, schema, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     width = shuffle_width(spark)
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    groups = max(2 * width, -(-total // GROUP_BYTES))
-    parts = max(width, groups // 2)
+    groups = max(min(2 * width, -(-total // LEAST_GROUP_BYTES)), -(-total // GROUP_BYTES), 1)
+    parts = -(-groups // 2)
     thin = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     keys = mapped(thin, _keys_of_texts(groups, parts), blobs.DDL)
     wanted = checkpointed(blobs.by_key(keys, parts, _judge_keys(hot), blobs.DDL))
+    release(spark)  # the shuffle behind the checkpoint need not wait for the end
     key_of = lambda batch: _group_of(*_marks(batch)[1:], groups)
-    asked = checkpointed(blobs.by_key(blobs.packed_rows(thin, key_of).union(wanted), groups, _ask(parts), blobs.DDL))
-    release(spark)  # the shuffles behind checkpoints need not wait for the end
-    told = blobs.by_key(asked.filter("kind = 2"), parts, _sort_shards, blobs.DDL)
-    final = blobs.packed_rows(docs, key_of).union(asked.filter("kind = 4")).union(told)
-    return blobs.by_key(final, groups, _finish(make), schema)
+    asked = blobs.by_key(blobs.packed_rows(thin, key_of).union(wanted), groups, _ask(parts), blobs.DDL)
+    told = blobs.by_key(asked, groups, _sort_shards, blobs.DDL)
+    return blobs.by_key(blobs.packed_rows(docs, key_of).union(told), groups, _finish(make), schema)
 
 
 def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
