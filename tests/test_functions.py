@@ -111,9 +111,18 @@ def test_frames_round_trip(spark):
         made = df.withColumn("f", frames.frame(payload, F.col("id"), F.lit(1700000000000)))
         back = made.withColumn("b", frames.decode(frames.encode(F.col("f"))))
         assert all(r["f"] == r["b"] for r in back.collect()), kind
+        compact = made.withColumn("c", frames.encode_compact(F.col("f"))).withColumn("b", frames.decode_compact(F.col("c")))
+        assert all(r["f"] == r["b"] and r["c"][0] == 1 for r in compact.collect()), kind
+        assert compact.filter(F.octet_length("c") < F.octet_length(frames.encode(F.col("f")))).count() == 3, kind
         assert back.filter(frames.is_type(F.col("b"), kind)).count() == 3
     junk = spark.createDataFrame([(b"no frame",), (b"{}",), (None,)], "raw binary")
     assert [r[0] for r in junk.select(frames.decode(F.col("raw"))).collect()] == [None] * 3
+    assert [r[0] for r in junk.select(frames.decode_compact(F.col("raw"))).collect()] == [None] * 3
+    broken = spark.createDataFrame([(b"\x01" + bytes(5),), (b"\x01" + bytes(16) + b"\x03\x01",), (b"\x01" + bytes(16) + b"\x09",)], "raw binary")
+    assert [r[0] for r in broken.select(frames.decode_compact(F.col("raw"))).collect()] == [None] * 3
+    timeless = df.withColumn("f", frames.frame(kinds["data"], F.col("id"), F.lit(None)))  # the compact form has no room for it: JSON
+    both = timeless.withColumn("c", frames.encode_compact(F.col("f"))).withColumn("b", frames.decode_compact(F.col("c")))
+    assert all(r["c"][:1] == b"{" and r["f"] == r["b"] for r in both.collect())
     with pytest.raises(ValueError):
         frames.message("shout")
     f = bounded.from_values(spark, ["a", "b", "c"])

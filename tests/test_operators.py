@@ -226,6 +226,30 @@ def test_errors(seq):
     assert [r["_error"] for r in p.errors().df.collect()] == ["RuntimeError: two"]
 
 
+def test_async_calls_wait_together_and_keep_their_order(seq):
+    """Forty calls of 50 ms with four in flight take ten waits, not forty; results come in the order of the values."""
+    import asyncio
+    import time
+
+    async def slow(v):
+        slow.now = getattr(slow, "now", 0) + 1
+        slow.most = max(getattr(slow, "most", 0), slow.now)
+        await asyncio.sleep(0.05 if v % 2 else 0.01)
+        slow.now -= 1
+        if v == 7:
+            raise ValueError("seven")
+        return v * 1000 + slow.most
+
+    began = time.time()
+    out = values(errors.attempt_async(seq(*range(40)), slow, "long", in_flight=4).drop())
+    assert [v // 1000 for v in out] == [v for v in range(40) if v != 7] and max(v % 1000 for v in out) <= 4
+    assert any(v % 1000 > 1 for v in out) and time.time() - began < 30
+    rescued = values(errors.attempt_async(seq(6, 7), slow, "long").rescue(-1))
+    assert rescued[1] == -1
+    with pytest.raises(ValueError):
+        errors.attempt_async(seq(1), slow, "long", in_flight=0)
+
+
 def test_retries(seq):
     def flaky(v, seen={}):  # noqa: B006
         seen[v] = seen.get(v, 0) + 1
@@ -316,6 +340,28 @@ def test_cut_order_equals_one_window(spark, seed):
         ordering.BLOCK = before
 
 
+@pytest.mark.parametrize("kinds", ["t string, u double, ord int", "t int, u string, ord int", "t date, u timestamp_ntz, ord int"])
+def test_segments_follow_the_whole_order(spark, kinds):
+    """Strings and ties in the first column are cut too; segments never fall along the order, nulls first."""
+    import datetime as dt
+
+    from tidemark.ordering import with_segment
+
+    rng = random.Random(kinds)
+    make = {
+        "string": lambda: rng.choice([None, "", "a", "é", "zz", "東京", *"bcdefg"]),
+        "int": lambda: rng.choice([None, 3, 3, 3, 7]),
+        "double": lambda: rng.choice([None, float("nan"), 0.0, -0.0, rng.random()]),
+        "date": lambda: dt.date(2024, 1, rng.randrange(1, 4)),
+        "timestamp_ntz": lambda: rng.choice([None, dt.datetime(2024, 1, 1, rng.randrange(24), rng.randrange(60))]),
+    }
+    first, second = (k.split()[1] for k in kinds.split(", ")[:2])
+    df = spark.createDataFrame([(make[first](), make[second](), k) for k in range(900)], kinds).repartition(4)
+    rows = with_segment(df, ("t", "u", "ord"), 16).orderBy("t", "u", "ord").collect()
+    segs = [r["_seg"] for r in rows]
+    assert segs == sorted(segs) and len(set(segs)) >= 12 and max(segs.count(x) for x in set(segs)) < 350
+
+
 def test_cut_time_order_equals_one_window(timed):
     rng, t, pairs = random.Random(3), 0, []
     for k in range(500):

@@ -1,4 +1,4 @@
-"""Frames: numbered, timed payloads, their JSON form, and chunks of binary columns.
+"""Frames: numbered, timed payloads, their JSON and compact binary forms, and chunks of binary columns.
 
 A frame is a struct (sequence, timestamp, payload); a payload has a type and the fields of that type, all
 others null. Binary data travels in base64 inside JSON, vectors as arrays, so frames survive a round trip.
@@ -6,8 +6,13 @@ others null. Binary data travels in base64 inside JSON, vectors as arrays, so fr
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .flow import Flow
 from .ordering import ranked
@@ -82,6 +87,109 @@ def decode(data: Column) -> Column:
     return F.when(got["sequence"].isNotNull() & payload.isNotNull(), whole)
 
 
+_HEAD = struct.Struct(">BqqB")  # 1, sequence, timestamp, place of the type in _TYPES
+_TYPES = ("data", "float32", "control", "error")
+
+
+def _text(s: str | None) -> bytes:
+    raw = (s or "").encode()
+    return struct.pack(">i", -1 if s is None else len(raw)) + raw
+
+
+def _read_text(raw: bytes, at: int) -> str | None:
+    (n,) = struct.unpack_from(">i", raw, at)
+    return None if n < 0 else raw[at + 4 : at + 4 + n].decode()
+
+
+def _maybe(form: str, value) -> bytes:
+    return b"\0" if value is None else b"\1" + struct.pack(form, value)
+
+
+def pack_frame(f: dict | None) -> bytes | None:
+    """A frame's bytes: a fixed head, then what its type has. None for what is no frame (a null, an unknown type, no number)."""
+    p = f and f["payload"]
+    if not p or f["sequence"] is None or f["timestamp"] is None or p["type"] not in _TYPES:
+        return None
+    kind = p["type"]
+    if kind == "data":
+        body = _maybe("", None) if p["data"] is None else b"\1" + bytes(p["data"])
+    elif kind == "float32":
+        body = _maybe("", None) if p["floats"] is None else b"\1" + b"".join(_maybe(">f", x) for x in p["floats"])
+    elif kind == "control":
+        m = p["message"]
+        body = b"\0" if m is None else b"\1" + _text(m["type"]) + _maybe(">q", m["amount"]) + _maybe(">q", m["sequence"]) + _text(m["streamId"])
+    else:
+        body = _maybe(">i", p["code"]) + _text(p["error"]) + _maybe(">?", p["recoverable"])
+    return _HEAD.pack(1, f["sequence"], f["timestamp"], _TYPES.index(kind)) + body
+
+
+def unpack_frame(raw: bytes | None) -> dict | None:
+    """The frame of such bytes; None for bytes that are none."""
+    try:
+        one, sequence, timestamp, kind = _HEAD.unpack_from(raw or b"")
+        if one != 1:
+            return None
+        p = dict.fromkeys(("data", "floats", "message", "code", "error", "recoverable")) | {"type": _TYPES[kind]}
+        at = _HEAD.size
+
+        def take(form: str):
+            nonlocal at
+            there = raw[at]
+            at += 1
+            if not there:
+                return None
+            (value,) = struct.unpack_from(form, raw, at)
+            at += struct.calcsize(form)
+            return value
+
+        def text() -> str | None:
+            nonlocal at
+            s = _read_text(raw, at)
+            at += 4 + len((s or "").encode())
+            return s
+
+        if _TYPES[kind] == "data":
+            p["data"] = raw[at + 1 :] if raw[at] else None
+        elif _TYPES[kind] == "float32":
+            if raw[at]:
+                at += 1
+                p["floats"] = []
+                while at < len(raw):
+                    p["floats"].append(take(">f"))
+        elif _TYPES[kind] == "control":
+            if raw[at]:
+                at += 1
+                p["message"] = {"type": text(), "amount": take(">q"), "sequence": take(">q"), "streamId": text()}
+        else:
+            p["code"], p["error"], p["recoverable"] = take(">i"), text(), take(">?")
+        return {"sequence": sequence, "timestamp": timestamp, "payload": p}
+    except (struct.error, IndexError, UnicodeDecodeError):
+        return None
+
+
+def _columnwise(fn: Callable, to: T.DataType):
+    """fn on each element of one column, as an Arrow function."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(to)
+
+    @F.arrow_udf(to)
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([fn(x) for x in a.to_pylist()], kind)
+
+    return run
+
+
+def encode_compact(frame_: Column) -> Column:
+    """A frame in the compact form, or as JSON where that has no room for it (an unknown type, no timestamp)."""
+    return F.coalesce(_columnwise(pack_frame, T.BinaryType())(frame_), encode(frame_))
+
+
+def decode_compact(data: Column) -> Column:
+    """The frame in bytes of either form; bytes that are no frame give a null frame."""
+    return F.coalesce(_columnwise(unpack_frame, T._parse_datatype_string(FRAME))(data), decode(data))
+
+
 def chunked(df: DataFrame, data: str, ids: list[str], size: int = CHUNK, name: str = "chunk") -> DataFrame:
     """ids, sequence (from 0), and the binary column cut into chunks of `size` bytes. Empty and null cells give none."""
     if not isinstance(size, int) or size <= 0:

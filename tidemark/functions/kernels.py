@@ -35,8 +35,8 @@ def normalize(a: Vector, kind: str = "float") -> Vector:
     return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double") - mean, F.sqrt(var)), F.lit(float("nan"))).cast(kind))
 
 
-def cumsum(a: Vector, kind: str = "float", engine: str = "native") -> Vector:
-    """Prefix sums. The native form is quadratic in the vector's length."""
+def cumsum(a: Vector, kind: str = "float", engine: str = "arrow") -> Vector:
+    """Prefix sums, linear by Arrow batches; the native form is quadratic in the vector's length, for short vectors."""
     if engine == "arrow":
         return _cumsum_arrow(kind)(a)
     ones = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))

@@ -2,13 +2,14 @@
 
 `attempt` evaluates an expression that gives null on failure (Spark's try_ functions) with a condition
 that tells failure from a plain null. `attempt_python` runs a Python function on Arrow batches and
-catches what it raises, with retries. Both give an Attempt, whose policy is chosen last.
+catches what it raises, with retries; `attempt_async` awaits a coroutine function, many calls at a time. All give an Attempt, whose policy is chosen last.
 """
 
 from __future__ import annotations
 
+import asyncio
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -66,15 +67,28 @@ def attempt(flow: Flow, expr: Expr, failed: Expr | None = None, name: str | None
     return Attempt(flow.of(df.withColumn("_error", F.when(F.col("_failed"), F.lit("failed"))), value=name))
 
 
+def _attempts(flow: Flow, call_all: Callable[[list], list[tuple]], returns: str, name: str | None) -> Attempt:
+    """call_all: values of a batch -> (result, failed, error) of each, in their order."""
+    name = name or flow.value
+    schema = T.StructType([*[f for f in flow.df.schema.fields if f.name != name], *T._parse_datatype_string(f"`{name}` {returns}, _failed boolean, _error string").fields])
+    rest, value = [f.name for f in schema.fields[:-3]], flow.value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            got = call_all(batch.column(value).to_pylist())
+            extra = [pa.array([g[0] for g in got], to_arrow_type(schema[name].dataType)), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *extra], names=[*rest, name, "_failed", "_error"])
+
+    return Attempt(flow.of(flow.df.mapInArrow(run, schema), value=name))
+
+
 def attempt_python(flow: Flow, fn: Callable[[Any], Any], returns: str, retries: int = 0, delay_ms: int = 0, name: str | None = None) -> Attempt:
     """fn on each value, batch by batch; an exception is kept as the element's error.
 
     A call is tried again up to `retries` times, after delay_ms, 2 delay_ms, and so on.
     """
-    name = name or flow.value
-    schema = T.StructType([*[f for f in flow.df.schema.fields if f.name != name], *T._parse_datatype_string(f"`{name}` {returns}, _failed boolean, _error string").fields])
-    rest = [f.name for f in schema.fields[:-3]]
-    value = flow.value
 
     def call(x: Any) -> tuple[Any, bool, str | None]:
         for k in range(retries + 1):
@@ -86,15 +100,36 @@ def attempt_python(flow: Flow, fn: Callable[[Any], Any], returns: str, retries:
                 time.sleep(delay_ms * (k + 1) / 1000)
         raise AssertionError
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+    return _attempts(flow, lambda values: list(map(call, values)), returns, name)
 
-        for batch in batches:
-            got = [call(x) for x in batch.column(value).to_pylist()]
-            extra = [pa.array([g[0] for g in got], to_arrow_type(schema[name].dataType)), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *extra], names=[*rest, name, "_failed", "_error"])
 
-    return Attempt(flow.of(flow.df.mapInArrow(run, schema), value=name))
+IN_FLIGHT = 256
+
+
+def attempt_async(flow: Flow, fn: Callable[[Any], Awaitable[Any]], returns: str, in_flight: int = IN_FLIGHT, retries: int = 0, delay_ms: int = 0, name: str | None = None) -> Attempt:
+    """Like attempt_python with a coroutine function: up to `in_flight` calls of a task wait at the same time.
+
+    Results keep the order of their values, whichever comes back first.
+    """
+    if in_flight < 1:
+        raise ValueError("at least one call must be in flight")
+
+    async def call(x: Any, gate: asyncio.Semaphore) -> tuple[Any, bool, str | None]:
+        for k in range(retries + 1):
+            try:
+                async with gate:
+                    return await fn(x), False, None
+            except Exception as err:
+                if k == retries:
+                    return None, True, f"{type(err).__name__}: {err}"
+                await asyncio.sleep(delay_ms * (k + 1) / 1000)
+        raise AssertionError
+
+    async def every(values: list) -> list[tuple]:
+        gate = asyncio.Semaphore(in_flight)
+        return await asyncio.gather(*[call(x, gate) for x in values])
+
+    return _attempts(flow, lambda values: asyncio.run(every(values)), returns, name)
 
 
 def retry(action: Callable[[], Any], most: int = 3, delay_ms: int = 1000, sleep: Callable[[float], None] = time.sleep) -> Any:

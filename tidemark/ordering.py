@@ -3,20 +3,22 @@
 A window without a partition key puts all rows into one task. The helpers here give the same results
 for a flow without a key by cutting its order into segments:
 
-1. quantiles of the first order column give at most SEGMENTS bounds, so each row knows its segment;
+1. a sample of order tuples gives at most SEGMENTS - 1 bounds, and a row finds its segment among them by bisection;
 2. rows are counted by segment; summing those few counts gives each segment its first rank;
 3. ranks cut the rows into blocks of an exact length, and rows near a border are also handed to the
    neighbouring block (a halo), so that lag, lead and sliding frames are local to a block.
 
 Running aggregates are local to a segment plus the value brought in from the segments before it. The
 bounds and the table of segments have at most SEGMENTS rows, which is what is collected or broadcast.
-Ties in the first order column stay in one segment; rows that tie in all order columns have no order.
+The bounds take in all order columns, strings too, so ties in the first one are cut as well; rows that tie in
+all order columns have no order and stay in one segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,11 @@ BLOCK = 1 << 20
 #: Estimated bytes of a table from which order without a key is cut into segments.
 WIDE_BYTES = 256 << 20
 
-_CUTTABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Bytes of order tuples that the bounds are taken from, and how many of those for each segment.
+SAMPLE_BYTES, SAMPLED = 64 << 20, 64
+
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_CUTTABLE = (*_NUMBERS, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -41,19 +47,42 @@ def is_wide(df: DataFrame, order: Sequence[str]) -> bool:
     return isinstance(df.schema[order[0]].dataType, _CUTTABLE) and estimated_bytes(df) > WIDE_BYTES
 
 
+def _measure(df: DataFrame, name: str) -> Column:
+    """An order column as something that a literal can be compared with."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return F.datediff(c, F.lit("1970-01-01")) if isinstance(kind, T.DateType) else c
+
+
 def with_segment(df: DataFrame, order: Sequence[str], segments: int = SEGMENTS, name: str = "_seg") -> DataFrame:
     """Adds a number that never falls along the order. Nulls come first, as they sort."""
-    first = F.col(order[0])
-    kind = df.schema[order[0]].dataType
-    probes = [k / segments for k in range(1, segments)]
-    measure = F.unix_micros(first.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.datediff(first, F.lit("1970-01-01")) if isinstance(kind, T.DateType) else first
-    found = df.select(F.percentile_approx(measure, probes, 10_000).alias("q")).first()["q"]
-    bounds = sorted(set(found or []))
+    cut = list(takewhile(lambda c: isinstance(df.schema[c].dataType, _CUTTABLE), order))
+    at = [_measure(df, c) for c in cut]
+    tuples = df.select(*[c.alias(f"m{k}") for k, c in enumerate(at)])
+    size = estimated_bytes(tuples)
+    if size >= 1 << 60:  # not known to Spark
+        size = 32 * tuples.count()
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    some = tuples.sample(share, seed=1) if share < 1 else tuples
+    some = some.dropna().orderBy(F.xxhash64(*tuples.columns)).limit(segments * SAMPLED)  # what is collected
+    found = sorted(tuple(r) for r in some.collect()) if cut else []
+    bounds = sorted({found[len(found) * k // segments] for k in range(1, segments)}) if found else []
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    lits = F.array(*[F.lit(b) for b in bounds])
-    at = F.aggregate(lits, F.lit(0), lambda n, b: n + F.when(b < measure, 1).otherwise(0))
-    return df.withColumn(name, F.when(first.isNull(), F.lit(0)).otherwise(at))
+    lists = [F.array(*[F.lit(b[k]) for b in bounds]) for k in range(len(cut))]
+
+    def above(place: Column) -> Column:
+        """Whether the row's tuple is above the bound there."""
+        out = F.lit(False)
+        for values, mine in reversed(list(zip(lists, at, strict=True))):
+            bound = F.get(values, place)
+            out = (mine > bound) | ((mine == bound) & out)
+        return F.coalesce(out, F.lit(False))
+
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    seg = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda n, step: n + F.when((n + step <= len(bounds)) & above(n + step - 1), step).otherwise(0))
+    return df.withColumn(name, F.when(F.col(f"`{cut[0]}`").isNull(), F.lit(0)).otherwise(seg))
 
 
 def ranked(df: DataFrame, order: Sequence[str], key: Sequence[str] = (), name: str = "_rn", wide: bool | None = None) -> DataFrame:

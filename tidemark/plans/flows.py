@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import asyncio
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..flow import Flow
 from ..operators import combine, errors, terminals
-from ..sources import bounded
-from .registry import events, query, r6, table
+from ..sources import bounded, sinks
+from .registry import events, query, r6, shared_folder, table
 
 BY_USER = "PARTITION BY user_id ORDER BY ts, event_id"
 
@@ -41,6 +44,94 @@ def empty_query(spark, sf):
     return bounded.empty(spark).df
 
 
+@query("from_callable", "SELECT 0::BIGINT AS ord, 42::BIGINT AS value")
+def from_callable(spark, sf):
+    return bounded.from_callable(spark, lambda: 6 * 7, "long").df
+
+
+@query("from_generator", "SELECT range AS ord, range * range AS value FROM range(1000)")
+def from_generator(spark, sf):
+    return bounded.from_values(spark, (k * k for k in range(1000))).df
+
+
+@query("from_vector", "SELECT 0::BIGINT AS ord, CAST(pos AS BIGINT) AS pos, CAST(pos / 4 AS FLOAT) AS value FROM (SELECT unnest(range(200)) AS pos)")
+def from_vector(spark, sf):
+    """A typed array is one element; here it is opened."""
+    f = bounded.from_vector(spark, [k / 4 for k in range(200)])
+    return f.concat_map(F.col("value")).df.select("ord", F.col("pos").cast("long").alias("pos"), "value")
+
+
+_NAMES = "SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS ord, n_name AS value FROM nation"
+
+
+def _nations(spark, sf) -> Flow:
+    return Flow(table(spark, sf, "nation"), ("n_regionkey", "n_nationkey"), value="n_name")
+
+
+@query("to_array", _NAMES)
+def to_array(spark, sf):
+    """The ordered values of a small table on the driver, and back."""
+    return bounded.from_values(spark, _nations(spark, sf).to_array()).df
+
+
+@query("iterated", _NAMES)
+def iterated(spark, sf):
+    return bounded.from_values(spark, list(_nations(spark, sf))).df
+
+
+@query("observed", _NAMES + " UNION ALL SELECT -1, 'complete'")
+def observed(spark, sf):
+    """What an observer is told: each value in order, then the end."""
+    seen: list = []
+    sinks.observe(_nations(spark, sf), seen.append, on_complete=lambda: seen.append("complete"))
+    rows = [(-1 if v == "complete" else k, v) for k, v in enumerate(seen)]
+    return spark.createDataFrame(rows, "ord long, value string")
+
+
+@query("ndjson", "SELECT event_id, user_id, event_type, value, props FROM events")
+def ndjson(spark, sf):
+    """events out as JSON lines and in again."""
+    at = f"{shared_folder(spark)}/ndjson-{uuid.uuid4().hex}"
+    f = events(spark, sf)
+    sinks.to_ndjson(f.of(f.df.select("event_id", "user_id", "event_type", "value", "props", "ts")), at)
+    return bounded.from_ndjson(spark, at, "event_id long, user_id long, event_type string, value double, props string", ("event_id",)).df
+
+
+class _Flaky:
+    """Fails on the first two calls for a value; values that end in 5 always fail."""
+
+    def __init__(self):
+        self.calls: dict = {}
+
+    def __call__(self, x):
+        self.calls[x] = self.calls.get(x, 0) + 1
+        if x % 10 == 5 or self.calls[x] < 3:
+            raise ValueError("not yet")
+        return x * 2
+
+
+@query("errors_retry", "SELECT n_nationkey, n_nationkey * 2 AS doubled FROM nation WHERE n_nationkey % 10 <> 5")
+def errors_retry(spark, sf):
+    f = Flow(table(spark, sf, "nation").select("n_nationkey"), ("n_nationkey",), value="n_nationkey")
+    keyed = f.of(f.df.withColumn("v", F.col("n_nationkey")), value="v")
+    return errors.attempt_python(keyed, _Flaky(), "int", retries=2, name="doubled").drop().df.select("n_nationkey", "doubled")
+
+
+async def _later(x):
+    """Later values answer sooner."""
+    await asyncio.sleep((1000 - x % 1000) / 1e6)
+    if x % 97 == 0:
+        raise ValueError("no answer")
+    return x * 10 + 1
+
+
+@query("map_async", "SELECT event_id, event_id * 10 + 1 AS answer FROM events WHERE event_id % 97 <> 0")
+def map_async(spark, sf):
+    f = events(spark, sf, value="event_id")
+    thin = f.of(f.df.select("user_id", "ts", "event_id", F.col("event_id").alias("asked")), value="asked")
+    return errors.attempt_async(thin, _later, "long", name="answer").drop().df.select("event_id", "answer")
+
+
 @query("map_filter", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS doubled FROM lineitem WHERE CAST(l_quantity * 2 AS BIGINT) % 3 = 0")
 def map_filter(spark, sf):
     f = Flow(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ("l_orderkey", "l_linenumber"), value="l_quantity")

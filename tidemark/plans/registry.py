@@ -38,3 +38,11 @@ def events(spark: SparkSession, sf_dir: str, keyed: bool = True, **kw) -> Flow:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of ours on a single machine that names none."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, name a shared folder in spark.checkpoint.dir")
+    return named or "/tmp/checkpoints/tidemark"

@@ -5,7 +5,9 @@ Each writes its micro-batches as Parquet in the shared folder and returns the ta
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,60 +16,79 @@ from ..flow import Flow
 from ..sources import unbounded
 from ..streaming import stateful
 from .flows import _WINDOWS
-from .registry import query
-from .timed import HOUR, _LIMIT, _ROWS
+from .registry import ORACLES, query, shared_folder
+from .timed import _LIMIT, _ROWS, HOUR
 
 BY_USER = "PARTITION BY user_id ORDER BY ts, event_id"
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of ours where it names none."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidemark"
-
-
-def event_stream(spark: SparkSession, sf: str, delay: str = "1 hour") -> DataFrame:
-    """events as a stream in event time (ts as TIMESTAMP, since watermarks need it)."""
+def event_stream(spark: SparkSession, sf: str, closing: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """events as a stream in event time (ts as TIMESTAMP, since watermarks need it), and what comes into the folder `closing`."""
     read = spark.readStream.schema(SCHEMA).parquet(f"{sf}/events.parque[t]")  # a pattern, as the table may be one file
+    if closing:
+        read = read.union(spark.readStream.schema(SCHEMA).parquet(closing))
     return read.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    spark = stream.sparkSession
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def run_to_end(spark: SparkSession, build: Callable[[str], DataFrame], mode: str = "append") -> DataFrame:
+    """Runs the stream that `build` makes of a closing folder over all there is, then ends it: rows of the far future
+    come into that folder, so that the watermark passes everything held or pending. They have no user and stay in
+    state themselves; there is one of each type, as queries look at some types only. Returns what was written."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    running.awaitTermination()
+    rows = [(None, None, None, kind, None, None) for kind in ("click", "error", "purchase", "signup", "view")]
+    far = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.expr("TIMESTAMP_NTZ'2200-01-01 00:00:00'")).coalesce(1)
+    far.limit(0).write.parquet(f"{at}/closing")
+    stream = build(f"{at}/closing")
+    for last in (False, True):
+        if last:
+            far.write.mode("append").parquet(f"{at}/closing")
+        running = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        running.awaitTermination()
+    _remove(spark, f"{at}/closing")
+    # The sink's own log names the files that count, so it stays with them; the query's checkpoint can go.
+    _remove(spark, f"{at}/log")
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def _flow(spark, sf, value: str = "value") -> Flow:
-    return Flow(event_stream(spark, sf), ("ts", "event_id"), ("user_id",), "ts", value)
+def _to_end(spark, sf, operator: Callable[[Flow], DataFrame], value: str = "value", key: tuple = ("user_id",)) -> DataFrame:
+    return run_to_end(spark, lambda closing: operator(Flow(event_stream(spark, sf, closing), ("ts", "event_id"), key, "ts", value)))
 
 
 @query("stream_map_filter", "SELECT event_id, value * 2 AS doubled FROM events WHERE value > 50")
 def stream_map_filter(spark, sf):
-    f = _flow(spark, sf).filter(lambda v: v > 50).map(lambda v: v * 2, name="doubled")
-    return run_to_end(f.df.select("event_id", "doubled"))
+    return _to_end(spark, sf, lambda f: f.filter(lambda v: v > 50).map(lambda v: v * 2, name="doubled").df.select("event_id", "doubled"))
 
 
 @query("stream_scan", f"SELECT event_id, round(sum(value) OVER ({BY_USER} ROWS UNBOUNDED PRECEDING), 3) AS scan FROM events")
 def stream_scan(spark, sf):
-    return run_to_end(stateful.scan(_flow(spark, sf), lambda s, v: s + v, 0.0, "double").select("event_id", "scan")).withColumn("scan", F.round("scan", 3))
+    return _to_end(spark, sf, lambda f: stateful.scan(f, lambda s, v: s + v, 0.0, "double").select("event_id", "scan")).withColumn("scan", F.round("scan", 3))
+
+
+@query("stream_scan_global", "SELECT event_id, count(*) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS scan FROM events")
+def stream_scan_global(spark, sf):
+    """A stream without a key."""
+    return _to_end(spark, sf, lambda f: stateful.scan(f, lambda s, v: s + 1, 0, "long").select("event_id", "scan"), key=())
 
 
 @query("stream_skip", f"SELECT event_id FROM events QUALIFY row_number() OVER ({BY_USER}) > 3")
 def stream_skip(spark, sf):
-    return run_to_end(stateful.skip(_flow(spark, sf), 3).select("event_id"))
+    return _to_end(spark, sf, lambda f: stateful.skip(f, 3).select("event_id"))
 
 
 @query("stream_take", f"SELECT event_id FROM events QUALIFY row_number() OVER ({BY_USER}) <= 3")
 def stream_take(spark, sf):
-    return run_to_end(stateful.take(_flow(spark, sf), 3).select("event_id"))
+    return _to_end(spark, sf, lambda f: stateful.take(f, 3).select("event_id"))
 
 
 @query("stream_pairwise", f"SELECT event_id, prev, value AS cur FROM (SELECT *, lag(value) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS ({BY_USER})) WHERE rn > 1")
 def stream_pairwise(spark, sf):
-    return run_to_end(stateful.pairwise(_flow(spark, sf)).select("event_id", "prev", "cur"))
+    return _to_end(spark, sf, lambda f: stateful.pairwise(f).select("event_id", "prev", "cur"))
 
 
 @query(
@@ -75,12 +96,12 @@ def stream_pairwise(spark, sf):
     f"""SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS ({BY_USER})) WHERE rn = 1 OR event_type IS DISTINCT FROM prev""",
 )
 def stream_distinct_until_changed(spark, sf):
-    return run_to_end(stateful.distinct_until_changed(_flow(spark, sf, "event_type")).select("event_id", "event_type"))
+    return _to_end(spark, sf, lambda f: stateful.distinct_until_changed(f).select("event_id", "event_type"), "event_type")
 
 
 @query("stream_distinct", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def stream_distinct(spark, sf):
-    return run_to_end(stateful.distinct(_flow(spark, sf, "event_type")).select("event_id"))
+    return _to_end(spark, sf, lambda f: stateful.distinct(f).select("event_id"), "event_type")
 
 
 def _windowed(op: str, sql: str) -> None:
@@ -90,7 +111,7 @@ def _windowed(op: str, sql: str) -> None:
         FROM events WINDOW w AS ({BY_USER})) WHERE rn >= 5""",
     )
     def run(spark, sf):
-        return run_to_end(stateful.windowed(_flow(spark, sf), 5, op).select("event_id", op)).withColumn(op, F.round(op, 5))
+        return _to_end(spark, sf, lambda f: stateful.windowed(f, 5, op).select("event_id", op)).withColumn(op, F.round(op, 5))
 
 
 for _op in ("mean", "std"):
@@ -106,47 +127,82 @@ for _op in ("mean", "std"):
     SELECT event_id FROM r WHERE passed""",
 )
 def stream_throttle(spark, sf):
-    return run_to_end(stateful.throttle(_flow(spark, sf), 12 * HOUR).select("event_id"))
+    return _to_end(spark, sf, lambda f: stateful.throttle(f, 12 * HOUR).select("event_id"))
 
 
 @query("stream_rate_limit", _LIMIT.format(rows=_ROWS, window=24 * HOUR))
 def stream_rate_limit(spark, sf):
-    return run_to_end(stateful.rate_limit(_flow(spark, sf), 24 * HOUR, 2).select("event_id", "accepted", "rate")).withColumn("rate", F.round("rate", 9))
+    return _to_end(spark, sf, lambda f: stateful.rate_limit(f, 24 * HOUR, 2).select("event_id", "accepted", "rate")).withColumn("rate", F.round("rate", 9))
 
 
-@query(
-    "stream_combine_latest",
-    f"""WITH l AS (SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS click, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS view
+def _both(f: Flow) -> Flow:
+    return f.of(stateful.merge(f.df.filter("event_type = 'click'"), f.df.filter("event_type = 'view'")))
+
+
+_SEEN = f"""WITH l AS (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS click, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS view
       FROM events WHERE event_type IN ('click', 'view') WINDOW w AS ({BY_USER} ROWS UNBOUNDED PRECEDING))
-    SELECT event_id, click, view FROM l WHERE click IS NOT NULL AND view IS NOT NULL""",
-)
+    SELECT event_id, click, view FROM l WHERE click IS NOT NULL AND view IS NOT NULL"""
+
+
+@query("stream_combine_latest", _SEEN)
 def stream_combine_latest(spark, sf):
-    f = _flow(spark, sf)
-    both = f.of(stateful.merge(f.df.filter("event_type = 'click'"), f.df.filter("event_type = 'view'")))
-    return run_to_end(stateful.combine_latest(both, "event_type", ("click", "view"), ("click", "view")).select("event_id", "click", "view"))
+    return _to_end(spark, sf, lambda f: stateful.combine_latest(_both(f), "event_type", ("click", "view"), ("click", "view")).select("event_id", "click", "view"))
+
 
+@query("stream_with_latest_from", _SEEN + " AND event_type = 'click'")
+def stream_with_latest_from(spark, sf):
+    return _to_end(spark, sf, lambda f: stateful.with_latest_from(_both(f), "event_type", "click", ("view",), ("click", "view")).select("event_id", "click", "view"))
 
-@query("stream_debounce")
+
+@query(
+    "stream_buffer",
+    f"""SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items
+    FROM (SELECT *, (row_number() OVER ({BY_USER}) - 1) // 7 AS chunk FROM events) GROUP BY user_id, chunk""",
+)
+def stream_buffer(spark, sf):
+    out = _to_end(spark, sf, lambda f: stateful.buffer(f, 7, 24 * 366 * HOUR).select("user_id", "items"), "event_id")
+    return out.select("user_id", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+
+
+@query(
+    "stream_start_with",
+    """SELECT user_id, event_id, value, CAST(0 AS INTEGER) AS lead FROM events UNION ALL
+    SELECT user_id, NULL, v, CAST(p AS INTEGER) FROM (SELECT DISTINCT user_id FROM events), (VALUES (-2, -1.0::DOUBLE), (-1, 0.5::DOUBLE)) t(p, v)""",
+)
+def stream_start_with(spark, sf):
+    return _to_end(spark, sf, lambda f: stateful.start_with(f, -1.0, 0.5).select("user_id", "event_id", "value", F.col("_lead").alias("lead")))
+
+
+@query("stream_debounce", ORACLES["debounce"])
 def stream_debounce(spark, sf):
-    """Like debounce; the last row of a user comes only once the watermark has passed it."""
-    return run_to_end(stateful.debounce(_flow(spark, sf), 6 * HOUR).select("event_id"))
+    return _to_end(spark, sf, lambda f: stateful.debounce(f, 6 * HOUR).select("event_id"))
 
 
-@query("stream_buffer_time")
+@query(
+    "stream_buffer_time",
+    f"""SELECT user_id, epoch_us(ts) // ({24 * HOUR} * 1000::BIGINT) AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM events GROUP BY ALL""",
+)
 def stream_buffer_time(spark, sf):
-    """Items by day and user, of the days that the watermark has passed."""
-    out = stateful.buffer_time(event_stream(spark, sf), "ts", 24 * HOUR, "event_id", ("user_id",), ("event_id",))
-    return run_to_end(out.select("user_id", F.col("window.start").alias("day"), F.concat_ws(",", F.col("items").cast("array<string>")).alias("items")))
+    """Items by day and user."""
+    items = lambda f: stateful.buffer_time(f.df, "ts", 24 * HOUR, "event_id", ("user_id",), ("event_id",))
+    day = F.floor(F.unix_millis("window.start") / (24 * HOUR)).alias("day")
+    return _to_end(spark, sf, items).select("user_id", day, F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+
+
+TICKS = 50
 
 
-@query("stream_interval")
+@query("stream_interval", f"SELECT range AS value FROM range({TICKS})")
 def stream_interval(spark, sf):
-    """Ticks from 0: what a short run of an interval gives, as (value)."""
+    """The first ticks of an interval, as (value): the stream is stopped once they are there."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    ticks = unbounded.interval(spark, 100).select("value")
-    running = ticks.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").start()
+    running = unbounded.interval(spark, 50).select("value").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").start()
     try:
-        running.awaitTermination(6)
+        while running.isActive and sum(p["numInputRows"] for p in running.recentProgress) < TICKS:
+            time.sleep(0.2)
     finally:
         running.stop()
-    return spark.read.schema("value long").parquet(f"{at}/out")
+    if running.exception() is not None:
+        raise running.exception()
+    _remove(spark, f"{at}/log")
+    return spark.read.schema("value long").parquet(f"{at}/out").filter(F.col("value") < TICKS)

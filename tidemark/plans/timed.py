@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import flowcontrol, frames, service
+from ..flow import Flow
 from ..operators import timing
-from .registry import events, query, table
+from .registry import ORACLES, events, query, table
 
 HOUR = 3_600_000
 BY_USER = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -136,6 +137,19 @@ def frames_query(spark, sf):
     return made.df.withColumn("back", back).select("event_id", "back.sequence", "back.timestamp", F.when(frames.is_type(F.col("back"), "error"), p["error"]).otherwise(F.decode(p["data"], "UTF-8")).alias("text"), p["type"].alias("kind"))
 
 
+@query("frames_compact", ORACLES["frames"])
+def frames_compact(spark, sf):
+    """Events as frames in the compact form and back, some of them by way of JSON (those without a timestamp)."""
+    f = events(spark, sf)
+    payload = F.when(F.col("event_type") == "error", frames.error_payload(F.lit(500), F.col("props"), F.lit(True))).otherwise(frames.data_payload(F.encode("props", "UTF-8")))
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    made = frames.numbered(f, payload, F.when(F.col("event_id") % 10 > 0, at))
+    back = made.df.withColumn("back", frames.decode_compact(frames.encode_compact(F.col("frame"))))
+    p = F.col("back.payload")
+    text = F.when(frames.is_type(F.col("back"), "error"), p["error"]).otherwise(F.decode(p["data"], "UTF-8"))
+    return back.select("event_id", "back.sequence", F.coalesce("back.timestamp", at).alias("timestamp"), text.alias("text"), p["type"].alias("kind"))
+
+
 _HEX = "SELECT doc_id, hex(encode(text)) AS h FROM documents"
 
 
@@ -204,7 +218,36 @@ def queue_history(spark, sf):
     return service.history(queue_items(spark, sf))
 
 
-@query("queue_admission")
+@query(
+    "queue_admission",
+    f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+    r AS (SELECT event_id, rn, [ms] AS acc, true AS accepted FROM e WHERE rn = 1
+      UNION ALL SELECT event_id, rn, CASE WHEN len(live) < 2 THEN list_append(live, ms) ELSE live END, len(live) < 2 FROM
+        (SELECT e.event_id, e.rn, e.ms, list_filter(r.acc, lambda t: t > e.ms - {HOUR // 4}) AS live FROM r JOIN e ON e.rn = r.rn + 1))
+    SELECT event_id, accepted FROM r""",
+)
 def queue_admission(spark, sf):
     """Requests let in by the limiter, over the whole table in time order (at most two in a quarter of an hour)."""
     return service.admit(events(spark, sf, keyed=False, wide=True), HOUR // 4, 2).df.select("event_id", "accepted")
+
+
+@query(
+    "queue_results",
+    f"""WITH {_QUEUE}, t AS (SELECT "requestId" AS id FROM q WHERE status = 'queued' ORDER BY "createdAt", "requestId" LIMIT 10)
+    SELECT "requestId", CASE WHEN payload LIKE '%7%' THEN 'error' ELSE 'data' END AS kind, CASE WHEN payload LIKE '%7%' THEN retries + 1 < 3 END AS recoverable FROM q JOIN t ON id = "requestId" """,
+)
+def queue_results(spark, sf):
+    """What a pass tells its subscribers."""
+    before = queue_items(spark, sf)
+    told = service.result_frames(before, service.processed(before, ~F.col("payload").contains("7"), _NOW), _NOW)
+    p = F.col("frame.payload")
+    return told.select("requestId", p["type"].alias("kind"), p["recoverable"].alias("recoverable"))
+
+
+@query("broadcast", """SELECT CAST(s_suppkey AS VARCHAR) AS stream, sequence, name FROM supplier JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS sequence, n_name AS name FROM nation) ON sequence < s_suppkey % 40""")
+def broadcast(spark, sf):
+    """A frame for each nation to a subscriber for each supplier, as far as its credits reach."""
+    f = Flow(table(spark, sf, "nation"), ("n_nationkey",), value="n_name")
+    made = frames.numbered(f, frames.data_payload(F.encode("n_name", "UTF-8")), F.lit(0)).df.select("frame.sequence", "frame")
+    subscribers = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("stream"), (F.col("s_suppkey") % 40).cast("int").alias("credits"))
+    return service.broadcast(made, subscribers).select("stream", "sequence", F.decode("frame.payload.data", "UTF-8").alias("name"))

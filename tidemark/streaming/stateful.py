@@ -1,9 +1,16 @@
 """Ordered operators on unbounded input: keyed state in Structured Streaming.
 
-A stream has no global order to sort by, so each operator works by key: the rows of a micro-batch are
-sorted within their key and run through the same steps as in batch, with the state carried on. Rows that
-come after a later row of their key was handled are late and left out. With a watermark, keys whose state
-has not changed for `idle_ms` of event time are forgotten, and debounce flushes its pending row.
+A stream has no global order to sort by, so each operator works by key: rows run through the same steps as
+in batch, in order within their key, with the state carried on. A stream without a key is one key, and one
+task's work.
+
+With a watermark on the flow's time (the first of its order), rows are held in state until the watermark has
+passed them, so what comes out does not depend on how rows fall into micro-batches; rows behind the watermark
+are late and left out by Spark. Without one, a micro-batch is sorted and handled at once, and rows that come
+before one handled in an earlier micro-batch are late and left out. Equal rows all count.
+
+State is one row a key: the step's state, and the rows held. With `idle_ms` a key is forgotten, and what its
+step still has comes out, once the watermark has passed its last row by so much.
 """
 
 from __future__ import annotations
@@ -64,23 +71,6 @@ class Changed(Step):
         return (v,), None if same else ()
 
 
-@dataclass
-class First(Step):
-    """Distinct by value within a key: the first row of each. The state grows with the values."""
-
-    value: str
-
-    def init(self):
-        return set()
-
-    def step(self, seen, row):
-        v = row[self.value]
-        if v in seen:
-            return seen, None
-        seen.add(v)
-        return seen, ()
-
-
 @dataclass
 class Windowed(Step):
     n: int
@@ -118,51 +108,154 @@ class Latest(Step):
         return seen, (tuple(seen[s] for s in self.sources) if all(s in seen for s in self.sources) else None)
 
 
-def _plain(v: Any) -> Any:
-    return None if v is None or v is pd.NaT else v.item() if hasattr(v, "item") else v
+@dataclass
+class LatestFrom(Step):
+    """Rows of one source with the latest value of each other source, once all of those were seen."""
+
+    main: str
+    others: tuple
+    tag: str
+    value: str
+
+    def init(self):
+        return {}
+
+    def step(self, seen, row):
+        if row[self.tag] != self.main:
+            return {**seen, row[self.tag]: row[self.value]}, None
+        return seen, ((row[self.value], *[seen[s] for s in self.others]) if all(s in seen for s in self.others) else None)
+
+
+@dataclass
+class Buffer(Step):
+    """The last row of each n, with their values; what is left over comes with the last row when the stream ends."""
+
+    n: int
+    value: str
+
+    def init(self):
+        return [], None
+
+    def step(self, state, row):
+        held = [*state[0], row[self.value]]
+        return (([], None), (held,)) if len(held) >= self.n else ((held, row), None)
+
+    def finish(self, state):
+        return [(state[1], (state[0],))] if state[0] else []
+
+
+@dataclass
+class StartWith(Step):
+    """Values before the first row, as rows that have nothing but the key, the value and their place below 0."""
+
+    values: tuple
+    value: str
+    key: tuple
+
+    def init(self):
+        return False
+
+    def step(self, begun, row):
+        lead = len(self.values)
+        first = [] if begun else [({**dict.fromkeys(row), **{k: row[k] for k in self.key}, self.value: v}, (k - lead,)) for k, v in enumerate(self.values)]
+        return True, [*first, (row, (0,))]
+
+
+@dataclass
+class Debounce(Step):
+    """Rows without a successor within ms."""
+
+    ms: int
+
+    def step(self, pending, row):
+        return row, [(pending, ())] if pending is not None and row["_ms"] - pending["_ms"] >= self.ms else None
+
+    def finish(self, pending):
+        return [(pending, ())] if pending is not None else []
+
+
+def _plain(v: Any, whole: bool = False) -> Any:
+    """A value as Python has it; pandas gives whole numbers beside nulls as floats, and nulls among them as NaN."""
+    if v is None or v is pd.NaT or (whole and v != v):
+        return None
+    v = v.item() if hasattr(v, "item") else v
+    return int(v) if whole else v
+
+
+def _millis(row: dict) -> int:
+    """A row's time; rows without one come first."""
+    return row["_ms"] if row["_ms"] is not None else -(1 << 62)
 
 
 def _schema(df: DataFrame, keep: list[str], added: dict[str, str]) -> T.StructType:
-    fields = [f for f in df.schema.fields if f.name in keep and f.name not in added]
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name in keep and f.name not in added]
     return T.StructType([*fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
 
 
+def has_watermark(df: DataFrame, column: str | None) -> bool:
+    return column is not None and "spark.watermarkDelayMs" in df.schema[column].metadata
+
+
+def _place(row: dict, order: list[str]) -> tuple:
+    return tuple((row[c] is not None, row[c]) if row[c] is not None else (False,) for c in order)
+
+
 def with_state(stream: Flow, step: Step, added: dict[str, str], idle_ms: int | None = None) -> DataFrame:
-    """stream's rows with the step's values added. The flow needs a key; idle_ms needs a watermark on its time."""
-    if not stream.key:
-        raise ValueError("a stateful stream needs a key")
-    df = stream.df
+    """stream's rows with the step's values added. idle_ms needs a watermark on the flow's time.
+
+    A step gives None, the values for its row, or a list of (row, values).
+    """
+    df, order = stream.df, list(stream.order)
+    hold = has_watermark(df, stream.time) and order[0] == stream.time
+    if idle_ms is not None and not hold:
+        raise ValueError("to forget idle keys, the flow's time needs a watermark and the first place in its order")
+    out = _schema(df, stream.df.columns, added)
+    passing, names = [f.name for f in out.fields if f.name not in added], [f.name for f in out.fields]
+    finish = getattr(step, "finish", lambda _: [])
     if stream.time:
         df = df.withColumn("_ms", F.floor(F.unix_micros(F.col(stream.time).cast("timestamp")) / 1000).cast("long"))
-    out = _schema(df, stream.df.columns, added)
-    passing = [f.name for f in out.fields if f.name not in added]
-    order, names = list(stream.order), [f.name for f in out.fields]
-    object_like = {f.name for f in out.fields}
+
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held, last, waiting = pickle.loads(state.get[0]) if state.exists else (step.init(), None, [])
+        passed, made = state.getCurrentWatermarkMs() if hold else None, []
+
+        def handle(rows: list[dict]) -> None:
+            nonlocal held
+            for row in sorted(rows, key=lambda r: _place(r, order)):
+                held, got = step.step(held, row)
+                made.extend(got if isinstance(got, list) else [] if got is None else [(row, got)])
+
+        def on_time(rows: list[dict]) -> list[dict]:
+            """Rows not before the last one handled, which becomes the last of them."""
+            nonlocal last
+            rows = [r for r in rows if last is None or _place(r, order) >= last[1]]
+            last = max([*([last] if last is not None else []), *[(_millis(r) if hold else 0, _place(r, order)) for r in rows]], key=lambda x: x[1], default=None)
+            return rows
+
+        if not state.hasTimedOut:
+            waiting += [{k: _plain(v, k in whole) for k, v in row.items()} for part in parts for row in part.to_dict("records")]
+        ready = [r for r in waiting if not hold or _millis(r) < passed]
+        waiting = [r for r in waiting if hold and _millis(r) >= passed]
+        handle(on_time(ready))
+        if idle_ms is not None and not waiting and last[0] + idle_ms < passed:
+            made += finish(held)
             state.remove()
-            return
-        held, last = pickle.loads(state.get[0]) if state.exists else (step.init(), None)
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
-        made: list[tuple] = []
-        for row in rows.to_dict("records"):
-            row = {k: _plain(v) for k, v in row.items()}
-            at = tuple(row[c] for c in order)
-            if last is not None and at <= last:
-                continue
-            last = at
-            held, got = step.step(held, row)
-            if got is not None:
-                made.append((*[row[c] for c in passing], *got))
-        state.update((pickle.dumps((held, last)),))
-        if idle_ms is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["_ms"].max())) + idle_ms)
+        else:
+            state.update((pickle.dumps((held, last, waiting)),))
+            if waiting:
+                state.setTimeoutTimestamp(max(min(map(_millis, waiting)), passed + 1))
+            elif idle_ms is not None:
+                state.setTimeoutTimestamp(max(last[0] + idle_ms, passed + 1))
         if made:
-            yield pd.DataFrame({n: pd.Series([m[k] for m in made], dtype="object") for k, n in enumerate(names) if n in object_like})
+            rows = [(*[row[c] for c in passing], *got) for row, got in made]
+            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype="object") for k, n in enumerate(names)})
 
-    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
-    return df.groupBy(*stream.key).applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", timeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if hold else GroupStateTimeout.NoTimeout
+    if not stream.key:
+        df = df.withColumn("_all", F.lit(0))
+    return df.groupBy(*(stream.key or ("_all",))).applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", timeout)
 
 
 def scan(stream: Flow, fn, init, returns: str, name: str = "scan") -> DataFrame:
@@ -186,8 +279,20 @@ def distinct_until_changed(stream: Flow) -> DataFrame:
     return with_state(stream, Changed(stream.value), {})
 
 
-def distinct(stream: Flow) -> DataFrame:
-    return with_state(stream, First(stream.value), {})
+def distinct(stream: Flow, idle_ms: int | None = None) -> DataFrame:
+    """The first row of each value (and key). Each value has a small state of its own."""
+    return with_state(stream.of(stream.df, key=tuple(dict.fromkeys((*stream.key, stream.value)))), Take(1), {}, idle_ms)
+
+
+def buffer(stream: Flow, n: int, idle_ms: int | None = None, name: str = "items") -> DataFrame:
+    """Chunks of n values in order, as `items` of the row that ends each; a shorter last one comes once its key is idle."""
+    kind = stream.df.schema[stream.value].dataType.simpleString()
+    return with_state(stream, Buffer(max(int(n), 1), stream.value), {name: f"array<{kind}>"}, idle_ms)
+
+
+def start_with(stream: Flow, *values) -> DataFrame:
+    """Literal values before the first row of each key; `_lead` is their place, 0 for rows."""
+    return with_state(stream, StartWith(values, stream.value, stream.key), {"_lead": "int"})
 
 
 def windowed(stream: Flow, n: int, op: str, name: str | None = None) -> DataFrame:
@@ -210,40 +315,18 @@ def combine_latest(stream: Flow, tag: str, sources: tuple, names: tuple[str, ...
     return with_state(stream, Latest(sources, tag, stream.value), {n: kind for n in names})
 
 
+def with_latest_from(stream: Flow, tag: str, main: str, others: tuple, names: tuple[str, ...]) -> DataFrame:
+    """stream: the union of the sources, told apart by the column `tag`. names: for the main value, then the others'."""
+    kind = stream.df.schema[stream.value].dataType.simpleString()
+    return with_state(stream, LatestFrom(main, others, tag, stream.value), {n: kind for n in names})
+
+
 def debounce(stream: Flow, ms: int) -> DataFrame:
     """Rows without a successor in their key within ms. The last row of a key comes when the watermark has passed it by ms.
 
     The flow's time column needs a watermark.
     """
-    if not stream.key or not stream.time:
-        raise ValueError("a stateful debounce needs a key and a time")
-    df = stream.df.withColumn("_ms", F.floor(F.unix_micros(F.col(stream.time).cast("timestamp")) / 1000).cast("long"))
-    out = _schema(df, stream.df.columns, {})
-    names, order = [f.name for f in out.fields], list(stream.order)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = lambda rows: pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="object") for n in names})
-        pending = pickle.loads(state.get[0]) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            if pending is not None:
-                yield frame([pending])
-            return
-        made = []
-        for row in pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable").to_dict("records"):
-            row = {k: _plain(v) for k, v in row.items()}
-            if pending is not None:
-                if tuple(row[c] for c in order) <= tuple(pending[c] for c in order):
-                    continue
-                if row["_ms"] - pending["_ms"] >= ms:
-                    made.append(pending)
-            pending = row
-        state.update((pickle.dumps(pending),))
-        state.setTimeoutTimestamp(max(pending["_ms"] + ms, state.getCurrentWatermarkMs() + 1))
-        if made:
-            yield frame(made)
-
-    return df.groupBy(*stream.key).applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", GroupStateTimeout.EventTimeTimeout)
+    return with_state(stream, Debounce(ms), {}, idle_ms=ms)
 
 
 # ---------------------------------------------------------------- without own state
