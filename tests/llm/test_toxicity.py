@@ -42,3 +42,58 @@ def test_batch_scores_equal_training_scores(spark):
     chain = toxicity.fit([np.array(sorted(toxicity.hashed(t)), np.uint32) for t in texts], labels)
     p = chain.score(texts)[:, -1]
     assert p[:30].max() < chain.threshold <= p[30:].min()
+
+
+def labelled(n=240, seed=3):
+    """Texts of two toxic kinds and clean ones, with equal texts among them."""
+    rng = np.random.default_rng(seed)
+    words = [f"word{chr(97 + k)}x" for k in range(20)]
+    kinds = [["vile", "scum"], ["moron", "idiot"], ["lovely", "garden"]]
+    texts, labels = [], []
+    for k in range(n):
+        kind = int(rng.choice(3, p=[0.2, 0.2, 0.6]))
+        texts.append(" ".join([*rng.choice(words, 5), *rng.choice(kinds[kind], 2)]) if k % 6 or not texts else texts[-1])
+        labels.append(int(kind < 2) if k % 6 or not labels else labels[-1])
+    return texts, np.array(labels)
+
+
+def test_out_of_fold_probabilities_saw_no_label_of_their_fold():
+    """Other labels in one fold, features and categories included, leave that fold's probabilities as they are."""
+    texts, labels = labelled()
+    features = [np.array(sorted(toxicity.hashed(t)), np.uint32) for t in texts]
+    fold, y = toxicity.folds_of(features), labels.astype(float)
+    assert len({(t, f) for t, f in zip(texts, fold)}) == len(set(texts)) and len(set(fold)) == toxicity.FOLDS
+    groups = toxicity._choose(np.repeat(np.arange(len(y)), [len(f) for f in features]), np.concatenate(features).astype(np.int64), y).groups
+    assert len(groups) >= 2
+    before = toxicity.out_of_fold(features, y, groups)
+    for k in range(toxicity.FOLDS):
+        other = np.where(fold == k, 1 - y, y)
+        assert (toxicity.out_of_fold(features, other, groups)[fold == k] == before[fold == k]).all()
+    assert ((before[:, -1] > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+def test_chain_by_hand():
+    """Scores, link by link, from the definition; later links take the earlier probabilities."""
+    texts, labels = labelled()
+    chain = toxicity.fit([np.array(sorted(toxicity.hashed(t)), np.uint32) for t in texts], labels)
+    assert len(chain.links) >= 3 and any(w[toxicity.FEATURES] != 0 for w in chain.links[1:])
+    got = chain.score([*texts, None, ""])
+    for text, row in zip([*texts, None, ""], got.tolist()):
+        earlier: list = []
+        for w in chain.links:
+            z = float(w[-1]) + sum(float(w[chain.selected[h]]) for h in toxicity.hashed(text) if h in chain.selected)
+            z += sum(float(w[toxicity.FEATURES + j]) * p for j, p in enumerate(earlier))
+            earlier.append(1 / (1 + float(np.exp(-z))))
+        assert np.allclose(row, earlier, atol=1e-9)
+
+
+def test_repeated_ids_stay_within_the_limit(spark):
+    docs = spark.createDataFrame([(k % 4, f"text {k} scum" if k % 2 else f"text {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4)] * 3, "doc_id long, quality int, toxic int")
+    fits, seen = toxicity.fit, []
+    toxicity.fit = lambda f, y: seen.append(len(y)) or fits(f, y)
+    try:
+        toxicity.train(docs, labels, max_rows=50)
+    finally:
+        toxicity.fit = fits
+    assert seen == [50]

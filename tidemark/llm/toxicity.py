@@ -6,10 +6,13 @@ ones that speak for toxicity are grouped by how often they stand in the same tox
 group is a category (the tables name none): a text carries it if it is labelled toxic and holds one of
 its features. The chain predicts the categories one after the other and toxicity last. Each link is a
 logistic model of the features and of the probabilities of the links before it; in training those are
-out-of-fold predictions, so that a link learns from what it will see.
+out-of-fold predictions, so that a link learns from what it will see. A fold's predictions come from a
+model that has seen none of its labels: features and categories are chosen anew from the other folds, and
+each category is paired with the one most like it there. Equal texts are in one fold.
 
-The sample has at most `max_rows` labelled rows (least hash of the id) and the model at most FEATURES
-weights a link, whatever the input's size. All rows are scored in one pass without a shuffle.
+The sample has at most `max_rows` labelled rows (least hash of the id, then of label and features, should ids
+repeat) and the model at most FEATURES weights a link, whatever the input's size. All rows are scored in one
+pass without a shuffle.
 
 Defined cases: null or empty text has no feature and gets the base rate; null labels teach nothing;
 without labels the score is 0 and nothing is toxic.
@@ -110,49 +113,97 @@ def _categories(selected: list[int], lift: np.ndarray, rows: np.ndarray, cols: n
     return [g for _, g in groups]
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray) -> Chain:
-    """The chain from hashed features and 0/1 labels; the same rows in the same order give the same chain."""
-    n, y = len(features), labels.astype(float)
-    pos, neg = y.sum(), len(y) - y.sum()
-    if not n or not pos or not neg:
-        return Chain()
-    rows = np.repeat(np.arange(n), [len(f) for f in features])
-    cols = np.concatenate(features).astype(np.int64)
-    a = np.bincount(cols, y[rows], SPACE)
-    b = np.bincount(cols, 1 - y[rows], SPACE)
-    rate_a, rate_b = (a + 0.1) / (pos + 0.2), (b + 0.1) / (neg + 0.2)
+@dataclass
+class _Choice:
+    """What a set of labelled rows chooses: features (hashes, strongest first) and categories, as sets of them."""
+
+    selected: np.ndarray
+    groups: list[set[int]]
+
+    def place(self) -> np.ndarray:
+        out = np.full(SPACE, -1, np.int32)
+        out[self.selected] = np.arange(len(self.selected))
+        return out
+
+
+def _choose(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> _Choice:
+    """rows from 0 and hashed features of labelled rows -> their choice."""
+    n, pos = len(y), float(y.sum())
+    neg = n - pos
+    a, b = np.bincount(cols, y[rows], SPACE), np.bincount(cols, 1 - y[rows], SPACE)
     gain = np.abs(a - (a + b) * pos / n) / np.sqrt((a + b) * pos / n + 0.5)
     gain[a + b < 4] = 0
     selected = np.argsort(-gain, kind="stable")[:FEATURES]
     selected = selected[gain[selected] > 2]
-    place = np.full(SPACE, -1, np.int32)
-    place[selected] = np.arange(len(selected))
-    lift = np.log(rate_a / rate_b)[selected]
-    keep = place[cols] >= 0
-    rows, cols = rows[keep], place[cols[keep]].astype(np.int64)
-    targets = []
-    for group in _categories(list(selected), lift, rows, cols, y):
-        here = np.zeros(n)
-        here[rows[np.isin(cols, list(group))]] = 1
-        targets.append(here * y)
-    targets = targets[:CATEGORIES] + [y]
-    fold = np.arange(n) % FOLDS
-    dense, links = np.zeros((n, 0)), []
-    for target in targets:
-        oof = np.zeros(n)
-        for k in range(FOLDS):
-            inside, at = fold != k, fold[rows] != k
-            renum = np.cumsum(inside) - 1
-            w = _logistic(renum[rows[at]], cols[at], int(inside.sum()), dense[inside], target[inside])
-            oof[~inside] = _apply(w, rows, cols, n, dense)[~inside]
-        links.append(_logistic(rows, cols, n, dense, target))
-        dense = np.column_stack([dense, oof])
+    lift = np.log(((a + 0.1) / (pos + 0.2)) / ((b + 0.1) / (neg + 0.2)))[selected]
+    choice = _Choice(selected, [])
+    at = choice.place()[cols]
+    groups = _categories(list(selected), lift, rows[at >= 0], at[at >= 0].astype(np.int64), y)
+    choice.groups = [{int(selected[j]) for j in g} for g in groups[:CATEGORIES]]
+    return choice
+
+
+def _target(group: set[int], rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows carry a category: toxic ones that hold one of its features."""
+    here = np.zeros(len(y))
+    here[rows[np.isin(cols, list(group))]] = 1
+    return here * y
+
+
+def _likest(group: set[int], choice: _Choice) -> set[int]:
+    """The category of another choice that has most in common with a group; its own features, if none has any."""
+    best = max(choice.groups, key=lambda g: len(g & group) / len(g | group), default=set())
+    return best if best & group else group & {int(f) for f in choice.selected}
+
+
+def folds_of(features: list[np.ndarray]) -> np.ndarray:
+    return np.array([crc32(np.asarray(f, np.uint32).tobytes()) % FOLDS for f in features], np.int64)
+
+
+def out_of_fold(features: list[np.ndarray], y: np.ndarray, groups: list[set[int]]) -> np.ndarray:
+    """Rows x links: the probability of each category, and of toxicity, by models that saw no label of the row's fold."""
+    n, fold = len(y), folds_of(features)
+    rows, cols = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features).astype(np.int64)
+    out = np.zeros((n, len(groups) + 1))
+    for k in range(FOLDS):
+        inside, at = fold != k, fold[rows] != k
+        if not inside.any() or inside.all():
+            continue
+        renum, own = np.cumsum(inside) - 1, y[inside]
+        r, c = renum[rows[at]], cols[at]
+        choice = _choose(r, c, own) if 0 < own.sum() < len(own) else _Choice(np.zeros(0, np.int64), [])
+        place = choice.place()
+        kept = place[c] >= 0
+        every = place[cols] >= 0
+        targets = [_target(_likest(g, choice), r, c, own) for g in groups] + [own]
+        dense, seen = np.zeros((int(inside.sum()), 0)), np.zeros((n, 0))
+        for j, target in enumerate(targets):
+            w = _logistic(r[kept], place[c[kept]], len(own), dense, target)
+            p = _apply(w, rows[every], place[cols[every]], n, seen)
+            out[fold == k, j] = p[fold == k]
+            seen = np.column_stack([seen, p])
+            dense = seen[inside]
+    return out
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray) -> Chain:
+    """The chain from hashed features and 0/1 labels; the same rows in the same order give the same chain."""
+    n, y = len(features), labels.astype(float)
+    if not n or not 0 < y.sum() < n:
+        return Chain()
+    rows, cols = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features).astype(np.int64)
+    choice = _choose(rows, cols, y)
+    dense = out_of_fold(features, y, choice.groups)
+    place = choice.place()
+    at = place[cols] >= 0
+    targets = [_target(g, rows, cols, y) for g in choice.groups] + [y]
+    links = [_logistic(rows[at], place[cols[at]], n, dense[:, :j], t) for j, t in enumerate(targets)]
     last = dense[:, -1]
     grid = np.unique(np.round(np.quantile(last, np.linspace(0.5, 1, 400)), 6))
-    f1 = [2 * (y * (last >= t)).sum() / max((last >= t).sum() + pos, 1) for t in grid]
+    f1 = [2 * (y * (last >= t)).sum() / max((last >= t).sum() + y.sum(), 1) for t in grid]
     best = grid[[k for k, f in enumerate(f1) if f >= max(f1) - 1e-9]]
     # In the middle of the equally good ones, and never in reach of the base rate of texts without features.
-    return Chain({int(s): k for k, s in enumerate(selected)}, links, float(np.clip((best.min() + best.max()) / 2, 0.35, 0.9)))
+    return Chain({int(s): k for k, s in enumerate(choice.selected)}, links, float(np.clip((best.min() + best.max()) / 2, 0.35, 0.9)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
@@ -169,8 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain
             made = [np.array(sorted(hashed(t)), np.uint32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(made, pa.binary())], names=["doc_id", "toxic", "f"])
 
-    got = few.mapInArrow(run, "doc_id long, toxic int, f binary").toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["toxic"][i], got["f"][i]))[:max_rows]
+    # An id may repeat in either table, so the joined rows are limited as well.
+    first = few.mapInArrow(run, "doc_id long, toxic int, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "f").limit(max_rows)
+    got = first.toArrow().to_pydict()
+    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["toxic"][i], got["f"][i]))
     return fit([np.frombuffer(got["f"][i], np.uint32) for i in order], np.array([got["toxic"][i] for i in order]))
 
 
