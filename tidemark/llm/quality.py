@@ -163,8 +163,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
                 names=["doc_id", "quality", "ids", "vals", "stats"],
             )
 
-    got = few.mapInArrow(run, "doc_id long, quality int, ids binary, vals binary, stats array<double>").toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["quality"][i], got["ids"][i]))[:max_rows]
+    # An id may repeat in either table, so the joined rows are limited as well, in a total order of what they hold.
+    made = few.mapInArrow(run, "doc_id long, quality int, ids binary, vals binary, stats array<double>")
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "ids", "vals", "stats").limit(max_rows).toArrow().to_pydict()
+    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["quality"][i], got["ids"][i]))
     rows = [(np.frombuffer(got["ids"][i], np.uint16).astype(np.int64), np.frombuffer(got["vals"][i], np.float32), got["stats"][i]) for i in order]
     return rows, np.array([got["quality"][i] for i in order], np.float32)
 
