@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import media
 
-from .util import SF, empty_docs, odd_docs, odd_rows, rows_of
+from .util import SF, crowded, empty_docs, odd_docs, odd_rows, rows_of
 
 
 def hold(rows, docs):
@@ -75,6 +76,33 @@ def test_damage_is_reported(spark):
     assert rows[3]["png_error"] is None and rows[3]["png_width"] is None
 
 
+def test_no_media_cell_raises(spark):
+    """Heads of wrong lengths and sizes, streams that hold less or more than the head says, and random damage."""
+    samples = np.arange(128, dtype=np.uint8).reshape(2, 64)
+    good, body = media.encode_png(samples.tobytes()), zlib.compress(filtered(samples, [0], 1))
+    head = lambda w, h, *more: struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)[: more[0] if more else 13]
+    made = lambda h, b: media.SIGNATURE + media._chunk(b"IHDR", h) + media._chunk(b"IDAT", b) + media._chunk(b"IEND", b"")
+    bomb = zlib.compress(bytes(50_000_000))
+    cells = [made(head(64, 2, 12), body), made(head(64, 2) + b"\0", body), made(head(0, 2), body), made(head(64, 0), body), made(head(1 << 31, 1 << 31), body), made(head(64, 3), body), made(head(64, 1), body), made(head(64, 2), bomb), made(head(64, 2), body[:-3]), made(head(64, 2), b"")]
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        junk = bytearray(good)
+        for _ in range(3):
+            junk[int(rng.integers(len(junk)))] = int(rng.integers(256))
+        cells.append(bytes(junk))
+    cells = [c for c in cells if c != good]
+    rows = rows_of(media.media_features(spark.createDataFrame([(bytearray(c),) for c in cells], "media binary")))
+    assert len(rows) == len(cells) and all(r["png_error"] and r["png_sha256"] is None for r in rows)
+    assert media.decode_png(made(head(64, 2), body))[0].tobytes() == samples.tobytes()
+
+
+def test_clashing_columns_stay(spark):
+    docs = crowded(odd_docs(spark)).withColumn("png_width", F.lit("mine"))
+    assert len(rows_of(media.text_media_columns(docs))) == len(odd_rows())
+    out = media.media_features(docs.withColumn("media", F.lit(b"x")))
+    assert out.filter("key = 'mine'").count() == len(odd_rows()) and dict(out.dtypes)["png_width"] == "bigint"
+
+
 def test_hash_follows_low_frequencies():
     y, x = np.mgrid[0:96, 0:128]
     rng = np.random.default_rng(1)

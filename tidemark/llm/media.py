@@ -26,6 +26,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 GRID, KEPT = 32, 8
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+#: A zlib stream never inflates to more than so many times its length.
+EXPANSION = 1032
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -50,6 +52,27 @@ def encode_png(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _unpredict(out: np.ndarray, a: int, b: int, kind: int, bpp: int) -> None:
+    """Undoes Average (3) or Paeth (4) in rows a to b, whose samples need those to the left and above: a diagonal at a time."""
+    h, w = b - a, out.shape[1] // bpp
+    grid = np.zeros((h + 1, w + 1, bpp), np.int32)  # a row above, a column to the left
+    grid[1:, 1:] = out[a:b].reshape(h, w, bpp)
+    if a:
+        grid[0, 1:] = out[a - 1].reshape(w, bpp)
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1)) + 1
+        x = t + 2 - y
+        left, above, corner = grid[y, x - 1], grid[y - 1, x], grid[y - 1, x - 1]
+        if kind == 3:
+            guess = (left + above) >> 1
+        else:
+            p = left + above - corner
+            to_left, to_above, to_corner = np.abs(p - left), np.abs(p - above), np.abs(p - corner)
+            guess = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        grid[y, x] = (grid[y, x] + guess) & 255
+    out[a:b] = grid[1:, 1:].reshape(h, -1)
+
+
 def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
     """Samples of filtered scanlines (first byte of each: its filter); runs of one filter go at once."""
     kinds, out = lines[:, 0], lines[:, 1:].copy()
@@ -67,18 +90,7 @@ def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
                 out[a] += out[a - 1]
             np.cumsum(out[a:b], axis=0, dtype=np.uint8, out=out[a:b])
         elif kind > 2:
-            for y in range(a, b):
-                row, prior = out[y].astype(np.int32), (out[y - 1].astype(np.int32) if y else np.zeros(stride, np.int32))
-                for x in range(stride):
-                    left, above, corner = (row[x - bpp] if x >= bpp else 0), prior[x], (prior[x - bpp] if x >= bpp else 0)
-                    if kind == 3:
-                        guess = (left + above) >> 1
-                    else:
-                        p = left + above - corner
-                        d = (abs(p - left), abs(p - above), abs(p - corner))
-                        guess = left if d[0] <= d[1] and d[0] <= d[2] else above if d[1] <= d[2] else corner
-                    row[x] = (row[x] + guess) & 255
-                out[y] = row
+            _unpredict(out, a, b, kind, bpp)
     return out
 
 
@@ -96,6 +108,8 @@ def decode_png(media: bytes) -> tuple[np.ndarray, int, int]:
             raise ValueError(f"checksum of chunk {kind!r} fails")
         at += 12 + size
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("IHDR has a wrong length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -105,12 +119,17 @@ def decode_png(media: bytes) -> tuple[np.ndarray, int, int]:
     width, height, depth, colour, _, _, interlace = head
     if depth != 8 or colour not in CHANNELS or interlace:
         raise ValueError("only 8-bit, not interlaced, without palette")
-    try:
-        raw = zlib.decompress(b"".join(data))
+    stride = width * CHANNELS[colour]
+    whole = height * (stride + 1)
+    if not width or not height or whole > EXPANSION * sum(map(len, data)):
+        raise ValueError(f"{width} x {height} samples are none, or more than the data can hold")
+    try:  # no more than IHDR promises is ever inflated
+        inflate = zlib.decompressobj()
+        raw = inflate.decompress(b"".join(data), whole)
+        more = b"" if inflate.eof else inflate.decompress(inflate.unconsumed_tail, 1)
     except zlib.error as err:
         raise ValueError(str(err)) from None
-    stride = width * CHANNELS[colour]
-    if len(raw) != height * (stride + 1) or not raw:
+    if len(raw) != whole or more or not inflate.eof:
         raise ValueError("wrong amount of data")
     return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, stride + 1), CHANNELS[colour]), width, CHANNELS[colour]
 
