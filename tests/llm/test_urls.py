@@ -2,6 +2,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import urls
 
@@ -57,31 +58,72 @@ def test_table(spark, sf):
     hold(rows_of(urls.judged(pages, labels)), [(r["page_id"], r["url"]) for r in pages.collect()])
 
 
+def brute_tokens(url) -> frozenset:
+    """The same tokens, read off the URL one part after the other."""
+    if "://" not in url:
+        return frozenset()
+    scheme, _, rest = url.partition("://")
+    cut = next((k for k, c in enumerate(rest) if c in "/?#"), len(rest))
+    own, tail = rest[:cut].translate(AZ), rest[cut:]
+    before, _, after = tail.partition("#")[0].partition("?")
+    words = lambda s: [w for w in re.split(r"[^a-z0-9\u0080-\U0010ffff]+", re.sub("[0-9]+", "0", s).translate(AZ)) if w]
+    out = {"h:" + w for w in own.split(".") if w} | {"p:" + w for w in words(before)} | {"q:" + w for w in words(after)}
+    return frozenset(out | ({"s:" + scheme.translate(AZ)} if scheme else set()))
+
+
+def brute_rules(items: dict, bad: set, support: float, confidence: float, lift: float, least: int) -> list[frozenset]:
+    """All token sets that pass the thresholds, counted one by one; then those without a proper part among them."""
+    counts: dict = {}
+    for i, own in items.items():
+        for size in range(1, len(own) + 1):
+            for c in combinations(sorted(own), size):
+                n = counts.setdefault(frozenset(c), [0, 0])
+                n[0] += 1
+                n[1] += i in bad
+    total = len(items)
+    found = [c for c, (n, b) in counts.items() if b >= max(support * total, least) and b / n >= confidence and b / n / (len(bad) / total) >= lift]
+    return [c for c in found if not any(d < c for d in found)]
+
+
 def test_mined_rules_against_brute_force(spark):
     rows, labels = [], []
     for k in range(400):
         bad = k % 4 == 0
         word = ("win", "prize")[k % 8 // 4] if bad else ("news", "blog", "win")[k % 3]
-        rows.append((k, f"http://s{k % 5}.example.org/{word}/{'casino' if bad and k % 3 else 'page'}?id={k}"))
+        rows.append((k, f"http://s{k % 5}.Example.org/{word}/{'Casino' if bad and k % 3 else 'page'}?id={k}#x"))
         labels.append((k, 0 if bad else 1, 0))
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    mined = urls.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), min_support=0.02, min_confidence=0.8, min_lift=1.5)
-    from pyspark.sql import functions as F
-
-    items = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
-    bad = {i for i, q, _ in labels if q == 0}
-    counts: dict = {}
-    for i, own in items.items():
-        for size in (1, 2, 3, 4):
-            for c in combinations(sorted(own), size):
-                n = counts.setdefault(frozenset(c), [0, 0])
-                n[0] += 1
-                n[1] += i in bad
-    found = [(c, b / n, b / 400) for c, (n, b) in counts.items() if b >= 0.02 * 400 and b / n >= 0.8 and b / n / (len(bad) / 400) >= 1.5]
-    want = urls.prune(found, 1000)
-    assert {r[0] for r in mined.rules} == {r[0] for r in want.rules} and mined.rules
-    fires = {r["page_id"] for r in pages.select("page_id", urls.matches(urls.tokens(F.col("url")), mined).alias("m")).filter("m").collect()}
-    assert fires == {i for i, own in items.items() if any(set(r[0]) <= own for r in want.rules)}
+    items, bad = {i: brute_tokens(u) for i, u in rows}, {i for i, q, _ in labels if q == 0}
+    for least in (1, 10, 40):
+        want = brute_rules(items, bad, 0.02, 0.8, 1.5, least)
+        kw = {"min_support": 0.02, "min_confidence": 0.8, "min_lift": 1.5, "min_pages": least}
+        table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        assert {frozenset(r[0]) for r in urls.mine(pages, table, **kw).rules} == set(want) and want
+        fires = {r["page_id"] for r in rows_of(urls.judged(pages, table, **kw)) if r["mined"]}
+        assert fires == {i for i, own in items.items() if any(r <= own for r in want)}
+
+
+def test_pruning_looks_at_all_proper_parts():
+    chain = [frozenset("ab"), frozenset("abc"), frozenset("abcd"), frozenset("cd"), frozenset("x"), frozenset("wxyz")]
+    assert {frozenset(r[0]) for r in urls.prune([(c, 0.9, 0.1) for c in chain]).rules} == {frozenset("ab"), frozenset("cd"), frozenset("x")}
+
+
+def test_rules_hold_on_pages_that_were_not_mined(spark):
+    """On a table with real signal the rules of half the labels are right about the other half; on noise there are none."""
+    import random
+
+    rng, rows, labels = random.Random(12), [], []
+    for k in range(3000):
+        bad = rng.random() < 0.25
+        word = rng.choice(["casino", "pills", "spins"]) if bad and rng.random() < 0.8 else rng.choice(["news", "blog", "wiki", "shop"])
+        rows.append((k, f"https://{rng.choice('abcdef')}{k}.example.{rng.choice(['com', 'net'])}/{word}/{rng.randrange(10**6)}"))
+        labels.append((k, int(not bad), 0))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    seen = spark.createDataFrame([r for r in labels if r[0] % 2], "doc_id long, quality int, toxic int")
+    hits = [labels[r["page_id"]][1] == 0 for r in rows_of(urls.judged(pages, seen)) if r["mined"] and r["page_id"] % 2 == 0]
+    assert sum(hits) >= 0.95 * len(hits) and len(hits) > 200
+    noise = spark.createDataFrame([(k, rng.randrange(2), 0) for k in range(1, 3000, 2)], "doc_id long, quality int, toxic int")
+    assert not urls.mine(pages.withColumn("url", F.regexp_replace("url", "casino|pills|spins|news|blog|wiki|shop", "page")), noise).rules
 
 
 def test_long_rules_are_mined(spark):
@@ -99,6 +141,14 @@ def test_all_minimal_rules_are_kept(spark):
     every = [*names, *names, *["fine"] * 3300]
     pages = spark.createDataFrame([(k, f"http://example.org/x{w}") for k, w in enumerate(every)], "page_id long, url string")
     labels = spark.createDataFrame([(k, int(k >= 2200), 0) for k in range(len(every))], "doc_id long, quality int, toxic int")
-    mined = urls.mine(pages, labels, min_support=0.0003)
+    mined = urls.mine(pages, labels, min_support=0.0003, min_pages=2)
     assert {r[0] for r in mined.rules} == {(f"p:x{w}",) for w in names}
-    assert {r["page_id"] for r in rows_of(urls.judged(pages, labels, min_support=0.0003)) if r["mined"]} == set(range(2200))
+    assert {r["page_id"] for r in rows_of(urls.judged(pages, labels, min_support=0.0003, min_pages=2)) if r["mined"]} == set(range(2200))
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame(ODD, "page_id long, url string")
+    for name in ("host", "path", "rule", "verdict", "mined", "_tokens", "items", "bad", "doc_id"):
+        pages = pages.withColumn(name, F.lit("mine"))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(25)], "doc_id long, quality int, toxic int").withColumn("page_id", F.lit("mine")).withColumn("url", F.lit("mine"))
+    hold(rows_of(urls.judged(pages, labels)), ODD)

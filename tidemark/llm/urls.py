@@ -3,8 +3,9 @@
 Fixed rules decide first: a rule fits its host and all subdomains if the path starts with the rule's;
 the longest fitting one wins. All other URLs are judged by association rules: the tokens of labelled
 URLs (labels of the page's id: blocked if of low quality or toxic), with the label as one more item,
-go through FP-growth; rules that conclude "blocked" stay if their support, confidence and lift suffice
-and no shorter rule says the same. Matching goes through an inverted index from a rule's first token to
+go through FP-growth; rules that conclude "blocked" stay if their support (a share of the labelled pages, and at
+least `min_pages` blocked ones), confidence and lift suffice and no proper part of them is such a rule. Labels
+name pages by convention: a label's doc_id is read as a page_id. Matching goes through an inverted index from a rule's first token to
 the rules; a URL only meets rules under tokens that it has.
 
 At most `max_rows` labelled pages are mined (least hash of the id). All minimal rules that pass the
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MAX_ROWS = 50_000
+MIN_PAGES = 10
 LABEL = "=blocked"
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -71,21 +73,19 @@ class Mined:
     rules: tuple[tuple[tuple[str, ...], float, float], ...] = ()  # tokens, confidence, support
 
 
-def prune(found: list[tuple[frozenset, float, float]], max_rules: int | None = None) -> Mined:
-    """Rules whose proper part is not a rule already, best confidence first."""
-    found = sorted(found, key=lambda r: (len(r[0]), sorted(r[0])))
+def prune(found: list[tuple[frozenset, float, float]]) -> Mined:
+    """Rules of which no proper part, of any length, is a rule already; best confidence first."""
     kept: list[tuple[frozenset, float, float]] = []
-    have: set[frozenset] = set()
-    for items, confidence, support in found:
-        parts = {items - {x} for x in items} | {frozenset([x]) for x in items if len(items) > 1}
-        if not parts & have:
-            have.add(items)
+    index: dict[str, list[frozenset]] = {}  # a token of each kept rule -> those rules
+    for items, confidence, support in sorted(found, key=lambda r: (len(r[0]), sorted(r[0]))):
+        if not any(part <= items for token in items for part in index.get(token, ())):
             kept.append((items, confidence, support))
+            index.setdefault(min(items), []).append(items)
     kept.sort(key=lambda r: (-r[1], -r[2], sorted(r[0])))
-    return Mined(tuple((tuple(sorted(i)), c, s) for i, c, s in kept[:max_rules]))
+    return Mined(tuple((tuple(sorted(i)), c, s) for i, c, s in kept))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5, max_rows: int = MAX_ROWS) -> Mined:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5, min_pages: int = MIN_PAGES, max_rows: int = MAX_ROWS) -> Mined:
     bad = (
         labels.filter(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("page_id"))
@@ -100,8 +100,12 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_co
         .limit(max_rows)
         .select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
     )
+    few = few.persist()
+    pages_mined = few.count()  # also bounds what is kept
+    if not pages_mined:
+        return Mined()
     rules = (
-        FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
+        FPGrowth(itemsCol="items", minSupport=max(min_support, min(min_pages / pages_mined, 1.0)), minConfidence=min_confidence)
         .fit(few)
         .associationRules.filter((F.col("consequent") == F.array(F.lit(LABEL))) & (F.col("lift") >= min_lift))
         .select("antecedent", "confidence", "support")
@@ -112,6 +116,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_co
         minimal = rules.filter((F.size("antecedent") == row["n"]) & ~matches(F.col("antecedent"), prune(found)))
         found += [(frozenset(r["antecedent"]), r["confidence"], r["support"]) for r in minimal.collect()]
     rules.unpersist()
+    few.unpersist()
     return prune(found)
 
 
