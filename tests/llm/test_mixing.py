@@ -75,3 +75,28 @@ def test_empty(spark):
 def test_without_words(spark):
     docs = spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", None, 0)], odd_docs(spark).schema)
     assert [(r["size"], r["target"], r["taken"]) for r in rows_of(mixing.mixed(docs))] == [(0, 0.0, 0)] * 2
+
+
+def test_blocks_are_even_and_reruns_repeat_the_same_rows(spark):
+    """Ids that are multiples of 1,024, null ids and equal ids with other texts: spread over blocks, ranked in full."""
+    rows = [(k * 1024 if k % 3 else None, f"text number {k} of many", "en", "a", k) for k in range(600)]
+    rows += [(5, f"four words and {k}", "en", "a", k) for k in range(200)] + [(6, "the very same text", "en", "b", k) for k in range(200)]
+    docs = spark.createDataFrame(rows, odd_docs(spark).schema)
+    from pyspark.sql import functions as F
+
+    marked = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.text_mark(F.col("text")).alias("mark"))
+    assert mixing.with_copies(marked, "mark").count() == len(rows)
+    first = sorted(map(str, mixing.mix(docs).collect()))
+    assert first == sorted(map(str, mixing.mix(docs.orderBy(F.rand(3)).repartition(9)).collect()))
+    block = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "mark").cast("binary")), 1, 6), 16, 10).cast("int") % mixing.BLOCKS).alias("b")
+    assert marked.filter("doc_id is null or doc_id % 1024 = 0").select(block).distinct().count() > 300
+
+
+def test_table_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rel = con.sql(mixing.ORACLE)
+    want = sorted(tuple(r) for r in rel.fetchall())
+    assert sorted(tuple(r[c] for c in rel.columns) for r in rows_of(mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet")))) == want

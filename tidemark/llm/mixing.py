@@ -8,12 +8,14 @@ cap come first, so running sums over the sources find L: the highest level that
 Sampling: within a source every document expects the same number of copies, target / size. Their prefix
 sum is the document's rank times that rate; with one random offset u for the source a document is emitted
 once for each integer in (rate (rank - 1) + u, rate rank + u]. Ranks follow the size (class of the size,
-then block, then size), so that the words taken stay near the target. No rank needs a source in one
-task: counts by source and class, and by block of a class, are summed before they are summed up, and
-only rows of one block (1 of BLOCKS in a class) are sorted together.
+then block, then size, id and a hash of the text), so that the words taken stay near the target. No rank
+needs a source in one task: counts by source and class, and by block of a class, are summed before they are
+summed up, and only rows of one block (1 of BLOCKS in a class, by a hash of id and text) are sorted together.
+Where all sources meet in one task, there is a row for each source, or for each block of one source's class.
 
 Defined cases: null text has size 0; sizes 0 everywhere make targets 0; null sources are one source, the
-last; a null id counts as 0 for its block; equal rows get different ranks, in any order, with the same
+last; a null id sorts first and its text alone gives the block; `mix` ranks rows of one id and text by a hash
+of all columns, so a rerun repeats the same rows; equal rows get different ranks, in any order, with the same
 result for the group; an empty table gives no rows.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, boxed
+from .common import WORD, boxed, checkpointed
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -55,15 +57,19 @@ def _offset(source: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 4294967296.0
 
 
-def with_copies(rows: DataFrame, seed: str = "mix|") -> DataFrame:
+def text_mark(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def with_copies(rows: DataFrame, mark: str, *ties: str, seed: str = "mix|") -> DataFrame:
     """doc_id, source, size and any further columns -> with source_size, target and copies; every row stays.
 
-    One shuffle of the rows, by block of a source's size class; the tables of counts are tiny beside it.
+    mark: the column with the text's hash; ties: columns that rank rows of equal size, id and mark. One shuffle of the rows, by block of a source's size class; the tables of counts are tiny beside it.
     """
     own = rows.columns
     rows = (
         rows.withColumn("_class", F.length(F.bin("size")))
-        .withColumn("_block", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(BLOCKS)).cast("int"))
+        .withColumn("_block", (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), mark).cast("binary")), 1, 6), 16, 10).cast("int") % BLOCKS))
         # One key for the join and the window, so that one shuffle serves both; null sources have a key as well.
         .withColumn("_key", F.concat_ws("|", F.col("_class"), F.col("_block"), F.hex(F.coalesce(F.col("source"), F.lit("\u0001null")))))
     )
@@ -81,7 +87,7 @@ def with_copies(rows: DataFrame, seed: str = "mix|") -> DataFrame:
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = _offset(F.col("source"), seed)
-    order = W.partitionBy("_key").orderBy("size", "doc_id")
+    order = W.partitionBy("_key").orderBy("size", "doc_id", mark, *ties)
     ranked = rows.withColumn("_rank", F.row_number().over(order)).join(starts, "_key").withColumn("_at", F.col("_start") + F.col("_rank"))
     copies = F.floor(F.col("_at") * rate + u) - F.floor((F.col("_at") - 1) * rate + u)
     return ranked.select(*own, "source_size", "target", copies.cast("long").alias("copies"))
@@ -89,20 +95,23 @@ def with_copies(rows: DataFrame, seed: str = "mix|") -> DataFrame:
 
 def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: str = "mix|") -> DataFrame:
     """df with each row repeated as often as the mix takes it; the columns are df's own, whatever their names."""
-    rows = df.select(boxed(df), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    taken = with_copies(rows, seed).filter("copies > 0")
+    text = F.col(text_col).cast("string")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+    rows = df.select(boxed(df), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), text_mark(text).alias("mark"), hashed.alias("hash"))
+    taken = with_copies(rows, "mark", "hash", seed=seed).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every document."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    return with_copies(thin).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    """doc_id, size, source_size, target, taken, copies of every document. Texts are read once; four narrow columns are kept of them."""
+    text = F.col("text").cast("string")
+    thin = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), text_mark(text).alias("mark")))
+    return with_copies(thin, "mark").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS mark FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
@@ -117,7 +126,7 @@ WITH d AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST('0x' || substr(md5('mix|' || coalesce(d.source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
-         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), (coalesce(d.doc_id, 0) % 1024 + 1024) % 1024, d.size, d.doc_id) AS k
+         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), CAST('0x' || substr(md5(concat_ws('|', CAST(d.doc_id AS VARCHAR), d.mark)), 1, 6) AS BIGINT) % 1024, d.size, d.doc_id NULLS FIRST, d.mark) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), e AS (SELECT *, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e
