@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; only where it names none, to one of ours."""
+    """Checkpoints go to the folder the cluster names; only on a single machine that names none, to one of ours."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidemark")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("on a cluster, name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or "/tmp/checkpoints/tidemark")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -72,6 +75,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a stage wrote, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, so that a reused Python worker does not carry one stage's peak through the next."""
     pa.default_memory_pool().release_unused()

@@ -3,23 +3,25 @@
 One restaurant for each context (the word before, or the start of a text); all share one parent, the root
 restaurant of words, whose own base is uniform over the vocabulary and one unknown word. Customers of a
 context restaurant are the training tokens after that context; each of its tables sends one customer to
-the root. A sweep of the sampler lets all customers of a dish leave and seats them again, one by one (from
-the 64th on in batches of a sixteenth of those seated), given the tables of all other dishes as the sweep
-before left them; so dishes and contexts are seated in parallel. After BURN sweeps the next SAMPLES
-seatings are kept; the root is seated for each of them. A token's probability is the mean over samples of
-    (c_uw - d t_uw + (h + d T_u) P0(w)) / (h + C_u),   P0(w) = (c_w - d0 t_w + (h0 + d0 T0) / (V + 1)) / (h0 + C0)
-and a text's score the sum of its log10. While contexts are seated, P0 is the words' share of the tokens.
-Discounts come from counts of counts, n1 / (n1 + 2 n2).
-
-Plan: texts go to groups by a hash. A group sends its distinct words (64-bit hashes, exact) with their
-training counts to buckets by word, which sum them over all groups and answer each group in the order of
-its request; then its distinct pairs (48-bit hashes of context and word) with their counts, and with the
-corpus count of each word, to buckets by context. Buckets of pairs seat the contexts and answer alike;
-buckets of words seat the root and answer too; groups then score their texts. Everything is counted over
-all training documents; the shares that seat contexts are the same however texts are grouped. Pairs of a
-context are together, but for contexts with over 1 / HEAVY of all tokens (fewer than HEAVY), whose pairs
-are dealt out by the pair: their table total is taken as the bucket's own times the number of buckets
-while sampling, and summed exactly for scoring.
+the root. Sampling starts with one table a dish and goes in turn: the root is seated given the contexts'
+tables, then the contexts given the root's predictive probabilities, and so on. Of the ROUNDS rounds the
+last SAMPLES are kept, each with the root seated for it. A token's probability is the mean over samples of
+    (c_uw - d t_uw + (h + d T_u) P0(w)) / (h + C_u),   P0(w) = (c_w - d0 t_w + (h + d0 T0) / (V + 1)) / (h + C0)
+and a text's score the sum of its log10. Discounts come from counts of counts, n1 / (n1 + 2 n2): d of the
+pairs, d0 of the root's customers in the round before (0.5 in the first); the strength h is 1.
+
+Seating one restaurant: all customers of a dish leave and are seated again, one by one (from the 64th on in
+batches of a sixteenth of those seated), given the tables of all other dishes as of the round before, so
+dishes and contexts are seated in parallel. Totals over all buckets, such as the tables of the root and of
+contexts that are dealt out over buckets, are exact as of the round before.
+
+Plan: texts go to groups by a hash. A group sends its distinct words and pairs with their training counts to
+buckets, by word and by context. Words are told apart by 64-bit hashes, in pairs by 48 bits of them; nothing
+compares their letters, so at some 10^7 words a pair of them may count as one. Buckets sum over all groups.
+Pairs seen once have one table for good, so only the others (with the base of their words) are carried from
+round to round, in a table in the shared folder that replaces the one before. Pairs of a context are
+together, but for contexts with over 1 / HEAVY of all tokens (fewer than HEAVY), whose pairs are dealt out by
+the pair. In the end buckets answer the groups in the order of their requests, and groups score their texts.
 
 Defined cases: null text is empty and has the end token alone; a null id counts as not held out; without
 training tokens every count is 0 and a token's probability is 1 / (V + 1) = 1; repeated rows are learned
@@ -28,27 +30,38 @@ as often as they stand there; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import checkpointed, mapped, release, shuffle_width
-from .suffixes import _by, _group_of, _marks
+from .common import checkpointed, ensure_checkpoint_dir, mapped, release, remove, shuffle_width
+from .suffixes import _by, _group_of, _marks, _steps, _sums
 
-SAMPLES, BURN = 2, 2
+ROUNDS, SAMPLES = 5, 3
 STRENGTH = 1.0
 HEAVY = 512
 GROUP_BYTES, LEAST_GROUP_BYTES = 16_000_000, 2_000_000
 END, START = 1, 2
 
+#: Kinds of blobs: who sends what to whom.
+TEXTS, PAIRS, WORDS = 0, 1, 2  # to groups; from groups to buckets
+COUNTS, TABLES, WORD_COUNTS, ROOTS = 3, 4, 5, 6  # answers to groups
+FIXED, SEATS, ASKERS = 7, 8, 9  # what a bucket of pairs keeps: for good, for a round, for its answers
+VOCABULARY, ONCE, DISHES, SENT = 10, 11, 12, 13  # what a bucket of words has: its words, customers of pairs seen once, dishes of the others, their tables
+ROOT_SEATS, BASES, KEPT = 14, 15, 16  # the root's tables; what contexts need of them; samples
+TALLY, WORD_ASKERS = 17, 18  # numbers to be summed over all buckets; what a bucket of words keeps for its answers
+
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and crc32(str(doc_id).encode()) % 7 == 2
@@ -123,78 +136,6 @@ class Group:
         self.word_bucket = _word_bucket(self.short[:-1], buckets)
 
 
-def _count(buckets: int):
-    """Texts of a group -> words (kind 1) for their buckets."""
-
-    def fn(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        texts, _, train = _texts(held[0])
-        words, word, sizes = _tokens(texts)
-        count = np.bincount(word[np.repeat(train, sizes)], minlength=len(words))
-        out = []
-        for b, at in _by(_word_bucket(words >> np.uint64(16), buckets)):
-            out.append((b, 1, blobs.pack(np.array([g], np.int64), _planes(words[at]), _bytewise(count[at]))))
-            if len(out) == 64:
-                yield blobs.rows(out)
-                out = []
-        if out:
-            yield blobs.rows(out)
-
-    return fn
-
-
-def _sum_words():
-    """Words of a bucket -> their counts over all groups, as answers for the groups (kind 5), and the bucket's tokens (kind 8); words pass."""
-
-    def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        asked = []
-        for blob in held[1]:
-            head, w, c = blobs.unpack(blob, np.int64, np.uint8, np.uint8)
-            asked.append((int(head[0]), _unplanes(w) >> np.uint64(16), _integers(c)))
-            yield blobs.rows([(b, 1, blob)])
-        short, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-        c = np.bincount(back, np.concatenate([a[2] for a in asked]), len(short)).astype(np.int64)
-        at = 0
-        for g, own, _ in asked:
-            here = back[at : at + len(own)]
-            at += len(own)
-            yield blobs.rows([(g, 5, blobs.pack(np.array([b], np.int64), blobs.planes(c[here], 8)))])
-        yield blobs.rows([(b, 8, blobs.pack(np.array([c.sum()], np.int64)))])
-
-    return fn
-
-
-def _ask(buckets: int, heavy: np.ndarray, tokens: int | None = None):
-    """Texts of a group and its words' counts in a corpus of so many tokens -> pairs (kind 0) for their buckets.
-
-    Without tokens the group is the whole corpus.
-    """
-
-    def fn(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        texts, _, train = _texts(held[0])
-        own = Group(texts, train, buckets, heavy)
-        in_all = own.word_count.astype(np.int64)
-        if tokens is not None:
-            answers = {int(b[0]): c for b, c in (blobs.unpack(blob, np.int64, np.uint8) for blob in held[5])}
-            for b, at in _by(own.word_bucket):
-                in_all[at] = blobs.from_planes(answers[b], 8)
-        head = np.array([g, in_all.sum() if tokens is None else tokens], np.int64)
-        out = []
-        for b, at in _by(own.pair_bucket):
-            u = own.short[own.left[at]]
-            first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-            runs = np.diff(np.append(first, len(u)))
-            used, place = np.unique(own.right[at], return_inverse=True)
-            # START sorts behind all words of the group: its hash is small, so differences wrap around, which is harmless.
-            out.append((b, 0, blobs.pack(head, _planes(u[first]), _bytewise(runs), _planes(own.short[used]), blobs.planes(in_all[used], 8), _bytewise(place), _bytewise(own.count[at]))))
-            if len(out) == 64:
-                yield blobs.rows(out)
-                out = []
-        if out:
-            yield blobs.rows(out)
-
-    return fn
-
-
 def _texts(packed: list[bytes]) -> tuple[pa.Array, list, np.ndarray]:
     """Texts, ids and whether each is learned from, in an order that is not chance."""
     rows = pa.Table.from_batches([blobs.unpack_rows(b) for b in sorted(packed, key=lambda b: (len(b), b))])
@@ -231,159 +172,277 @@ def predictive(customers, tables, base, all_customers, all_tables, discount: flo
     return (np.maximum(customers - discount * tables, 0) + (STRENGTH + discount * all_tables) * base) / (STRENGTH + all_customers)
 
 
-def _seat_contexts(buckets: int, heavy: np.ndarray):
-    """Pairs of a bucket -> answers for the groups (kind 2), root customers for word buckets (kind 3), totals (kind 6)."""
+def _in_parts(made: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(made), 64):
+        yield blobs.rows(made[k : k + 64])
 
-    def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+
+def _ask(buckets: int, heavy: np.ndarray):
+    """Texts of a group -> its words and pairs with their training counts, for their buckets."""
+
+    def fn(g: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        texts, _, train = _texts(held[TEXTS])
+        own, me = Group(texts, train, buckets, heavy), np.array([g], np.int64)
+        yield from _in_parts([(b, WORDS, blobs.pack(me, _planes(own.words[at]), _bytewise(own.word_count[at]))) for b, at in _by(own.word_bucket)])
+        out = []
+        for b, at in _by(own.pair_bucket):
+            u = own.short[own.left[at]]
+            first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            runs = np.diff(np.append(first, len(u)))
+            used, place = np.unique(own.right[at], return_inverse=True)
+            # START sorts behind all words of the group: its hash is small, so differences wrap around, which is harmless.
+            out.append((b, PAIRS, blobs.pack(me, _planes(u[first]), _bytewise(runs), _planes(own.short[used]), _bytewise(place), _bytewise(own.count[at]))))
+            if len(out) == 64:
+                yield blobs.rows(out)
+                out = []
+        if out:
+            yield blobs.rows(out)
+
+    return fn
+
+
+def _tally(places: list[int] | np.ndarray, numbers: list[int] | np.ndarray) -> bytes:
+    return blobs.pack(np.asarray(places, np.int64), np.asarray(numbers, np.int64))
+
+
+def _start(buckets: int, heavy: np.ndarray):
+    """What groups ask of a bucket -> counts for them, and what the bucket keeps; one table a dish.
+
+    Tally: training tokens, known words, pairs seen once and twice, then for heavy contexts the tables of pairs
+    seen once, then those of the others.
+    """
+
+    def words(b: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for blob in packed:
+            me, w, c = blobs.unpack(blob, np.int64, np.uint8, np.uint8)
+            asked.append((int(me[0]), _unplanes(w), _integers(c)))
+        if not asked:
+            return
+        word, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+        c = np.bincount(back, np.concatenate([a[2] for a in asked]), len(word)).astype(np.int64)
+        at, made = 0, [(b, VOCABULARY, blobs.pack(_planes(word))), (b, TALLY, _tally([0, 1], [c.sum(), (c > 0).sum()]))]
+        for g, own, _ in asked:
+            here = back[at : at + len(own)]
+            at += len(own)
+            made.append((g, WORD_COUNTS, blobs.pack(np.array([b], np.int64), _bytewise(c[here]))))
+            made.append((b, WORD_ASKERS, blobs.pack(np.array([g], np.int64), _steps(here, 4))))
+        yield from _in_parts(made)
+
+    def pairs(b: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         asked = []
-        for blob in held.pop(0, []):
-            head, u, runs, w, in_all, place, c = blobs.unpack(blob, np.int64, *[np.uint8] * 6)
-            place = _integers(place)
-            asked.append((int(head[0]), int(head[1]), _unplanes(u), _integers(runs), _unplanes(w)[place], _integers(c), blobs.from_planes(in_all, 8)[place]))
+        for blob in packed:
+            me, u, runs, w, place, c = blobs.unpack(blob, np.int64, *[np.uint8] * 5)
+            asked.append((int(me[0]), _unplanes(u), _integers(runs), _unplanes(w)[_integers(place)], _integers(c)))
         if not asked:
             return
-        tokens = max(asked[0][1], 1)
-        u, w = np.concatenate([np.repeat(a[2], a[3]) for a in asked]), np.concatenate([a[4] for a in asked])
+        u, w = np.concatenate([np.repeat(a[1], a[2]) for a in asked]), np.concatenate([a[3] for a in asked])
         order = np.lexsort((w, u))
         new_u = np.append(True, u[order][1:] != u[order][:-1])
-        fresh = new_u | np.append(True, w[order][1:] != w[order][:-1])
-        first = np.flatnonzero(fresh)
+        first = np.flatnonzero(new_u | np.append(True, w[order][1:] != w[order][:-1]))
         back = np.empty(len(u), np.int64)
-        back[order] = np.cumsum(fresh) - 1
-        c = np.add.reduceat(np.concatenate([a[5] for a in asked]).astype(np.int64)[order], first)
-        share = np.concatenate([a[6] for a in asked])[order[first]] / tokens  # every group sent the same count
-        u, w, restaurant = u[order][first], w[order][first], (np.cumsum(new_u) - 1)[first]
-        del order
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        c = np.add.reduceat(np.concatenate([a[4] for a in asked]).astype(np.int64)[order], first)
+        restaurant = (np.cumsum(new_u) - 1)[first]
+        u, w = u[order][first], w[order][first]
+        del order, new_u, first
         n_u = int(restaurant[-1]) + 1
         own_u = u[np.append(True, restaurant[1:] != restaurant[:-1])]
-        spread = np.flatnonzero(np.isin(own_u, heavy))
-        scale = np.ones(n_u)
-        scale[spread] = buckets
-        many = np.flatnonzero(c > 1)
-        alone = np.bincount(restaurant[c == 1], minlength=n_u)
-        n1, n2 = int((c == 1).sum()), int((c == 2).sum())
-        d, rng = _discount(n1, n2), np.random.default_rng([11, b])
-        t, at = np.ones(len(many)), restaurant[many]
-        kept = []
-        for sweep in range(BURN + SAMPLES):
-            total = (alone + np.bincount(at, t, n_u)) * scale
-            t = seat(c[many].astype(np.float64), share[many], total[at] - t, d, STRENGTH, rng)
-            if sweep >= BURN:
-                whole = np.minimum(c, 1)
-                whole[many] = t.astype(np.int64)
-                kept.append(whole)
-        totals = [np.bincount(restaurant, k, n_u).astype(np.int64) for k in kept]
-        at = 0
-        for g, _, contexts, runs, own, _, _ in asked:
+        alone, many = np.bincount(restaurant[c == 1], minlength=n_u), np.flatnonzero(c > 1)
+        more = np.bincount(restaurant[many], minlength=n_u)
+        stay = np.flatnonzero(more)  # restaurants that are seated each round
+        number, hot = np.cumsum(more > 0) - 1, np.searchsorted(heavy, own_u).clip(max=len(heavy) - 1)
+        is_hot = heavy[hot] == own_u
+        dish, dish_of = np.unique(w[many], return_inverse=True)
+        made = [(b, FIXED, blobs.pack(_bytewise(alone[stay]), _bytewise(np.where(is_hot, hot + 1, 0)[stay]), _bytewise(more[stay]), _planes(dish), _bytewise(dish_of), _bytewise(c[many])))]
+        single, times = np.unique(w[c == 1], return_counts=True)
+        made += [(to, ONCE, blobs.pack(_planes(single[at]), _bytewise(times[at]))) for to, at in _by(_word_bucket(single, buckets))]
+        tables = np.bincount(dish_of, minlength=len(dish))
+        for to, at in _by(_word_bucket(dish, buckets)):
+            me = np.array([b], np.int64)
+            made += [(to, DISHES, blobs.pack(me, _planes(dish[at]))), (to, SENT, blobs.pack(me, _bytewise(tables[at])))]
+        hot_here = np.flatnonzero(is_hot)
+        places = [2, 3, *(4 + hot[hot_here]), *(4 + len(heavy) + hot[hot_here])]
+        made.append((b, TALLY, _tally(places, [(c == 1).sum(), (c == 2).sum(), *alone[hot_here], *more[hot_here]])))
+        yield from _in_parts(made)
+        at, code, many_number = 0, alone * 2 + (more > 0), np.cumsum(c > 1) - 1
+        for g, _, runs, own, _ in asked:
             here = back[at : at + len(own)]
             at += len(own)
-            place = restaurant[here[np.cumsum(runs) - runs]]
-            yield blobs.rows([(g, 2, blobs.pack(np.array([b], np.int64), _bytewise(c[here]), *[_bytewise(k[here]) for k in kept], *[_bytewise(x[place]) for x in totals]))])
-        order = np.argsort(w, kind="stable")
-        some = order[c[order] > 0]
-        if len(some):
-            first = np.flatnonzero(np.append(True, w[some][1:] != w[some][:-1]))
-            dish, sums = w[some][first], [np.add.reduceat(k[some], first) for k in kept]
-            made = []
-            for to, part in _by((blobs.mix64(dish) % np.uint64(buckets)).astype(np.int64)):
-                made.append((to, 3, blobs.pack(_planes(dish[part]), *[_bytewise(s[part]) for s in sums])))
-            yield blobs.rows(made)
-        yield blobs.rows([(b, 6, blobs.pack(np.array([n1, n2], np.int64), np.searchsorted(heavy, own_u[spread]).astype(np.int64), *[x[spread] for x in totals]))])
+            contexts = restaurant[here[np.cumsum(runs) - runs]]
+            yield blobs.rows([
+                (g, COUNTS, blobs.pack(np.array([b], np.int64), _bytewise(c[here]), _bytewise(code[contexts]))),
+                (b, ASKERS, blobs.pack(np.array([g], np.int64), _steps(many_number[here[c[here] > 1]], 4), _steps(number[contexts[more[contexts] > 0]], 4))),
+            ])
+
+    def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        yield from words(b, held.pop(WORDS, []))
+        yield from pairs(b, held.pop(PAIRS, []))
 
     return fn
 
 
-def _seat_root(buckets: int):
-    """Words of a bucket -> answers for the groups (kind 4) and totals (kind 7)."""
+@dataclass(frozen=True)
+class Root:
+    """The root as of a round: its discount, customers and tables over all buckets, and the vocabulary."""
+
+    discount: float
+    customers: int
+    tables: int
+    words: int
+
+    def base(self, rest: np.ndarray) -> np.ndarray:
+        """Predictive probabilities of words with `rest` = customers less discounted tables."""
+        return (rest + (STRENGTH + self.discount * self.tables) / (self.words + 1)) / (STRENGTH + self.customers)
+
+
+def _seat_root(buckets: int, r: int, discount: float, words: int, before: Root | None):
+    """Customers that the contexts send to a bucket of words, and its tables -> new tables, and what contexts need of them.
+
+    Tally: customers, tables, words with one customer and with two. Samples are kept in the last rounds.
+    """
 
     def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        asked = []
-        for blob in held.get(1, []):
-            head, w, c = blobs.unpack(blob, np.int64, np.uint8, np.uint8)
-            asked.append((int(head[0]), _unplanes(w), _integers(c)))
-        if not asked:
+        asked = {int(me[0]): _unplanes(w) for me, w in (blobs.unpack(x, np.int64, np.uint8) for x in held.get(DISHES, []))}
+        sent = {int(me[0]): _integers(n) for me, n in (blobs.unpack(x, np.int64, np.uint8) for x in held.get(SENT, []))}
+        once = [(_unplanes(w), _integers(n)) for w, n in (blobs.unpack(x, np.uint8, np.uint8) for x in held.get(ONCE, []))]
+        senders = sorted(asked)
+        if not senders and not once:
             return
-        word, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-        c = np.bincount(back, np.concatenate([a[2] for a in asked]), len(word)).astype(np.int64)
-        sent = [[_unplanes(w), *map(_integers, more)] for w, *more in (blobs.unpack(blob, *[np.uint8] * (1 + SAMPLES)) for blob in held.get(3, []))]
-        dish, at = np.unique(np.concatenate([s[0] for s in sent]) if sent else np.zeros(0, np.uint64), return_inverse=True)
-        short = word >> np.uint64(16)
-        place = np.searchsorted(dish, short).clip(max=max(len(dish) - 1, 0))
-        rng = np.random.default_rng([13, b])
-        known = c > 0
-        v = int(known.sum())
-        customers, tables, totals = [], [], []
-        for k in range(SAMPLES):
-            sums = np.bincount(at, np.concatenate([s[1 + k] for s in sent]), len(dish)) if sent else np.zeros(0)
-            own = np.where(known & (dish[place] == short), sums[place], 0).astype(np.int64) if len(dish) else np.zeros(len(word), np.int64)
-            d0 = _discount((own == 1).sum(), (own == 2).sum())
-            t = np.minimum(own, 1).astype(np.float64)
-            more = np.flatnonzero(own > 1)
-            base = np.full(len(more), 1 / (v * buckets + 1))
-            for _ in range(BURN + 1):
-                t[more] = seat(own[more].astype(np.float64), base, t.sum() * buckets - t[more], d0, STRENGTH, rng)
-            customers.append(own)
-            tables.append(t.astype(np.int64))
-            totals += [int(own.sum()), int(t.sum()), int((own == 1).sum()), int((own == 2).sum())]
-        at = 0
-        for g, own, _ in asked:
-            here = back[at : at + len(own)]
-            at += len(own)
-            yield blobs.rows([(g, 4, blobs.pack(np.array([b], np.int64), *[_bytewise(x[here]) for x in (c, *customers, *tables)]))])
-        yield blobs.rows([(b, 7, blobs.pack(np.array([v, int(c.sum()), *totals], np.int64)))])
+        dish, at = np.unique(np.concatenate([*[o[0] for o in once], *[asked[s] for s in senders]]), return_inverse=True)
+        own = np.bincount(at, np.concatenate([*[o[1] for o in once], *[sent[s] for s in senders]]), len(dish)).astype(np.int64)
+        t = np.minimum(own, 1).astype(np.float64)
+        if ROOT_SEATS in held:
+            t = np.minimum(_integers(blobs.unpack(held[ROOT_SEATS][0], np.uint8)[0]), own).astype(np.float64)
+        elsewhere = t.sum() * (buckets - 1) if before is None else before.tables - t.sum()
+        more, rng = np.flatnonzero(own > 1), np.random.default_rng([13, r, b])
+        base = np.full(len(more), 1 / (words + 1))
+        for _ in range(2 if before is None else 1):
+            t[more] = seat(own[more].astype(np.float64), base, elsewhere + t.sum() - t[more], discount, STRENGTH, rng)
+        made = [(b, ROOT_SEATS, blobs.pack(_bytewise(t))), (b, TALLY, _tally([0, 1, 2, 3], [own.sum(), t.sum(), (own == 1).sum(), (own == 2).sum()]))]
+        if r > ROUNDS - SAMPLES:
+            made.append((b, KEPT, blobs.pack(np.array([r], np.int64), _planes(dish), _bytewise(own), _bytewise(t))))
+        rest, k = (own - discount * t).astype(np.float32), sum(len(o[0]) for o in once)
+        for s in senders if r < ROUNDS else []:
+            made.append((s, BASES, blobs.pack(np.array([b], np.int64), rest[at[k : k + len(asked[s])]])))
+            k += len(asked[s])
+        yield from _in_parts(made)
 
     return fn
 
 
-def _score(buckets: int, heavy: np.ndarray, spread_tables: np.ndarray, d: float, totals: np.ndarray):
-    """Texts and answers of a group -> one row a text. spread_tables: samples x heavy contexts, over all buckets."""
-    v, n_train = int(totals[0]), int(totals[1])
+def _seat_contexts(buckets: int, r: int, discount: float, root: Root, hot_tables: np.ndarray):
+    """A bucket's pairs, their tables and the root's bases -> new tables, customers for the root; answers in the last round.
+
+    hot_tables: tables of the heavy contexts over all buckets. Tally: their tables of pairs seen more than once.
+    """
+
+    def fn(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        if FIXED not in held:
+            return
+        alone, hot, runs, dish, dish_of, c = blobs.unpack(held[FIXED][0], *[np.uint8] * 6)
+        alone, hot, runs, dish, dish_of, c = _integers(alone).astype(np.int64), _integers(hot).astype(np.int64), _integers(runs), _unplanes(dish), _integers(dish_of), _integers(c)
+        samples: list[np.ndarray] = []
+        t = np.ones(len(c))
+        if SEATS in held:
+            first, *samples = [_integers(x) for x in blobs.unpack(held[SEATS][0], *[np.uint8] * (1 + max(0, r - 1 - ROUNDS + SAMPLES)))]
+            t = first.astype(np.float64)
+        parts, rest = dict(_by(_word_bucket(dish, buckets))), np.zeros(len(dish))
+        for blob in held.get(BASES, []):
+            me, x = blobs.unpack(blob, np.int64, np.float32)
+            rest[parts[int(me[0])]] = x
+        at = np.repeat(np.arange(len(runs)), runs)
+        total = alone + np.bincount(at, t, len(runs))
+        whole = np.where(hot > 0, hot_tables[np.maximum(hot - 1, 0)], total)
+        t = seat(c.astype(np.float64), root.base(rest)[dish_of], whole[at] - t, discount, STRENGTH, np.random.default_rng([11, r, b]))
+        if r > ROUNDS - SAMPLES:
+            samples = [*samples, t.astype(np.int64)]
+        tables, here = np.bincount(dish_of, t, len(dish)), np.flatnonzero(hot)
+        made = [(to, SENT, blobs.pack(np.array([b], np.int64), _bytewise(tables[p]))) for to, p in parts.items()]
+        made.append((b, TALLY, _tally(hot[here] - 1, np.bincount(at, t, len(runs))[here])))
+        if r < ROUNDS:
+            made.append((b, SEATS, blobs.pack(_bytewise(t), *map(_bytewise, samples))))
+        yield from _in_parts(made)
+        totals = [alone + np.bincount(at, s, len(runs)).astype(np.int64) for s in samples]
+        for blob in held.get(ASKERS, []):
+            g, asked, contexts = blobs.unpack(blob, np.int64, np.uint8, np.uint8)
+            asked, contexts = _sums(asked, 4), _sums(contexts, 4)
+            yield blobs.rows([(int(g[0]), TABLES, blobs.pack(np.array([b], np.int64), *[_bytewise(s[asked]) for s in samples], *[_bytewise(x[contexts]) for x in totals]))])
+
+    return fn
+
+
+def _answer_words(b: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """A bucket's words and the samples of the root -> customers and tables of the words that each group asked for."""
+    if VOCABULARY not in held:
+        return
+    short = _unplanes(blobs.unpack(held[VOCABULARY][0], np.uint8)[0]) >> np.uint64(16)
+    columns = []
+    for _, dish, own, t in sorted(((int(x[0][0]), *x[1:]) for x in (blobs.unpack(blob, np.int64, *[np.uint8] * 3) for blob in held.get(KEPT, []))), key=lambda x: x[0]):
+        dish = _unplanes(dish)
+        place = np.searchsorted(dish, short).clip(max=len(dish) - 1)
+        columns += [np.where(dish[place] == short, _integers(x)[place], 0) for x in (own, t)]
+    columns = columns or [np.zeros(len(short), np.int64)] * (2 * SAMPLES)
+    for blob in held[WORD_ASKERS]:
+        g, here = blobs.unpack(blob, np.int64, np.uint8)
+        here = _sums(here, 4)
+        yield blobs.rows([(int(g[0]), ROOTS, blobs.pack(np.array([b], np.int64), *[_bytewise(x[here]) for x in columns]))])
+
+
+@dataclass(frozen=True)
+class Model:
+    """What scoring needs beside the answers: totals, and the root and the heavy contexts' tables of each sample."""
+
+    tokens: int
+    words: int
+    discount: float
+    roots: tuple[Root, ...]
+    hot_tables: np.ndarray
+
+
+def _score(buckets: int, heavy: np.ndarray, model: Model):
+    """Texts and answers of a group -> one row a text."""
+
+    def answers(packed: list[bytes], n: int) -> dict[int, list[np.ndarray]]:
+        return {int(b[0]): [_integers(x) for x in got] for b, *got in (blobs.unpack(blob, np.int64, *[np.uint8] * n) for blob in packed)}
 
     def fn(_: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        texts, ids, train = _texts(held[0])
+        texts, ids, train = _texts(held[TEXTS])
         own = Group(texts, train, buckets, heavy)
         n = len(own.words)
-        c_word = np.zeros(n + 1)
-        root = np.zeros((SAMPLES, n))
-        answers = {}
-        for blob in held.get(4, []):
-            b, *got = blobs.unpack(blob, np.int64, *[np.uint8] * (1 + 2 * SAMPLES))
-            answers[int(b[0])] = [_integers(x) for x in got]
+        c_word, root = np.zeros(n + 1), np.zeros((SAMPLES, n))
+        counts, roots = answers(held.pop(WORD_COUNTS), 1), answers(held.pop(ROOTS), 2 * SAMPLES)
         for b, at in _by(own.word_bucket):
-            got = answers[b]
-            c_word[at] = got[0]
-            for k in range(SAMPLES):
-                c0, t0, m1, m2 = (int(x) for x in totals[2 + 4 * k : 6 + 4 * k])
-                d0 = _discount(m1, m2)
-                root[k, at] = predictive(got[1 + k], got[1 + SAMPLES + k], 1 / (v + 1), c0, t0, d0)
+            c_word[at] = counts[b][0]
+            for k, now in enumerate(model.roots):
+                customers, tables = roots[b][2 * k : 2 * k + 2]
+                root[k, at] = now.base(np.maximum(customers - now.discount * tables, 0))
         c_word[n] = c_word[np.searchsorted(own.words, np.uint64(END))] if n else 0  # texts start as often as they end
-        answers = {}
-        for blob in held.get(2, []):
-            b, *got = blobs.unpack(blob, np.int64, *[np.uint8] * (1 + 2 * SAMPLES))
-            answers[int(b[0])] = [_integers(x) for x in got]
+        counts, tables = answers(held.pop(COUNTS), 2), answers(held.pop(TABLES, []), 2 * SAMPLES)
         pairs = len(own.left)
         c, t, context = np.zeros(pairs), np.zeros((SAMPLES, pairs)), np.zeros((SAMPLES, n + 1))
         for b, at in _by(own.pair_bucket):
-            got = answers[b]
-            c[at] = got[0]
+            c[at], code = counts[b]
             u = own.left[at]
-            first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            u = u[np.append(True, u[1:] != u[:-1])]
+            many, seated, told = c[at] > 1, (code & 1) > 0, tables.get(b)
             for k in range(SAMPLES):
-                t[k, at] = got[1 + k]
-                context[k, u[first]] = got[1 + SAMPLES + k]
+                t[k, at], context[k, u] = np.minimum(c[at], 1), code >> 1
+                if told is not None:
+                    t[k, at[many]], context[k, u[seated]] = told[k], told[SAMPLES + k]
         place = np.searchsorted(heavy, own.short).clip(max=len(heavy) - 1)
         spread = np.flatnonzero(heavy[place] == own.short)
-        context[:, spread] = spread_tables[:, place[spread]]
+        context[:, spread] = model.hot_tables[:, place[spread]]
         p = np.zeros(pairs)
         for k in range(SAMPLES):
-            p += predictive(c, t[k], root[k][own.right], c_word[own.left], context[k][own.left], d)
+            p += predictive(c, t[k], root[k][own.right], c_word[own.left], context[k][own.left], model.discount)
         del t, c
         starts = np.cumsum(own.sizes) - own.sizes
         score = np.add.reduceat(np.log10(p / SAMPLES)[own.pair_at], starts)
-        base = np.add.reduceat(np.log10((c_word[:n] + 1) / (n_train + v + 1))[own.word_at], starts)
+        base = np.add.reduceat(np.log10((c_word[:n] + 1) / (model.tokens + model.words + 1))[own.word_at], starts)
         known = np.add.reduceat((c_word[:n] > 0)[own.word_at].astype(np.int64), starts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(~train, pa.bool_()), pa.array(own.sizes), pa.array(known), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(base), pa.array(score), pa.array(np.power(10.0, -score / own.sizes))],
+            [pa.array(ids, pa.int64()), pa.array(~train, pa.bool_()), pa.array(own.sizes), pa.array(known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(score), pa.array(np.power(10.0, -score / own.sizes))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
 
@@ -408,7 +467,7 @@ def heavy_words(docs: DataFrame) -> np.ndarray:
             often.update(dict(zip(seen.field("values").take(pa.array(many)).to_pylist(), n[many].tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array([0, *[xxhash.xxh64_intdigest(w.encode()) >> 16 for w in often]], pa.int64()), pa.array([total, *often.values()], pa.int64())], names=["w", "n"])
 
-    sums = mapped(docs.select("text"), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    sums = checkpointed(mapped(docs.select("text"), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     total = sums.filter("w = 0").first()
     if total is None or not total["n"]:
         return np.array([START], np.uint64)
@@ -416,32 +475,79 @@ def heavy_words(docs: DataFrame) -> np.ndarray:
     return np.array(sorted([START, *[r["w"] for r in found]]), np.uint64)
 
 
+def _summed(blobs_: DataFrame, size: int) -> np.ndarray:
+    """The tallies of all buckets, summed by the executors: at most `size` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                at, n = blobs.unpack(blob, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    out = np.zeros(size, np.int64)
+    for row in mapped(blobs_.select("blob"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[row["at"]] = row["n"]
+    return out
+
+
+class Tables:
+    """Stages' results as tables in the shared folder, by kind of blob, so that reading some kinds reads no others."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.at = spark, f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> None:
+        df.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.at}/{name}")
+
+    def read(self, name: str, *kinds: int) -> DataFrame:
+        whole = self.spark.read.schema(blobs.DDL).parquet(f"{self.at}/{name}")
+        return whole.filter(F.col("kind").isin(*kinds)).select("key", "kind", "blob")
+
+    def drop(self, name: str) -> None:
+        remove(self.spark, f"{self.at}/{name}")
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    width = shuffle_width(docs.sparkSession)
+    spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(min(width, -(-total // LEAST_GROUP_BYTES)), -(-total // GROUP_BYTES), 1)
     heavy = heavy_words(docs)
-    texts = blobs.packed_rows(docs, lambda batch: _group_of(*_marks(batch)[1:], groups))
-    counted = checkpointed(blobs.by_key(blobs.by_key(texts, groups, _count(groups), blobs.DDL), groups, _sum_words(), blobs.DDL))
-    release(docs.sparkSession)
-    tokens = sum(int(blobs.unpack(bytes(row["blob"]), np.int64)[0][0]) for row in counted.filter("kind = 8").select("blob").toLocalIterator())
-    asked = blobs.by_key(texts.union(counted.filter("kind = 5")), groups, _ask(groups, heavy, tokens), blobs.DDL)
-    contexts = checkpointed(blobs.by_key(asked, groups, _seat_contexts(groups, heavy), blobs.DDL))
-    release(docs.sparkSession)
-    root = checkpointed(blobs.by_key(counted.filter("kind = 1").union(contexts.filter("kind = 3")), groups, _seat_root(groups), blobs.DDL))
-    release(docs.sparkSession)
-    # A few numbers from each bucket, one bucket at a time: counts of counts, and the tables of fewer than HEAVY contexts.
-    singles, spread_tables = np.zeros(2, np.int64), np.zeros((SAMPLES, len(heavy)), np.int64)
-    for row in contexts.filter("kind = 6").select("blob").toLocalIterator():
-        own, at, *tables = blobs.unpack(bytes(row["blob"]), *[np.int64] * (2 + SAMPLES))
-        singles += own
-        for k in range(SAMPLES):
-            spread_tables[k, at] += tables[k]
-    totals = np.zeros(2 + 4 * SAMPLES, np.int64)
-    for row in root.filter("kind = 7").select("blob").toLocalIterator():
-        totals += blobs.unpack(bytes(row["blob"]), np.int64)[0]
-    final = texts.union(contexts.filter("kind = 2")).union(root.filter("kind = 4"))
+    texts = blobs.packed_rows(docs, lambda batch: _group_of(*_marks(batch)[1:], groups), TEXTS)
+    kept = Tables(spark)
+    kept.write("start", blobs.by_key(blobs.by_key(texts, groups, _ask(groups, heavy), blobs.DDL), groups, _start(groups, heavy), blobs.DDL))
+    release(spark)
+    tokens, words, n1, n2, *hot = _summed(kept.read("start", TALLY), 4 + 2 * len(heavy)).tolist()
+    hot_once, hot_more = np.array(hot[: len(heavy)]), np.array(hot[len(heavy) :])
+    discount, root_discount, root = _discount(n1, n2), 0.5, None
+    sent, roots, hot_tables = kept.read("start", SENT), [], []
+    for r in range(ROUNDS + 1):
+        frame = kept.read("start", ONCE, DISHES).union(sent)
+        if r:
+            frame = frame.union(kept.read(f"root{r - 1}", ROOT_SEATS))
+        kept.write(f"root{r}", blobs.by_key(frame, groups, _seat_root(groups, r, root_discount, words, root), blobs.DDL))
+        customers, tables, m1, m2 = _summed(kept.read(f"root{r}", TALLY), 4).tolist()
+        root, root_discount = Root(root_discount, customers, tables, words), _discount(m1, m2)
+        if r > ROUNDS - SAMPLES:
+            roots.append(root)
+            hot_tables.append(hot_once + hot_more)
+        elif r:
+            kept.drop(f"root{r - 1}")
+        if r == ROUNDS:
+            break
+        frame = kept.read("start", FIXED, *([ASKERS] if r + 1 == ROUNDS else [])).union(kept.read(f"root{r}", BASES))
+        if r:
+            frame = frame.union(kept.read(f"contexts{r}", SEATS))
+        kept.write(f"contexts{r + 1}", blobs.by_key(frame, groups, _seat_contexts(groups, r + 1, discount, root, hot_once + hot_more), blobs.DDL))
+        hot_more = _summed(kept.read(f"contexts{r + 1}", TALLY), len(heavy))
+        sent = kept.read(f"contexts{r + 1}", SENT)
+        if r:
+            kept.drop(f"contexts{r}")
+    samples = [kept.read(f"root{r}", KEPT) for r in range(ROUNDS - SAMPLES + 1, ROUNDS + 1)]
+    known = blobs.by_key(reduce(DataFrame.union, samples, kept.read("start", VOCABULARY, WORD_ASKERS)), groups, _answer_words, blobs.DDL)
+    model = Model(tokens, words, discount, tuple(roots), np.array(hot_tables))
+    final = texts.union(kept.read("start", COUNTS, WORD_COUNTS)).union(kept.read(f"contexts{ROUNDS}", TABLES)).union(known)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return blobs.by_key(final, groups, _score(groups, heavy, spread_tables, _discount(*singles), totals), ddl)
+    return blobs.by_key(final, groups, _score(groups, heavy, model), ddl)

@@ -120,24 +120,29 @@ class _Choice:
     selected: np.ndarray
     groups: list[set[int]]
 
-    def place(self) -> np.ndarray:
-        out = np.full(SPACE, -1, np.int32)
-        out[self.selected] = np.arange(len(self.selected))
-        return out
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes among the selected ones, -1 for others."""
+        if not len(self.selected):
+            return np.full(len(hashes), -1)
+        order = np.argsort(self.selected)
+        at = order[np.searchsorted(self.selected, hashes, sorter=order).clip(max=len(order) - 1)]
+        return np.where(self.selected[at] == hashes, at, -1)
 
 
 def _choose(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> _Choice:
     """rows from 0 and hashed features of labelled rows -> their choice."""
     n, pos = len(y), float(y.sum())
     neg = n - pos
-    a, b = np.bincount(cols, y[rows], SPACE), np.bincount(cols, 1 - y[rows], SPACE)
+    used, at = np.unique(cols, return_inverse=True)
+    a, b = np.bincount(at, y[rows], len(used)), np.bincount(at, 1 - y[rows], len(used))
     gain = np.abs(a - (a + b) * pos / n) / np.sqrt((a + b) * pos / n + 0.5)
     gain[a + b < 4] = 0
     selected = np.argsort(-gain, kind="stable")[:FEATURES]
     selected = selected[gain[selected] > 2]
     lift = np.log(((a + 0.1) / (pos + 0.2)) / ((b + 0.1) / (neg + 0.2)))[selected]
+    selected = used[selected]
     choice = _Choice(selected, [])
-    at = choice.place()[cols]
+    at = choice.place(cols)
     groups = _categories(list(selected), lift, rows[at >= 0], at[at >= 0].astype(np.int64), y)
     choice.groups = [{int(selected[j]) for j in g} for g in groups[:CATEGORIES]]
     return choice
@@ -172,14 +177,14 @@ def out_of_fold(features: list[np.ndarray], y: np.ndarray, groups: list[set[int]
         renum, own = np.cumsum(inside) - 1, y[inside]
         r, c = renum[rows[at]], cols[at]
         choice = _choose(r, c, own) if 0 < own.sum() < len(own) else _Choice(np.zeros(0, np.int64), [])
-        place = choice.place()
-        kept = place[c] >= 0
-        every = place[cols] >= 0
+        place = choice.place(cols)
+        every = place >= 0
+        kept = every[at]
         targets = [_target(_likest(g, choice), r, c, own) for g in groups] + [own]
         dense, seen = np.zeros((int(inside.sum()), 0)), np.zeros((n, 0))
         for j, target in enumerate(targets):
-            w = _logistic(r[kept], place[c[kept]], len(own), dense, target)
-            p = _apply(w, rows[every], place[cols[every]], n, seen)
+            w = _logistic(r[kept], place[at][kept], len(own), dense, target)
+            p = _apply(w, rows[every], place[every], n, seen)
             out[fold == k, j] = p[fold == k]
             seen = np.column_stack([seen, p])
             dense = seen[inside]
@@ -194,10 +199,10 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> Chain:
     rows, cols = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features).astype(np.int64)
     choice = _choose(rows, cols, y)
     dense = out_of_fold(features, y, choice.groups)
-    place = choice.place()
-    at = place[cols] >= 0
+    place = choice.place(cols)
+    at = place >= 0
     targets = [_target(g, rows, cols, y) for g in choice.groups] + [y]
-    links = [_logistic(rows[at], place[cols[at]], n, dense[:, :j], t) for j, t in enumerate(targets)]
+    links = [_logistic(rows[at], place[at], n, dense[:, :j], t) for j, t in enumerate(targets)]
     last = dense[:, -1]
     grid = np.unique(np.round(np.quantile(last, np.linspace(0.5, 1, 400)), 6))
     f1 = [2 * (y * (last >= t)).sum() / max((last >= t).sum() + y.sum(), 1) for t in grid]
