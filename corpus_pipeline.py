@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, pieces, quality, simhash, suffixes
-from tidemark.llm.common import ensure_checkpoint_dir, table
+from tidemark.llm.common import ensure_checkpoint_dir, remove, table
 from tidemark.llm.registry import piece_model
 
 
@@ -57,11 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Between stages the rows are written as Parquet in the shared folder and read again."""
+    """All stages over documents. Between stages the rows are written as Parquet in the shared folder and read again.
+
+    A stage's folder goes once the next one is written; the last of them stays, as the result is read from it.
+    """
     ensure_checkpoint_dir(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, f"{place}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
