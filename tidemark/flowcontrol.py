@@ -196,6 +196,9 @@ class _Dynamic(Step):
     rate: str
     latency: str
 
+    def reads(self):
+        return self.queue, self.rate, self.latency
+
     def init(self):
         return 100.0
 

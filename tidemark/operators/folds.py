@@ -28,6 +28,10 @@ class Step:
     #: A gap of so many milliseconds before a row brings the state back to its start, or None.
     resets_after_ms: int | None = None
 
+    def reads(self) -> tuple[str, ...] | None:
+        """The columns that step() looks at; None for all of them."""
+        return None
+
     def init(self) -> Any:
         return None
 
@@ -41,6 +45,9 @@ class Scan(Step):
     seed: Any
     value: str
 
+    def reads(self):
+        return (self.value,)
+
     def init(self):
         return self.seed
 
@@ -58,6 +65,9 @@ class Throttle(Step):
     def __post_init__(self):
         self.resets_after_ms = self.ms
 
+    def reads(self):
+        return ("_ms",)
+
     def step(self, last, row):
         now = row["_ms"]
         if last is None or now - last >= self.ms:
@@ -75,6 +85,9 @@ class RateLimit(Step):
     def __post_init__(self):
         self.resets_after_ms = self.window_ms
 
+    def reads(self):
+        return ("_ms",)
+
     def init(self):
         return []
 
@@ -94,6 +107,9 @@ class Credits(Step):
     initial: int
     most: int = (1 << 53) - 1
 
+    def reads(self):
+        return "op", "amount"
+
     def init(self):
         return self.initial
 
@@ -121,6 +137,9 @@ class AdaptiveRate(Step):
     alpha: float = 0.2
     latency: str = "latency_ms"
 
+    def reads(self):
+        return (self.latency,)
+
     def init(self):
         return float(self.initial)
 
@@ -161,11 +180,12 @@ def fold(flow: Flow, step: Step, added: dict[str, str], keep: list[str] | None =
     own = keep or flow.df.columns
     out = T.StructType([*[f for f in flow.df.schema.fields if f.name in own and f.name not in added], *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
     passing = [f.name for f in out.fields if f.name not in added]
+    needed = list(dict.fromkeys([*by, *(step.reads() or df.columns)]))  # only these become Python values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, first = None, None, True
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = batch.select(needed).to_pylist()
             picked: list[int] = []
             made: list[list] = [[] for _ in added]
             for k, row in enumerate(rows):

@@ -68,8 +68,8 @@ def buffer(flow: Flow, n: int, name: str = "items") -> Flow:
 def distinct(flow: Flow) -> Flow:
     """The first row of each value (and key); nulls are one value.
 
-    The least order tuple is found by an aggregate that combines before the shuffle, so a common value
-    costs a row a task, and only then the rows themselves are picked: one row a value.
+    An aggregate keeps the row with the least order tuple, and combines before the shuffle, so a common value
+    costs one whole row a task.
     """
     by = [*flow.key, flow.value]
     rest = [c for c in flow.df.columns if c not in by]
