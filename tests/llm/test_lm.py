@@ -7,10 +7,11 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import blobs, lm
 
-from .util import SF, empty_docs, odd_docs, odd_rows, rows_of
+from .util import SF, crowded, empty_docs, odd_docs, odd_rows, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -276,3 +277,14 @@ def test_frequent_contexts_are_dealt_out_and_summed_exactly():
     start = sent_on(lm._start(3, heavy), sent_on(lm._ask(3, heavy), in_groups(texts, 3)))
     learned = sum(crc32(str(k).encode()) % 7 != 2 for k in range(40))
     assert tally(start, 6).tolist()[4:] == [learned, 0] and sum(lm.COUNTS in held for held in start.values()) == 3
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    """A third of all rows are one text, and columns carry an operator's own names."""
+    rows = [(1 if k % 2 else k, "the very same line of words " * 4) for k in range(400)] + [(k, f"text {k} with word{k % 7} and more") for k in range(400, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(lm.scored(crowded(docs).withColumn("kind", F.lit("mine")).withColumn("blob", F.lit("mine")).withColumn("n", F.lit("mine"))))
+    hold(got, rows)
+    same = [r["score"] for r in got if r["n_tokens"] == 25]
+    assert len(same) == 400 and max(same) - min(same) < 1e-9
+    assert same[0] / 25 > max(r["score"] / r["n_tokens"] for r in got if r["n_tokens"] != 25)

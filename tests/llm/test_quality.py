@@ -56,3 +56,24 @@ def test_inputs(spark):
     model = quality.train(docs, labels)
     out = quality.with_scores(crowded(docs), model, "_q")
     assert out.columns == [*crowded(docs).columns, "_q"] and out.filter("score <> 'mine'").count() == 0
+
+
+def test_scores_of_the_query_by_pairs(spark):
+    """Scores of a whole table against the sum over all pairs of features, with the model that the same rows train."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in rows_of(quality.judged(docs, labels))}
+    for r in docs.collect()[:60]:
+        ids, x, _ = model.features([quality.describe(r["text"], r["n_chars"])])
+        vx = model.v[ids].astype(float) * x[:, None]
+        gram = vx @ vx.T
+        z = model.bias + float(model.w[ids].astype(float) @ x) + (gram.sum() - np.trace(gram)) / 2
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_repeated_ids_stay_within_the_limit(spark):
+    docs = spark.createDataFrame([(k % 4 + 1, f"text {k} of many", "en", "a", k) for k in range(300)], odd_docs(spark).schema)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)] * 3, "doc_id long, quality int, toxic int")
+    rows, y = quality.labelled_rows(docs, labels, max_rows=50)
+    assert len(rows) == len(y) == 50

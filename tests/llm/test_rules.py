@@ -1,11 +1,14 @@
+import math
 import re
 from collections import Counter
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import rules
 
-from .util import SF, empty_docs, empty_labels, odd_docs, odd_labels, odd_rows, rows_of
+from .util import SF, crowded, empty_docs, empty_labels, odd_docs, odd_labels, odd_rows, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,7 +50,48 @@ def test_ratio_tells_good_from_bad(spark):
         assert sum(bad) <= 0.7 * len(bad) + 1
 
 
-def test_same_text_same_verdict_and_ratio_by_hand(spark):
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_buckets(text, buckets: int) -> list[int]:
+    """Buckets of words and of pairs of words, by XXH64 as the engine has it: seed 42, a pair's first hash seeds its second."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    raw = [x.to_bytes(8, "little") for x in h]
+    pairs = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(raw, raw[1:])]
+    return [signed(x) % buckets for x in [*h, *pairs]]
+
+
+@pytest.mark.parametrize("case", ["odd", "table"])
+def test_ratio_and_verdict_by_hand(spark, case):
+    docs = odd_docs(spark) if case == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    labels = odd_labels(spark) if case == "odd" else spark.read.parquet(f"{SF}/labels.parquet")
+    pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    good, b = {r["doc_id"] for r in labels.collect() if r["quality"] == 1} - {None}, rules.BUCKETS
+    raw, target = Counter(), Counter()
+    for i, text in pairs:
+        own = brute_buckets(text, b)
+        raw.update(own)
+        if i in good:
+            target.update(own)
+    t, r = sum(target.values()), sum(raw.values())
+    want = []
+    for i, text in pairs:
+        own = brute_buckets(text, b)
+        ratio = sum(math.log((target[x] + 1) / (t + b)) - math.log((raw[x] + 1) / (r + b)) for x in own) / len(own) if own and t else 0.0
+        want.append((str(i), round(ratio, 9), not brute(text)[-1] and ratio >= rules.THRESHOLD))
+    rows = rows_of(rules.judged(docs, labels))
+    assert sorted((str(x["doc_id"]), round(x["ratio"], 9) + 0.0, x["kept"]) for x in rows) == sorted((i, x + 0.0, k) for i, x, k in want)
+    assert {x["kept"] for x in rows} == {True, False} and t
+
+
+def test_clashing_columns(spark):
+    rows = rows_of(rules.judged(crowded(odd_docs(spark)).withColumn("_h", F.lit(1)).withColumn("ratio", F.lit("mine")), odd_labels(spark).withColumn("text", F.lit("x"))))
+    key = lambda r: (str(r["doc_id"]), r["n_words"], r["ratio"], r["kept"])
+    assert sorted(map(key, rows)) == sorted(map(key, rows_of(rules.judged(odd_docs(spark), odd_labels(spark)))))
+
+
+def test_same_text_same_verdict(spark):
     docs, labels = odd_docs(spark), odd_labels(spark)
     rows = rows_of(rules.judged(docs, labels))
     texts = {}
