@@ -43,7 +43,7 @@ def test_keyed_operators_shuffle_once(of):
 
 def test_native_operators_stay_out_of_python(of):
     for name in catalog.queries():
-        if not re.search("python|retry|async|compact|cumsum|from_callable|throttle|limit|credits|rate|dynamic|stream|admission", name):
+        if not re.search("python|retry|async|parallel|served|compact|cumsum|from_callable|throttle|limit|credits|rate|dynamic|stream|admission", name):
             assert not re.search("InArrow|InPandas|EvalPython|PythonUDF", of(name)), name
 
 

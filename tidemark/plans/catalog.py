@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flows, streams, timed, vectors
+from . import flows, served, streams, timed, vectors
 from .flows import flagship
 from .registry import ORACLES, QUERIES, Query
 
@@ -15,4 +15,4 @@ def oracles() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["flagship", "flows", "oracles", "queries", "streams", "timed", "vectors"]
+__all__ = ["flagship", "flows", "oracles", "queries", "served", "streams", "timed", "vectors"]

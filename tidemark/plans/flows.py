@@ -125,6 +125,13 @@ async def _later(x):
     return x * 10 + 1
 
 
+@query("parallel_map", "SELECT l_orderkey, l_linenumber, l_quantity * l_quantity AS squared FROM lineitem")
+def parallel_map(spark, sf):
+    """A Python function on the Arrow batches of all partitions at a time."""
+    f = Flow(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q")), ("l_orderkey", "l_linenumber"), value="q")
+    return errors.attempt_python(f, lambda q: q * q, "double", name="squared").drop().df.select("l_orderkey", "l_linenumber", "squared")
+
+
 @query("map_async", "SELECT event_id, event_id * 10 + 1 AS answer FROM events WHERE event_id % 97 <> 0")
 def map_async(spark, sf):
     f = events(spark, sf, value="event_id")

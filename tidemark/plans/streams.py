@@ -5,7 +5,6 @@ Each writes its micro-batches as Parquet in the shared folder and returns the ta
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from ..sources import unbounded
 from ..streaming import stateful
 from .flows import _WINDOWS
 from .registry import ORACLES, query, shared_folder
+from .served import read_until
 from .timed import _LIMIT, _ROWS, HOUR
 
 BY_USER = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -195,14 +195,4 @@ TICKS = 50
 @query("stream_interval", f"SELECT range AS value FROM range({TICKS})")
 def stream_interval(spark, sf):
     """The first ticks of an interval, as (value): the stream is stopped once they are there."""
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    running = unbounded.interval(spark, 50).select("value").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").start()
-    try:
-        while running.isActive and sum(p["numInputRows"] for p in running.recentProgress) < TICKS:
-            time.sleep(0.2)
-    finally:
-        running.stop()
-    if running.exception() is not None:
-        raise running.exception()
-    _remove(spark, f"{at}/log")
-    return spark.read.schema("value long").parquet(f"{at}/out").filter(F.col("value") < TICKS)
+    return read_until(spark, unbounded.interval(spark, 50).select("value"), TICKS).filter(F.col("value") < TICKS)
