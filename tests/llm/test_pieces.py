@@ -66,3 +66,14 @@ def test_spaces_and_junk(model):
     for n in (1, 2, 3, 15, 16, 17, 31, 100, 1000):
         assert table.encode(" " * n) == ids_of(model, " " * n)
         assert table.encode("x" * n) == ids_of(model, "x" * n)
+
+
+def test_long_texts_are_taken_in_stretches(model, monkeypatch):
+    """Cuts fall between units, wherever a stretch ends: in words, in runs of spaces, in texts without any."""
+    table, rng = pieces.prefix_table(piece_model()), random.Random(8)
+    texts = ["".join(rng.choice([" ", "  ", "word", "Ünï", ".", "\n", "▁", "x", "12", "東京"]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    for stretch in (1, 3, 10):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        for text in [*texts, "a" * 50, " " * 50, ""]:
+            assert table.encode(text) == ids_of(model, text)
+            assert table.decode(table.encode(text)) == model.decode(ids_of(model, text))

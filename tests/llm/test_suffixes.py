@@ -61,6 +61,17 @@ def test_planted(spark, hot):
     assert got(suffixes.digests(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot)) == brute(docs)
 
 
+def test_long_texts_are_taken_in_stretches(monkeypatch):
+    """Keys of windows do not depend on where a stretch ends; every window is in one phrase."""
+    raw = "".join(t for _, t in planted(11)).encode()
+    whole = suffixes.phrases(raw)
+    each = lambda p: np.repeat(p[0], p[2])
+    for stretch in (1, 7, 50, 333):
+        monkeypatch.setattr(suffixes, "STRETCH", stretch)
+        cut = suffixes.phrases(raw)
+        assert (each(cut) == each(whole)).all() and (cut[1] == np.cumsum(cut[2]) - cut[2]).all()
+
+
 def test_odd_rows(spark):
     assert got(suffixes.digests(odd_docs(spark))) == brute([(r[0], r[1]) for r in odd_rows()])
 

@@ -37,6 +37,8 @@ from .common import mapped, plus, slices
 SPACE = "▁"
 MEMO, PAIRS = 300_000, 500_000
 LONGEST_MEMO = 48
+STRETCH = 1 << 20
+_CUT = re.compile("[^ ] ")
 
 
 class Memo(dict):
@@ -218,9 +220,18 @@ class PrefixTable:
         """The ids of a text in decimal with the end id last, and the bytes that they stand for."""
         if not text:
             return str(self.end), b""
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        ids, raw = zip(*map(self.memo.__getitem__, self.units_of(" " + text)))
+        text = " " + (text.replace(SPACE, " ") if SPACE in text else text)
+        if len(text) <= STRETCH:
+            ids, raw = zip(*map(self.memo.__getitem__, self.units_of(text)))
+            return f"{' '.join(ids)} {self.end}", b"".join(raw)
+        ids, raw, at = [], [], 0
+        while at < len(text):  # a long text, some megabytes of units at a time: cut in front of a space that follows something else
+            cut = _CUT.search(text, at + STRETCH)
+            to = cut.start() + 1 if cut else len(text)
+            i, r = zip(*map(self.memo.__getitem__, self.units_of(text, at, to)))
+            ids.append(" ".join(i))
+            raw.append(b"".join(r))
+            at = to
         return f"{' '.join(ids)} {self.end}", b"".join(raw)
 
     def encode(self, text: str | None) -> list[int]:

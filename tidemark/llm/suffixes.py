@@ -45,7 +45,7 @@ from .common import checkpointed, mapped, release, shuffle_width
 
 LENGTH = 50
 GRAM = 20
-LONGEST = 256
+LONGEST, STRETCH = 256, 1 << 20
 HOT = 16_000
 SHARD = 1_000_000
 CHUNK_BYTES = 64_000_000
@@ -175,7 +175,14 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def phrases(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows) of the phrases of a text of LENGTH bytes at least."""
+    """(key, first window, number of windows) of the phrases of a text of LENGTH bytes at least, STRETCH windows at a time."""
+    if len(raw) < STRETCH + LENGTH:
+        return _phrases(raw)
+    parts = [(k, _phrases(raw[k : k + STRETCH + LENGTH - 1])) for k in range(0, len(raw) - LENGTH + 1, STRETCH)]
+    return np.concatenate([p[0] for _, p in parts]), np.concatenate([p[1] + k for k, p in parts]), np.concatenate([p[2] for _, p in parts])
+
+
+def _phrases(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = _least(gram_hashes(np.frombuffer(raw, np.uint8)), LENGTH - GRAM + 1)
     start = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
     count = np.diff(np.append(start, len(m)))
