@@ -61,14 +61,15 @@ def test_out_of_fold_probabilities_saw_no_label_of_their_fold():
     """Other labels in one fold, features and categories included, leave that fold's probabilities as they are."""
     texts, labels = labelled()
     features = [np.array(sorted(toxicity.hashed(t)), np.uint32) for t in texts]
-    fold, y = toxicity.folds_of(features), labels.astype(float)
+    sample, y = toxicity.Sample.of(features), labels.astype(float)
+    fold = sample.fold
     assert len({(t, f) for t, f in zip(texts, fold)}) == len(set(texts)) and len(set(fold)) == toxicity.FOLDS
-    groups = toxicity._choose(np.repeat(np.arange(len(y)), [len(f) for f in features]), np.concatenate(features).astype(np.int64), y).groups
+    groups = toxicity.choose(sample, y).groups
     assert len(groups) >= 2
-    before = toxicity.out_of_fold(features, y, groups)
+    before = toxicity.out_of_fold(sample, y, groups)
     for k in range(toxicity.FOLDS):
         other = np.where(fold == k, 1 - y, y)
-        assert (toxicity.out_of_fold(features, other, groups)[fold == k] == before[fold == k]).all()
+        assert (toxicity.out_of_fold(sample, other, groups)[fold == k] == before[fold == k]).all()
     assert ((before[:, -1] > 0.5) == (y > 0.5)).mean() > 0.9
 
 

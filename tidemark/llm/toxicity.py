@@ -34,6 +34,7 @@ MAX_ROWS = 12000
 FEATURES = 2048
 CATEGORIES = 4
 FOLDS = 4
+LEAST = 4
 SPACE = 1 << 22
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -114,78 +115,92 @@ def _categories(selected: list[int], lift: np.ndarray, rows: np.ndarray, cols: n
 
 
 @dataclass
-class _Choice:
-    """What a set of labelled rows chooses: features (hashes, strongest first) and categories, as sets of them."""
+class Sample:
+    """Labelled rows as pairs (row, feature): features are numbered, `used` has their hashes. Those of under LEAST rows are left out."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    used: np.ndarray
+    fold: np.ndarray
+
+    @classmethod
+    def of(cls, features: list[np.ndarray]) -> Sample:
+        flat = np.concatenate([*features, np.zeros(0, np.uint32)]).astype(np.uint32)
+        used = np.flatnonzero(np.bincount(flat, minlength=SPACE) >= LEAST)
+        number = np.full(SPACE, -1, np.int32)
+        number[used] = np.arange(len(used))
+        cols = number[flat]
+        rows = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])[cols >= 0]
+        fold = np.array([crc32(np.asarray(f, np.uint32).tobytes()) % FOLDS for f in features], np.int64)
+        return cls(rows, cols[cols >= 0], used, fold)
+
+    def without(self, k: int) -> Sample:
+        """The rows of the other folds, numbered anew."""
+        inside = self.fold != k
+        at = inside[self.rows]
+        number = (np.cumsum(inside) - 1).astype(np.int32)
+        return Sample(number[self.rows[at]], self.cols[at], self.used, self.fold[inside])
+
+    def pairs(self, selected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place among the selected features) of the pairs that have one."""
+        place = np.full(len(self.used), -1, np.int64)
+        place[selected] = np.arange(len(selected))
+        at = place[self.cols]
+        return self.rows[at >= 0].astype(np.int64), at[at >= 0]
+
+    def target(self, group: set[int], y: np.ndarray) -> np.ndarray:
+        """Which rows carry a category: toxic ones that hold one of its features."""
+        mine = np.zeros(len(self.used), bool)
+        mine[list(group)] = True
+        here = np.zeros(len(y))
+        here[self.rows[mine[self.cols]]] = 1
+        return here * y
+
+
+@dataclass
+class Choice:
+    """What a set of labelled rows chooses: features, strongest first, and categories, as sets of them."""
 
     selected: np.ndarray
     groups: list[set[int]]
 
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of hashes among the selected ones, -1 for others."""
-        if not len(self.selected):
-            return np.full(len(hashes), -1)
-        order = np.argsort(self.selected)
-        at = order[np.searchsorted(self.selected, hashes, sorter=order).clip(max=len(order) - 1)]
-        return np.where(self.selected[at] == hashes, at, -1)
-
-
-def _choose(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> _Choice:
-    """rows from 0 and hashed features of labelled rows -> their choice."""
-    n, pos = len(y), float(y.sum())
-    neg = n - pos
-    used, at = np.unique(cols, return_inverse=True)
-    a, b = np.bincount(at, y[rows], len(used)), np.bincount(at, 1 - y[rows], len(used))
-    gain = np.abs(a - (a + b) * pos / n) / np.sqrt((a + b) * pos / n + 0.5)
-    gain[a + b < 4] = 0
+
+def choose(sample: Sample, y: np.ndarray) -> Choice:
+    n, pos, size = len(y), float(y.sum()), len(sample.used)
+    if not 0 < pos < n:
+        return Choice(np.zeros(0, np.int64), [])
+    both = np.bincount(sample.cols, minlength=size)
+    a = np.bincount(sample.cols[(y > 0)[sample.rows]], minlength=size)
+    gain = np.abs(a - both * pos / n) / np.sqrt(both * pos / n + 0.5)
+    gain[both < LEAST] = 0
     selected = np.argsort(-gain, kind="stable")[:FEATURES]
     selected = selected[gain[selected] > 2]
-    lift = np.log(((a + 0.1) / (pos + 0.2)) / ((b + 0.1) / (neg + 0.2)))[selected]
-    selected = used[selected]
-    choice = _Choice(selected, [])
-    at = choice.place(cols)
-    groups = _categories(list(selected), lift, rows[at >= 0], at[at >= 0].astype(np.int64), y)
-    choice.groups = [{int(selected[j]) for j in g} for g in groups[:CATEGORIES]]
-    return choice
+    lift = np.log(((a + 0.1) / (pos + 0.2)) / ((both - a + 0.1) / (n - pos + 0.2)))[selected]
+    groups = _categories(list(selected), lift, *sample.pairs(selected), y)
+    return Choice(selected, [{int(selected[j]) for j in g} for g in groups[:CATEGORIES]])
 
 
-def _target(group: set[int], rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows carry a category: toxic ones that hold one of its features."""
-    here = np.zeros(len(y))
-    here[rows[np.isin(cols, list(group))]] = 1
-    return here * y
-
-
-def _likest(group: set[int], choice: _Choice) -> set[int]:
+def _likest(group: set[int], choice: Choice) -> set[int]:
     """The category of another choice that has most in common with a group; its own features, if none has any."""
     best = max(choice.groups, key=lambda g: len(g & group) / len(g | group), default=set())
     return best if best & group else group & {int(f) for f in choice.selected}
 
 
-def folds_of(features: list[np.ndarray]) -> np.ndarray:
-    return np.array([crc32(np.asarray(f, np.uint32).tobytes()) % FOLDS for f in features], np.int64)
-
-
-def out_of_fold(features: list[np.ndarray], y: np.ndarray, groups: list[set[int]]) -> np.ndarray:
+def out_of_fold(sample: Sample, y: np.ndarray, groups: list[set[int]]) -> np.ndarray:
     """Rows x links: the probability of each category, and of toxicity, by models that saw no label of the row's fold."""
-    n, fold = len(y), folds_of(features)
-    rows, cols = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features).astype(np.int64)
-    out = np.zeros((n, len(groups) + 1))
+    n, out = len(y), np.zeros((len(y), len(groups) + 1))
     for k in range(FOLDS):
-        inside, at = fold != k, fold[rows] != k
+        inside = sample.fold != k
         if not inside.any() or inside.all():
             continue
-        renum, own = np.cumsum(inside) - 1, y[inside]
-        r, c = renum[rows[at]], cols[at]
-        choice = _choose(r, c, own) if 0 < own.sum() < len(own) else _Choice(np.zeros(0, np.int64), [])
-        place = choice.place(cols)
-        every = place >= 0
-        kept = every[at]
-        targets = [_target(_likest(g, choice), r, c, own) for g in groups] + [own]
-        dense, seen = np.zeros((int(inside.sum()), 0)), np.zeros((n, 0))
-        for j, target in enumerate(targets):
-            w = _logistic(r[kept], place[at][kept], len(own), dense, target)
-            p = _apply(w, rows[every], place[every], n, seen)
-            out[fold == k, j] = p[fold == k]
+        others, own = sample.without(k), y[inside]
+        choice = choose(others, own)
+        learnt, every = others.pairs(choice.selected), sample.pairs(choice.selected)
+        dense, seen = np.zeros((len(own), 0)), np.zeros((n, 0))
+        for j, target in enumerate([*(others.target(_likest(g, choice), own) for g in groups), own]):
+            w = _logistic(*learnt, len(own), dense, target)
+            p = _apply(w, *every, n, seen)
+            out[~inside, j] = p[~inside]
             seen = np.column_stack([seen, p])
             dense = seen[inside]
     return out
@@ -196,19 +211,17 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> Chain:
     n, y = len(features), labels.astype(float)
     if not n or not 0 < y.sum() < n:
         return Chain()
-    rows, cols = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features).astype(np.int64)
-    choice = _choose(rows, cols, y)
-    dense = out_of_fold(features, y, choice.groups)
-    place = choice.place(cols)
-    at = place >= 0
-    targets = [_target(g, rows, cols, y) for g in choice.groups] + [y]
-    links = [_logistic(rows[at], place[at], n, dense[:, :j], t) for j, t in enumerate(targets)]
+    sample = Sample.of(features)
+    choice = choose(sample, y)
+    dense = out_of_fold(sample, y, choice.groups)
+    pairs, targets = sample.pairs(choice.selected), [*(sample.target(g, y) for g in choice.groups), y]
+    links = [_logistic(*pairs, n, dense[:, :j], t) for j, t in enumerate(targets)]
     last = dense[:, -1]
     grid = np.unique(np.round(np.quantile(last, np.linspace(0.5, 1, 400)), 6))
     f1 = [2 * (y * (last >= t)).sum() / max((last >= t).sum() + y.sum(), 1) for t in grid]
     best = grid[[k for k, f in enumerate(f1) if f >= max(f1) - 1e-9]]
     # In the middle of the equally good ones, and never in reach of the base rate of texts without features.
-    return Chain({int(s): k for k, s in enumerate(choice.selected)}, links, float(np.clip((best.min() + best.max()) / 2, 0.35, 0.9)))
+    return Chain({int(s): k for k, s in enumerate(sample.used[choice.selected])}, links, float(np.clip((best.min() + best.max()) / 2, 0.35, 0.9)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
@@ -227,9 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain
 
     # An id may repeat in either table, so the joined rows are limited as well.
     first = few.mapInArrow(run, "doc_id long, toxic int, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "f").limit(max_rows)
-    got = first.toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["toxic"][i], got["f"][i]))
-    return fit([np.frombuffer(got["f"][i], np.uint32) for i in order], np.array([got["toxic"][i] for i in order]))
+    rows = first.toArrow()
+    ids, toxic, f = (rows.column(k).to_pylist() for k in range(3))
+    del rows
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], toxic[i], f[i]))
+    return fit([np.frombuffer(f[i], np.uint32) for i in order], np.array([toxic[i] for i in order]))
 
 
 def judged(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
