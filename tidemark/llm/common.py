@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,6 +82,26 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Shelf:
+    """Tables that cut lineage, in a folder of their own under the shared one; those that nothing reads any more can go."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.at = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        """Writes df, by the values of some columns if asked, and reads it back with its columns in their order."""
+        df.write.partitionBy(*by).option("compression", "uncompressed" if by else "snappy").parquet(f"{self.at}/{name}")
+        return self.get(name, df.schema)
+
+    def get(self, name: str, schema) -> DataFrame:
+        columns = schema.fieldNames() if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fieldNames()
+        return self.spark.read.schema(schema).parquet(f"{self.at}/{name}").select(*[F.col(f"`{c}`") for c in columns])
+
+    def drop(self, name: str) -> None:
+        remove(self.spark, f"{self.at}/{name}")
+
+
 def trim() -> None:
     """Gives freed memory back to the system, so that a reused Python worker does not carry one stage's peak through the next."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,6 @@ as often as they stand there; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,11 +40,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import checkpointed, ensure_checkpoint_dir, mapped, release, remove, shuffle_width
+from .common import Shelf, checkpointed, mapped, release, shuffle_width
 from .suffixes import _by, _group_of, _marks, _steps, _sums
 
 ROUNDS, SAMPLES = 5, 3
@@ -490,24 +489,6 @@ def _summed(blobs_: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-class Tables:
-    """Stages' results as tables in the shared folder, by kind of blob, so that reading some kinds reads no others."""
-
-    def __init__(self, spark: SparkSession):
-        ensure_checkpoint_dir(spark)
-        self.spark, self.at = spark, f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4().hex}"
-
-    def write(self, name: str, df: DataFrame) -> None:
-        df.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.at}/{name}")
-
-    def read(self, name: str, *kinds: int) -> DataFrame:
-        whole = self.spark.read.schema(blobs.DDL).parquet(f"{self.at}/{name}")
-        return whole.filter(F.col("kind").isin(*kinds)).select("key", "kind", "blob")
-
-    def drop(self, name: str) -> None:
-        remove(self.spark, f"{self.at}/{name}")
-
-
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
@@ -516,38 +497,40 @@ def scored(docs: DataFrame) -> DataFrame:
     groups = max(min(width, -(-total // LEAST_GROUP_BYTES)), -(-total // GROUP_BYTES), 1)
     heavy = heavy_words(docs)
     texts = blobs.packed_rows(docs, lambda batch: _group_of(*_marks(batch)[1:], groups), TEXTS)
-    kept = Tables(spark)
-    kept.write("start", blobs.by_key(blobs.by_key(texts, groups, _ask(groups, heavy), blobs.DDL), groups, _start(groups, heavy), blobs.DDL))
+    shelf = Shelf(spark, "lm")
+    put = lambda name, df: shelf.put(name, df, "kind")  # noqa: E731  by kind, so that reading some kinds reads no others
+    read = lambda name, *kinds: shelf.get(name, blobs.DDL).filter(F.col("kind").isin(*kinds))
+    put("start", blobs.by_key(blobs.by_key(texts, groups, _ask(groups, heavy), blobs.DDL), groups, _start(groups, heavy), blobs.DDL))
     release(spark)
-    tokens, words, n1, n2, *hot = _summed(kept.read("start", TALLY), 4 + 2 * len(heavy)).tolist()
+    tokens, words, n1, n2, *hot = _summed(read("start", TALLY), 4 + 2 * len(heavy)).tolist()
     hot_once, hot_more = np.array(hot[: len(heavy)]), np.array(hot[len(heavy) :])
     discount, root_discount, root = _discount(n1, n2), 0.5, None
-    sent, roots, hot_tables = kept.read("start", SENT), [], []
+    sent, roots, hot_tables = read("start", SENT), [], []
     for r in range(ROUNDS + 1):
-        frame = kept.read("start", ONCE, DISHES).union(sent)
+        frame = read("start", ONCE, DISHES).union(sent)
         if r:
-            frame = frame.union(kept.read(f"root{r - 1}", ROOT_SEATS))
-        kept.write(f"root{r}", blobs.by_key(frame, groups, _seat_root(groups, r, root_discount, words, root), blobs.DDL))
-        customers, tables, m1, m2 = _summed(kept.read(f"root{r}", TALLY), 4).tolist()
+            frame = frame.union(read(f"root{r - 1}", ROOT_SEATS))
+        put(f"root{r}", blobs.by_key(frame, groups, _seat_root(groups, r, root_discount, words, root), blobs.DDL))
+        customers, tables, m1, m2 = _summed(read(f"root{r}", TALLY), 4).tolist()
         root, root_discount = Root(root_discount, customers, tables, words), _discount(m1, m2)
         if r > ROUNDS - SAMPLES:
             roots.append(root)
             hot_tables.append(hot_once + hot_more)
-        elif r:
-            kept.drop(f"root{r - 1}")
+        if 0 < r <= ROUNDS - SAMPLES + 1:
+            shelf.drop(f"root{r - 1}")
         if r == ROUNDS:
             break
-        frame = kept.read("start", FIXED, *([ASKERS] if r + 1 == ROUNDS else [])).union(kept.read(f"root{r}", BASES))
+        frame = read("start", FIXED, *([ASKERS] if r + 1 == ROUNDS else [])).union(read(f"root{r}", BASES))
         if r:
-            frame = frame.union(kept.read(f"contexts{r}", SEATS))
-        kept.write(f"contexts{r + 1}", blobs.by_key(frame, groups, _seat_contexts(groups, r + 1, discount, root, hot_once + hot_more), blobs.DDL))
-        hot_more = _summed(kept.read(f"contexts{r + 1}", TALLY), len(heavy))
-        sent = kept.read(f"contexts{r + 1}", SENT)
+            frame = frame.union(read(f"contexts{r}", SEATS))
+        put(f"contexts{r + 1}", blobs.by_key(frame, groups, _seat_contexts(groups, r + 1, discount, root, hot_once + hot_more), blobs.DDL))
+        hot_more = _summed(read(f"contexts{r + 1}", TALLY), len(heavy))
+        sent = read(f"contexts{r + 1}", SENT)
         if r:
-            kept.drop(f"contexts{r}")
-    samples = [kept.read(f"root{r}", KEPT) for r in range(ROUNDS - SAMPLES + 1, ROUNDS + 1)]
-    known = blobs.by_key(reduce(DataFrame.union, samples, kept.read("start", VOCABULARY, WORD_ASKERS)), groups, _answer_words, blobs.DDL)
+            shelf.drop(f"contexts{r}")
+    samples = [read(f"root{r}", KEPT) for r in range(ROUNDS - SAMPLES + 1, ROUNDS + 1)]
+    known = blobs.by_key(reduce(DataFrame.union, samples, read("start", VOCABULARY, WORD_ASKERS)), groups, _answer_words, blobs.DDL)
     model = Model(tokens, words, discount, tuple(roots), np.array(hot_tables))
-    final = texts.union(kept.read("start", COUNTS, WORD_COUNTS)).union(kept.read(f"contexts{ROUNDS}", TABLES)).union(known)
+    final = texts.union(read("start", COUNTS, WORD_COUNTS)).union(read(f"contexts{ROUNDS}", TABLES)).union(known)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return blobs.by_key(final, groups, _score(groups, heavy, model), ddl)
