@@ -83,9 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, buck
 def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with _words, _h (hashes), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bare = F.length(F.translate(text, _WS, ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _WS, "")) > 0)
-    df = df.withColumn("_h", word_hashes(text)).withColumn("_lines", lines)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(_WS)) != "")
+    df = df.withColumn("_words", words(text)).withColumn("_lines", lines)
+    df = df.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     df = df.withColumn("n_words", F.size("_h").cast("long"))
     h = F.col("_h")
     df = df.withColumn("_w3", F.transform(_indices(F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))
@@ -102,12 +102,11 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     a = F.col("_again")
     covered = F.aggregate(F.transform(a, lambda p, i: F.least(F.coalesce(F.get(a, i + 1) - p, F.lit(3)), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
     return (
-        df.withColumn("word_chars", bare.cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+        df.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", covered)
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_lines", "_w3", "_bits", "_sorted", "_mask", "_again")
+        .drop("_words", "_lines", "_w3", "_bits", "_sorted", "_mask", "_again")
     )
 
 
