@@ -230,12 +230,15 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", fp_col: str = "fp",
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, component_id, first_fp of each distinct fingerprint of (doc_id, fp): the component's least id, and one fingerprint that has it."""
-    least = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """fp, component_id (the component's least id), and with a column `mark` the least mark of that id, of each distinct fingerprint of (doc_id, fp)."""
+    marked = "mark" in prints.columns
+    id_, mark = F.col("doc_id"), F.col("mark") if marked else F.lit(None).cast("string")
+    first = F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), mark.alias("mark"))) if marked else F.struct(F.min(id_).isNull().alias("none"), F.min(id_).alias("id"), F.first(mark).alias("mark"))
+    least = checkpointed(prints.groupBy("fp").agg(first.alias("first")))
     roots = components(links(least.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
     rooted = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp").alias("fp"))).alias("first"))
-    return rooted.join(ids, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.fp").alias("first_fp"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(ids, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.mark").alias("mark"))
 
 
 def fingerprint_hex(fp):
@@ -246,18 +249,20 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     thin = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     prints = checkpointed(with_fingerprints(thin).select("doc_id", "fp"))
-    return prints.join(classes(prints), "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints.join(classes(prints).drop("mark"), "fp").select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the least id (then least row hash). Columns as before, whatever their names."""
-    rows = docs.select(boxed(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = checkpointed(with_fingerprints(rows.select("doc_id", "text")).select("doc_id", "fp"))
-    # One row stands for each component: id and fingerprint; only rows with that id meet again.
-    keep = classes(prints).filter("fp = first_fp").select(F.col("component_id").alias("id"), F.col("fp").alias("first_fp"))
-    at_first = F.col("doc_id").eqNullSafe(F.col("id"))
-    stay = rows.join(keep, at_first, "left_semi")
-    again = with_fingerprints(stay).join(keep, at_first & (F.col("fp") == F.col("first_fp")))
+    """docs with one row of each component: the one with the least id (then least hash of the text, then of the row).
+
+    Columns as before, whatever their names. Whole rows are shuffled once, by id and hash of the text.
+    """
+    text = F.col("text").cast("string")
+    mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), text.alias("text"))
+    prints = checkpointed(with_fingerprints(thin).select("doc_id", "mark", "fp"))
+    key = lambda i, m: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), m).alias("key")
+    keep = classes(prints).select(key(F.col("component_id"), F.col("mark"))).distinct()
+    rows = docs.select(boxed(docs), key(F.col("doc_id").cast("long"), mark)).join(keep, "key", "left_semi")
     order = F.xxhash64(*[F.col("row").getField(c) for c, t in docs.dtypes if "map<" not in t])
-    first = W.partitionBy("id", "first_fp").orderBy(order)
-    return again.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(order))).filter("n = 1").select("row.*")
