@@ -528,6 +528,7 @@ def scored(docs: DataFrame) -> DataFrame:
         sent = read(f"contexts{r + 1}", SENT)
         if r:
             shelf.drop(f"contexts{r}")
+    release(spark)  # of the rounds' shuffles, before texts are shuffled again
     samples = [read(f"root{r}", KEPT) for r in range(ROUNDS - SAMPLES + 1, ROUNDS + 1)]
     known = blobs.by_key(reduce(DataFrame.union, samples, read("start", VOCABULARY, WORD_ASKERS)), groups, _answer_words, blobs.DDL)
     model = Model(tokens, words, discount, tuple(roots), np.array(hot_tables))
