@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +387,38 @@ def test_grouped_terminals(spark):
     assert sorted(tuple(r) for r in f.sum().collect()) == [("a", 11), ("b", 0)]
     assert sorted((r[0], r[1]) for r in f.find(lambda v: v > 5).collect()) == [("a", 6), ("b", None)]
     assert sorted(tuple(r) for r in terminals.reduce(f.of(df.na.fill(0)), lambda s, v: s + v, 1, "long").collect()) == [("a", 12), ("b", 1)]
+
+
+def test_dense_times_are_cut_without_a_gap(spark):
+    """Not one gap as long as the step looks back: segments still run side by side, each from the state that it begins with."""
+    from tidemark.operators import folds
+
+    rng, t, rows = random.Random(3), 0, [(-1, None), (-2, None)]
+    for k in range(5000):
+        t += rng.choice([0, 0, 1, 3, 40])
+        rows.append((k, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=t)))
+    df = spark.createDataFrame(rows, "id long, ts timestamp").repartition(5)
+    for step, added, ms in ((folds.Throttle, {}, 70), (folds.Throttle, {}, 0), (folds.RateLimit, {"ok": "boolean", "rate": "double"}, 90)):
+        make = (lambda: step(ms)) if step is folds.Throttle else (lambda: step(ms, 3))
+        cut = folds.fold(Flow(df, ("ts", "id"), time="ts", wide=True), make(), added)
+        whole = folds.fold(Flow(df, ("ts", "id"), time="ts", wide=False), make(), added)
+        assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+        assert "_seg" in plan_of(cut) and "_session" not in plan_of(cut)
+        times = np.sort(np.random.default_rng(1).integers(0, 3000, 900))
+        state = make().init()
+        for x in times.tolist():
+            state, _ = make().step(state, {"_ms": x})
+        live = lambda s: [x for x in s if x > times[-1] - ms] if isinstance(s, list) else s
+        half = make().skim(make().skim(make().init(), times[:400]), times[400:])
+        assert live(half) == live(state)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_tables_of_some_millions_of_rows_are_cut(spark):
+    """A rank over 24 MB is not one task's work."""
+    df = spark.range(3_000_000).withColumnRenamed("id", "n")
+    out = Flow(df, ("n",)).skip(2_999_990).df
+    assert "_seg" in plan_of(out) and sorted(r[0] for r in out.collect()) == list(range(2_999_990, 3_000_000))

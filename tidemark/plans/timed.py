@@ -38,6 +38,12 @@ def throttle(spark, sf):
     return events(spark, sf).throttle(12 * HOUR).df.select("event_id")
 
 
+def _times(spark, sf) -> Flow:
+    """The events' times, without a key; folds carry all columns that they are given."""
+    whole = events(spark, sf, keyed=False, wide=True)
+    return whole.of(whole.df.select("event_id", "ts"))
+
+
 @query(
     "throttle_global",
     f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events),
@@ -45,7 +51,7 @@ def throttle(spark, sf):
     SELECT min(event_id) AS event_id FROM e JOIN r USING (ms) GROUP BY ms""",
 )
 def throttle_global(spark, sf):
-    return events(spark, sf, keyed=False, wide=True).throttle(6 * HOUR).df.select("event_id")
+    return _times(spark, sf).throttle(6 * HOUR).df.select("event_id")
 
 
 _LIMIT = """WITH RECURSIVE {rows},
@@ -228,7 +234,7 @@ def queue_history(spark, sf):
 )
 def queue_admission(spark, sf):
     """Requests let in by the limiter, over the whole table in time order (at most two in a quarter of an hour)."""
-    return service.admit(events(spark, sf, keyed=False, wide=True), HOUR // 4, 2).df.select("event_id", "accepted")
+    return service.admit(_times(spark, sf), HOUR // 4, 2).df.select("event_id", "accepted")
 
 
 @query(
