@@ -29,7 +29,7 @@ from pyspark.sql.window import WindowSpec
 SEGMENTS = 256
 BLOCK = 1 << 20
 #: Estimated bytes of a table from which order without a key is cut into segments.
-WIDE_BYTES = 256 << 20
+WIDE_BYTES = 16 << 20
 
 #: Bytes of order tuples that the bounds are taken from, and how many of those for each segment.
 SAMPLE_BYTES, SAMPLED = 64 << 20, 64
