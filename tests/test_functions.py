@@ -175,3 +175,11 @@ def test_admission(spark):
     assert got.df.filter("accepted").count() == 1000
     asked = service.enqueued(f.df, "id", "at", F.col("at"))
     assert asked.columns == [c.split()[0] for c in service.ITEM.split(", ")] and asked.filter("status <> 'queued'").count() == 0
+
+
+def test_normalize_is_linear_in_the_vector(spark):
+    """Mean and deviation are computed once a vector: in the lambda of each element, these vectors would take 10^13 steps."""
+    df = spark.range(3, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: (x % 7 + F.col("id")).cast("float")).alias("a"))
+    a = np.array([x % 7 for x in range(1, 20_001)], float)
+    for r in df.select(kernels.normalize(F.col("a")).alias("r")).collect():
+        assert np.allclose(r["r"], (a - a.mean()) / a.std(), atol=1e-6)

@@ -29,10 +29,12 @@ def sqrt(a: Vector, kind: str = "float") -> Vector:
 def normalize(a: Vector, kind: str = "float") -> Vector:
     """(x - mean) / population deviation; a constant vector gives NaN throughout."""
     n = F.size(a)
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731 (a lambda's variable is computed once, a column in it for each element)
+    square = lambda x, mean: (x.cast("double") - mean) * (x.cast("double") - mean)
+    spread = lambda mean: F.sqrt(F.try_divide(F.aggregate(F.transform(a, lambda x: square(x, mean)), F.lit(0.0), lambda s, x: s + x), n))
+    scaled = lambda mean, std: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double") - mean, std), F.lit(float("nan"))).cast(kind))
     total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    mean = F.try_divide(total, n)
-    var = F.try_divide(F.aggregate(F.transform(a, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean)), F.lit(0.0), lambda s, x: s + x), n)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double") - mean, F.sqrt(var)), F.lit(float("nan"))).cast(kind))
+    return once(F.try_divide(total, n), lambda mean: once(spread(mean), lambda std: scaled(mean, std)))
 
 
 def cumsum(a: Vector, kind: str = "float", engine: str = "arrow") -> Vector:
