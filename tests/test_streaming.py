@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.flow import Flow
 from tidemark.sources import sinks, unbounded
 from tidemark.streaming import stateful
+from tidemark.streaming.whole import Running
 
 SCHEMA = "k string, ord long, ts timestamp, value long"
 DELAY = "30 seconds"
@@ -101,6 +102,31 @@ def test_a_stream_without_a_key(spark, source, tmp_path):
     same(whole(batch).scan("sum").df, ended(spark, tmp_path, lambda s: stateful.scan(whole(s), lambda a, v: a + v, 0, "long")))
 
 
+@pytest.mark.parametrize("kind", ["sum", "count", "min", "max"])
+def test_running_values_without_a_key_by_micro_batch(spark, source, tmp_path, kind):
+    """Five micro-batches that interleave, cut along their order; what waits stays in files, and no row is lost."""
+    batch, stream = source
+    step = Running(Flow(stream.df, stream.order, (), "ts"), kind, F.col("value"), str(tmp_path / "run"))
+
+    def run():
+        stream.df.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    spark.createDataFrame([("z", -1, dt.datetime(2200, 1, 1), 0)], SCHEMA).coalesce(1).write.json(f"{tmp_path}/in/zz")
+    run()
+    same(Flow(batch.df, batch.order, (), "ts").scan(kind).df, step.result())
+    with pytest.raises(ValueError):
+        Running(stream, kind, F.col("value"), "")
+
+
+def test_keys_share_rows_of_state(spark, source, tmp_path, monkeypatch):
+    """In one bucket as in many, each key has its own state; NaN is one key, null another, both zeros a third."""
+    keys = F.when(F.col("ord") % 3 == 0, float("nan")).when(F.col("ord") % 3 == 1, -0.0).when(F.col("value") == 1, 0.0)
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    closed = ended(spark, tmp_path, lambda s: stateful.take(s.of(s.df.withColumn("k", keys)), 1))
+    assert sum(r["k"] == 0 for r in closed.collect()) == 1 and closed.count() == 3
+
+
 def test_latest_of_others_in_a_stream(spark, source, tmp_path):
     batch, _ = source
     tagged = lambda df: df.withColumn("src", F.when(F.col("value") == 1, "main").otherwise("other"))

@@ -8,12 +8,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..flow import Flow
 from ..sources import unbounded
 from ..streaming import stateful
+from ..streaming.whole import Running
 from .flows import _WINDOWS
 from .registry import ORACLES, query, shared_folder
 from .served import read_until
@@ -36,28 +38,54 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def run_to_end(spark: SparkSession, build: Callable[[str], DataFrame], mode: str = "append") -> DataFrame:
-    """Runs the stream that `build` makes of a closing folder over all there is, then ends it: rows of the far future
+def _ended(spark: SparkSession, at: str, start: Callable[[str], StreamingQuery]) -> None:
+    """Runs what `start` starts (given a closing folder) over all there is, then ends it: rows of the far future
     come into that folder, so that the watermark passes everything held or pending. They have no user and stay in
-    state themselves; there is one of each type, as queries look at some types only. Returns what was written."""
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    state themselves; there is one of each type, as queries look at some types only."""
     rows = [(None, None, None, kind, None, None) for kind in ("click", "error", "purchase", "signup", "view")]
     far = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.expr("TIMESTAMP_NTZ'2200-01-01 00:00:00'")).coalesce(1)
     far.limit(0).write.parquet(f"{at}/closing")
-    stream = build(f"{at}/closing")
     for last in (False, True):
         if last:
             far.write.mode("append").parquet(f"{at}/closing")
-        running = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-        running.awaitTermination()
+        start(f"{at}/closing").awaitTermination()
     _remove(spark, f"{at}/closing")
     # The sink's own log names the files that count, so it stays with them; the query's checkpoint can go.
     _remove(spark, f"{at}/log")
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def _to_end(spark, sf, operator: Callable[[Flow], DataFrame], value: str = "value", key: tuple = ("user_id",)) -> DataFrame:
-    return run_to_end(spark, lambda closing: operator(Flow(event_stream(spark, sf, closing), ("ts", "event_id"), key, "ts", value)))
+def run_to_end(spark: SparkSession, build: Callable[[str], DataFrame], mode: str = "append") -> DataFrame:
+    """Runs the stream that `build` makes of a closing folder to its end. Returns what was written."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    made: list[DataFrame] = []
+
+    def start(closing: str) -> StreamingQuery:
+        made[:] = made or [build(closing)]
+        return made[0].writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+
+    _ended(spark, at, start)
+    return spark.read.schema(made[0].schema).parquet(f"{at}/out")
+
+
+def run_whole(spark: SparkSession, build: Callable[[str], Flow], kind: str, value: Column) -> DataFrame:
+    """The running aggregate `scan` of a stream without a key, to its end."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    made: list[Running] = []
+
+    def start(closing: str) -> StreamingQuery:
+        made[:] = made or [Running(build(closing), kind, value, at)]
+        return made[0].stream.df.writeStream.foreachBatch(made[0]).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+
+    _ended(spark, at, start)
+    _remove(spark, f"{at}/waiting")
+    _remove(spark, f"{at}/carried")
+    return made[0].result()
+
+
+def _to_end(spark, sf, operator: Callable[[Flow], DataFrame], value: str = "value", also: tuple = ()) -> DataFrame:
+    """The operator over the events as a stream by user; only the order, the value and the columns in `also` are held."""
+    columns = list(dict.fromkeys(("event_id", "ts", "user_id", value, *also)))
+    return run_to_end(spark, lambda closing: operator(Flow(event_stream(spark, sf, closing).select(*columns), ("ts", "event_id"), ("user_id",), "ts", value)))
 
 
 @query("stream_map_filter", "SELECT event_id, value * 2 AS doubled FROM events WHERE value > 50")
@@ -73,7 +101,8 @@ def stream_scan(spark, sf):
 @query("stream_scan_global", "SELECT event_id, count(*) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS scan FROM events")
 def stream_scan_global(spark, sf):
     """A stream without a key."""
-    return _to_end(spark, sf, lambda f: stateful.scan(f, lambda s, v: s + 1, 0, "long").select("event_id", "scan"), key=())
+    rows = lambda closing: Flow(event_stream(spark, sf, closing).select("event_id", "ts"), ("ts", "event_id"), (), "ts")
+    return run_whole(spark, rows, "count", F.lit(1)).select("event_id", "scan")
 
 
 @query("stream_skip", f"SELECT event_id FROM events QUALIFY row_number() OVER ({BY_USER}) > 3")
@@ -146,12 +175,12 @@ _SEEN = f"""WITH l AS (SELECT user_id, event_id, event_type, last_value(CASE WHE
 
 @query("stream_combine_latest", _SEEN)
 def stream_combine_latest(spark, sf):
-    return _to_end(spark, sf, lambda f: stateful.combine_latest(_both(f), "event_type", ("click", "view"), ("click", "view")).select("event_id", "click", "view"))
+    return _to_end(spark, sf, lambda f: stateful.combine_latest(_both(f), "event_type", ("click", "view"), ("click", "view")).select("event_id", "click", "view"), also=("event_type",))
 
 
 @query("stream_with_latest_from", _SEEN + " AND event_type = 'click'")
 def stream_with_latest_from(spark, sf):
-    return _to_end(spark, sf, lambda f: stateful.with_latest_from(_both(f), "event_type", "click", ("view",), ("click", "view")).select("event_id", "click", "view"))
+    return _to_end(spark, sf, lambda f: stateful.with_latest_from(_both(f), "event_type", "click", ("view",), ("click", "view")).select("event_id", "click", "view"), also=("event_type",))
 
 
 @query(
