@@ -9,8 +9,9 @@ passed them, so what comes out does not depend on how rows fall into micro-batch
 are late and left out by Spark. Without one, a micro-batch is sorted and handled at once, and rows that come
 before one handled in an earlier micro-batch are late and left out. Equal rows all count.
 
-State is one row a key: the step's state, and the rows held. With `idle_ms` a key is forgotten, and what its
-step still has comes out, once the watermark has passed its last row by so much.
+Keys are dealt over BUCKETS rows of state by their hash, as handling a row of state costs more than a key's step does:
+each holds its keys' states, and the rows that wait. With `idle_ms` a key is forgotten, and what its step still has
+comes out, once the watermark has passed its last row by so much.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,6 +31,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..flow import Flow
 from ..operators.folds import RateLimit, Scan, Step, Throttle
 
+BUCKETS = 1 << 12
+
 
 @dataclass
 class Skip(Step):
@@ -182,9 +185,23 @@ def _plain(v: Any, whole: bool = False) -> Any:
     return int(v) if whole else v
 
 
-def _millis(row: dict) -> int:
-    """A row's time; rows without one come first."""
-    return row["_ms"] if row["_ms"] is not None else -(1 << 62)
+def _column(values: pd.Series, whole: bool) -> list:
+    """A column's values as Python has them; times as nanoseconds, which are kept and compared faster."""
+    if values.dtype.kind == "M":
+        return [None if v == pd.NaT.value else v for v in values.astype("datetime64[ns]").astype("int64").tolist()]
+    if values.dtype.kind in "iub" or (values.dtype.kind == "f" and not whole):
+        return values.tolist()
+    return [_plain(v, whole) for v in values.tolist()]
+
+
+def _own(df: DataFrame, name: str) -> Column:
+    """A key's column as text: pandas confuses null with NaN, and great numbers beside nulls."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0).cast(kind)).otherwise(c)  # -0.0 is 0.0
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.to_json(c)
+    return F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string")
 
 
 def _schema(df: DataFrame, keep: list[str], added: dict[str, str]) -> T.StructType:
@@ -196,10 +213,6 @@ def has_watermark(df: DataFrame, column: str | None) -> bool:
     return column is not None and "spark.watermarkDelayMs" in df.schema[column].metadata
 
 
-def _place(row: dict, order: list[str]) -> tuple:
-    return tuple((row[c] is not None, row[c]) if row[c] is not None else (False,) for c in order)
-
-
 def with_state(stream: Flow, step: Step, added: dict[str, str], idle_ms: int | None = None) -> DataFrame:
     """stream's rows with the step's values added. idle_ms needs a watermark on the flow's time.
 
@@ -216,46 +229,60 @@ def with_state(stream: Flow, step: Step, added: dict[str, str], idle_ms: int | N
         df = df.withColumn("_ms", F.floor(F.unix_micros(F.col(stream.time).cast("timestamp")) / 1000).cast("long"))
 
     whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last, waiting = pickle.loads(state.get[0]) if state.exists else (step.init(), None, [])
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    kept, key = df.columns, [f"_k{k}" for k in range(len(stream.key))]
+    df = df.select("*", *[_own(df, c).alias(k) for k, c in zip(key, stream.key)])
+
+    def rows_of(part: pd.DataFrame) -> Iterator[tuple]:
+        """(place in the order, milliseconds, key, values) of each row; rows without a time come first."""
+        columns = {c: _column(part[c], c in whole) for c in kept}
+        places = [[(False,) if v is None else (True, v) for v in columns[c]] for c in order]
+        millis = [-(1 << 62) if v is None else v for v in columns["_ms"]] if hold else [0] * len(part)
+        keys = zip(*[part[k].tolist() for k in key]) if key else [()] * len(part)
+        return zip(zip(*places), millis, keys, zip(*[columns[c] for c in kept]))
+
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, waiting = pickle.loads(state.get[0]) if state.exists else ({}, [])
         passed, made = state.getCurrentWatermarkMs() if hold else None, []
 
-        def handle(rows: list[dict]) -> None:
-            nonlocal held
-            for row in sorted(rows, key=lambda r: _place(r, order)):
-                held, got = step.step(held, row)
-                made.extend(got if isinstance(got, list) else [] if got is None else [(row, got)])
-
-        def on_time(rows: list[dict]) -> list[dict]:
-            """Rows not before the last one handled, which becomes the last of them."""
-            nonlocal last
-            rows = [r for r in rows if last is None or _place(r, order) >= last[1]]
-            last = max([*([last] if last is not None else []), *[(_millis(r) if hold else 0, _place(r, order)) for r in rows]], key=lambda x: x[1], default=None)
-            return rows
+        def emit(got: list) -> None:
+            made.extend((*[row[c] for c in passing], *values) for row, values in got)
 
         if not state.hasTimedOut:
-            waiting += [{k: _plain(v, k in whole) for k, v in row.items()} for part in parts for row in part.to_dict("records")]
-        ready = [r for r in waiting if not hold or _millis(r) < passed]
-        waiting = [r for r in waiting if hold and _millis(r) >= passed]
-        handle(on_time(ready))
-        if idle_ms is not None and not waiting and last[0] + idle_ms < passed:
-            made += finish(held)
+            for part in parts:
+                waiting += rows_of(part)
+        ready = [r for r in waiting if not hold or r[1] < passed]
+        waiting = [r for r in waiting if hold and r[1] >= passed]
+        ready.sort(key=lambda r: r[0])
+        for place, ms, own, values in ready:
+            held, last = keys[own] if own in keys else (step.init(), None)
+            if last is not None and place < last[1]:  # before a row of an earlier micro-batch
+                continue
+            row = dict(zip(kept, values))
+            for c in times:
+                row[c] = pd.Timestamp(row[c]) if row[c] is not None else None
+            held, got = step.step(held, row)
+            keys[own] = held, (ms, place)
+            if got is not None:
+                emit(got if isinstance(got, list) else [(row, got)])
+        due = min((r[1] for r in waiting), default=None)
+        if idle_ms is not None:
+            busy = {r[2] for r in waiting}
+            for own in [k for k, (_, last) in keys.items() if k not in busy and last[0] + idle_ms < passed]:
+                emit(finish(keys.pop(own)[0]))
+            due = min([*[due] * (due is not None), *[last[0] + idle_ms for k, (_, last) in keys.items() if k not in busy]], default=None)
+        if keys or waiting:
+            state.update((pickle.dumps((keys, waiting), pickle.HIGHEST_PROTOCOL),))
+            if due is not None:
+                state.setTimeoutTimestamp(max(due, passed + 1))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((pickle.dumps((held, last, waiting)),))
-            if waiting:
-                state.setTimeoutTimestamp(max(min(map(_millis, waiting)), passed + 1))
-            elif idle_ms is not None:
-                state.setTimeoutTimestamp(max(last[0] + idle_ms, passed + 1))
         if made:
-            rows = [(*[row[c] for c in passing], *got) for row, got in made]
-            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype="object") for k, n in enumerate(names)})
+            yield pd.DataFrame({n: pd.Series(list(values), dtype="object") for n, values in zip(names, zip(*made))})
 
     timeout = GroupStateTimeout.EventTimeTimeout if hold else GroupStateTimeout.NoTimeout
-    if not stream.key:
-        df = df.withColumn("_all", F.lit(0))
-    return df.groupBy(*(stream.key or ("_all",))).applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", timeout)
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)) if key else F.lit(0).cast("long")
+    return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(run, out, T.StructType([T.StructField("s", T.BinaryType())]), "append", timeout)
 
 
 def scan(stream: Flow, fn, init, returns: str, name: str = "scan") -> DataFrame:
