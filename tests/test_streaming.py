@@ -4,16 +4,19 @@ import base64
 import datetime as dt
 import hashlib
 import http.server
+import os
 import random
 import socket
 import struct
 import threading
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.flow import Flow
+from tidemark.plans import catalog, streams
 from tidemark.sources import sinks, unbounded
 from tidemark.streaming import stateful
 from tidemark.streaming.whole import Running
@@ -167,6 +170,54 @@ def test_late_rows_are_left_out_and_equal_ones_count(spark, tmp_path):
     assert sorted((r["ord"], r["scan"]) for r in out.collect()) == [(5, 1), (5, 2), (5, 3), (6, 4)]
 
 
+def test_a_stream_query_reads_and_carries_its_rows_once(spark, monkeypatch):
+    """Two micro-batches, one that reads and one that gives what is due, and no more partitions of state than the table is worth."""
+    kept = []
+    monkeypatch.setattr(streams, "_remove", lambda spark, path: kept.append(path.removeprefix("file:")))
+    catalog.queries()["stream_debounce"](spark, "/root/testdata/sf0.001")
+    log = next(p for p in kept if p.endswith("/log"))
+    assert len([f for f in os.listdir(f"{log}/commits") if f.isdigit()]) == 2
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert streams._partitions(spark, "/root/testdata/sf0.001") == 2 * spark.sparkContext.defaultParallelism
+        catalog.queries()["stream_debounce"](spark, "/root/testdata/sf0.001")
+        assert len(os.listdir(f"{kept[-1]}/state/0")) < 200 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        monkeypatch.undo()
+        for path in {os.path.dirname(p) for p in kept}:
+            streams._remove(spark, f"file:{path}")
+
+
+def test_debounce_sees_the_rows_of_keys_at_once():
+    """Pending rows of an earlier micro-batch count, and a row without a time has no gap."""
+    step, row_at = stateful.Debounce(10), lambda i: {"_ms": int(ms[i])}
+    ms = np.array([stateful.NEVER, stateful.NEVER, 5, 15, 24, 100, 100, 120])  # keys begin at 0, 5 and 7
+    held, taken, _, others = step.several([None, {"_ms": 91}, {"_ms": 110}], np.array([0, 5, 7]), {"_ms": ms}, row_at)
+    assert taken.tolist() == [0, 1, 2] and others == [({"_ms": 110}, ())]
+    assert held == [{"_ms": 24}, {"_ms": 100}, {"_ms": 120}]
+
+
+def test_debounce_of_rows_without_a_time(spark, source, tmp_path):
+    batch, _ = source
+    bare = [("a", 900, None, 1), ("a", 901, None, 1), ("new", 902, None, 1)]
+    spark.createDataFrame(bare, SCHEMA).coalesce(1).write.json(f"{tmp_path}/in/bare")
+    same(batch.of(batch.df.union(spark.createDataFrame(bare, SCHEMA))).debounce(20).df, ended(spark, tmp_path, lambda s: stateful.debounce(s, 20)))
+
+
+def test_times_come_out_as_they_went_in(spark, source, tmp_path):
+    """Whatever the session's zone; also of a pending row, and beside values that are lists."""
+    batch, _ = source
+    more = lambda f: f.of(f.df.withColumn("pair", F.array("value", "ord")))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        same(more(batch).debounce(20).df, ended(spark, tmp_path, lambda s: stateful.debounce(more(s), 20)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_buffer_time_merge_and_distinct_within(source, spark, tmp_path):
     batch, stream = source
     out = ended(spark, tmp_path, lambda s: stateful.buffer_time(s.df, "ts", 1000, "value", ("k",), ("ord",)).withColumn("ord", F.lit(0)))

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..flow import Flow
+from ..ordering import estimated_bytes
 from ..sources import unbounded
 from ..streaming import stateful
 from ..streaming.whole import Running
 from .flows import _WINDOWS
-from .registry import ORACLES, query, shared_folder
+from .registry import ORACLES, query, shared_folder, table
 from .served import read_until
 from .timed import _LIMIT, _ROWS, HOUR
 
@@ -39,29 +40,39 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def _ended(spark: SparkSession, at: str, start: Callable[[str], StreamingQuery]) -> None:
-    """Runs what `start` starts (given a closing folder) over all there is, then ends it: rows of the far future
-    come into that folder, so that the watermark passes everything held or pending. They have no user and stay in
-    state themselves; there is one of each type, as queries look at some types only."""
+    """Runs what `start` starts (given a closing folder) over all there is, to its end: that folder has rows of the far
+    future, so that the watermark passes everything held or pending. The sources are read whole in the first micro-batch,
+    and those rows with them; what they make due comes in the next, so nothing is read or carried on twice. They have no
+    user and stay in state themselves; there is one of each type, as queries look at some types only."""
     rows = [(None, None, None, kind, None, None) for kind in ("click", "error", "purchase", "signup", "view")]
     far = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.expr("TIMESTAMP_NTZ'2200-01-01 00:00:00'")).coalesce(1)
-    far.limit(0).write.parquet(f"{at}/closing")
-    for last in (False, True):
-        if last:
-            far.write.mode("append").parquet(f"{at}/closing")
-        start(f"{at}/closing").awaitTermination()
+    far.write.parquet(f"{at}/closing")
+    start(f"{at}/closing").awaitTermination()
     _remove(spark, f"{at}/closing")
     # The sink's own log names the files that count, so it stays with them; the query's checkpoint can go.
     _remove(spark, f"{at}/log")
 
 
-def run_to_end(spark: SparkSession, build: Callable[[str], DataFrame], mode: str = "append") -> DataFrame:
+def _partitions(spark: SparkSession, sf: str) -> int:
+    """How many partitions of state the events are worth, as each costs every micro-batch some tenths of a second: one for
+    8 MB of the table, two a core at least; no more than a shuffle has."""
+    worth = max(estimated_bytes(table(spark, sf, "events")) >> 23, 2 * spark.sparkContext.defaultParallelism)
+    return min(worth, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def run_to_end(spark: SparkSession, build: Callable[[str], DataFrame], mode: str = "append", partitions: int | None = None) -> DataFrame:
     """Runs the stream that `build` makes of a closing folder to its end. Returns what was written."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     made: list[DataFrame] = []
 
     def start(closing: str) -> StreamingQuery:
-        made[:] = made or [build(closing)]
-        return made[0].writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        made.append(build(closing))
+        own = spark.conf.get("spark.sql.shuffle.partitions")
+        try:  # a stream keeps the number that it starts with
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions or own))
+            return made[0].writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", own)
 
     _ended(spark, at, start)
     return spark.read.schema(made[0].schema).parquet(f"{at}/out")
@@ -73,7 +84,7 @@ def run_whole(spark: SparkSession, build: Callable[[str], Flow], kind: str, valu
     made: list[Running] = []
 
     def start(closing: str) -> StreamingQuery:
-        made[:] = made or [Running(build(closing), kind, value, at)]
+        made.append(Running(build(closing), kind, value, at))
         return made[0].stream.df.writeStream.foreachBatch(made[0]).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
 
     _ended(spark, at, start)
@@ -85,7 +96,8 @@ def run_whole(spark: SparkSession, build: Callable[[str], Flow], kind: str, valu
 def _to_end(spark, sf, operator: Callable[[Flow], DataFrame], value: str = "value", also: tuple = ()) -> DataFrame:
     """The operator over the events as a stream by user; only the order, the value and the columns in `also` are held."""
     columns = list(dict.fromkeys(("event_id", "ts", "user_id", value, *also)))
-    return run_to_end(spark, lambda closing: operator(Flow(event_stream(spark, sf, closing).select(*columns), ("ts", "event_id"), ("user_id",), "ts", value)))
+    rows = lambda closing: Flow(event_stream(spark, sf, closing).select(*columns), ("ts", "event_id"), ("user_id",), "ts", value)
+    return run_to_end(spark, lambda closing: operator(rows(closing)), partitions=_partitions(spark, sf))
 
 
 @query("stream_map_filter", "SELECT event_id, value * 2 AS doubled FROM events WHERE value > 50")

@@ -10,18 +10,22 @@ are late and left out by Spark. Without one, a micro-batch is sorted and handled
 before one handled in an earlier micro-batch are late and left out. Equal rows all count.
 
 Keys are dealt over BUCKETS rows of state by their hash, as handling a row of state costs more than a key's step does:
-each holds its keys' states, and the rows that wait. With `idle_ms` a key is forgotten, and what its step still has
-comes out, once the watermark has passed its last row by so much.
+each holds its keys' states, and the rows that wait, column by column. A step that has `several` sees all ready rows of
+its keys at once, as arrays; others are called row by row, with the columns that they read. With `idle_ms` a key is
+forgotten, and what its step still has comes out, once the watermark has passed its last row by so much.
 """
 
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +36,19 @@ from ..flow import Flow
 from ..operators.folds import RateLimit, Scan, Step, Throttle
 
 BUCKETS = 1 << 12
+#: The milliseconds of rows without a time, which come first.
+NEVER = -(1 << 62)
+#: Rows that wait: their columns, their keys, and the place of each row's key among those.
+Rows = tuple[dict[str, np.ndarray], list[tuple], np.ndarray]
 
 
 @dataclass
 class Skip(Step):
     n: int
 
+    def reads(self):
+        return ()
+
     def init(self):
         return 0
 
@@ -49,6 +60,9 @@ class Skip(Step):
 class Take(Step):
     n: int
 
+    def reads(self):
+        return ()
+
     def init(self):
         return 0
 
@@ -60,6 +74,9 @@ class Take(Step):
 class Pairwise(Step):
     value: str
 
+    def reads(self):
+        return (self.value,)
+
     def step(self, state, row):
         return (row[self.value],), None if state is None else (state[0], row[self.value])
 
@@ -68,6 +85,9 @@ class Pairwise(Step):
 class Changed(Step):
     value: str
 
+    def reads(self):
+        return (self.value,)
+
     def step(self, state, row):
         v = row[self.value]
         same = state is not None and (state[0] == v or (state[0] != state[0] and v != v))
@@ -80,6 +100,9 @@ class Windowed(Step):
     op: str
     value: str
 
+    def reads(self):
+        return (self.value,)
+
     def init(self):
         return deque(maxlen=self.n)
 
@@ -170,8 +193,16 @@ class Debounce(Step):
 
     ms: int
 
-    def step(self, pending, row):
-        return row, [(pending, ())] if pending is not None and row["_ms"] - pending["_ms"] >= self.ms else None
+    def reads(self):
+        return ("_ms",)
+
+    def several(self, held, first, columns, row_at):
+        ms = columns["_ms"]
+        last = np.append(first[1:], len(ms)) - 1
+        alone = np.append((np.diff(ms) >= self.ms) | (ms[:-1] == NEVER), False)  # a row without a time has no gap
+        alone[last] = False
+        before = [(row, ()) for row, i in zip(held, first.tolist()) if row is not None and (row["_ms"] is None or ms[i] - row["_ms"] >= self.ms)]
+        return [row_at(i) for i in last.tolist()], np.flatnonzero(alone), [], before
 
     def finish(self, pending):
         return [(pending, ())] if pending is not None else []
@@ -181,17 +212,54 @@ def _plain(v: Any, whole: bool = False) -> Any:
     """A value as Python has it; pandas gives whole numbers beside nulls as floats, and nulls among them as NaN."""
     if v is None or v is pd.NaT or (whole and v != v):
         return None
-    v = v.item() if hasattr(v, "item") else v
+    v = v.item() if isinstance(v, np.generic) else v
     return int(v) if whole else v
 
 
-def _column(values: pd.Series, whole: bool) -> list:
-    """A column's values as Python has them; times as nanoseconds, which are kept and compared faster."""
+def _item(v: Any) -> Any:
+    """A value of an array as Python has it."""
+    return _plain(pd.Timestamp(v) if isinstance(v, np.datetime64) else v)
+
+
+def _array(values: pd.Series, whole: bool) -> np.ndarray:
     if values.dtype.kind == "M":
-        return [None if v == pd.NaT.value else v for v in values.astype("datetime64[ns]").astype("int64").tolist()]
+        return values.to_numpy("datetime64[ns]")
     if values.dtype.kind in "iub" or (values.dtype.kind == "f" and not whole):
-        return values.tolist()
-    return [_plain(v, whole) for v in values.tolist()]
+        return values.to_numpy()
+    return np.fromiter((_plain(v, whole) for v in values), object, len(values))
+
+
+def _listed(name: str, values: np.ndarray) -> list:
+    if name == "_ms":
+        return [None if v == NEVER else v for v in values.tolist()]
+    return [_item(v) for v in values] if values.dtype.kind == "M" else values.tolist()
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """What orders the values, null first."""
+    if values.dtype.kind == "M":
+        return values.astype("int64")
+    if values.dtype != object:
+        return values
+    out, rank, before = np.zeros(len(values), "int64"), 0, None
+    for i in sorted((i for i, v in enumerate(values) if v is not None), key=values.__getitem__):
+        rank, before = rank + (rank == 0 or values[i] != before), values[i]
+        out[i] = rank
+    return out
+
+
+def _united(parts: list[Rows]) -> Rows:
+    if len(parts) == 1:
+        return parts[0]
+    index: dict[tuple, int] = {}
+    of = [np.array([index.setdefault(k, len(index)) for k in own], "int32")[places] for _, own, places in parts]
+    return {c: np.concatenate([p[0][c] for p in parts]) for c in parts[0][0]}, list(index), np.concatenate(of)
+
+
+def _picked(rows: Rows, which: np.ndarray) -> Rows:
+    columns, own, of = rows
+    left, of = np.unique(of[which], return_inverse=True)
+    return {c: v[which] for c, v in columns.items()}, [own[k] for k in left.tolist()], of.astype("int32")
 
 
 def _own(df: DataFrame, name: str) -> Column:
@@ -216,7 +284,9 @@ def has_watermark(df: DataFrame, column: str | None) -> bool:
 def with_state(stream: Flow, step: Step, added: dict[str, str], idle_ms: int | None = None) -> DataFrame:
     """stream's rows with the step's values added. idle_ms needs a watermark on the flow's time.
 
-    A step gives None, the values for its row, or a list of (row, values).
+    A step gives None, the values for its row, or a list of (row, values). One with `several(held, first, columns, row_at)`
+    gets the states of some keys, where the rows of each begin, the columns that it reads, and a function that makes a row
+    of a place; it gives the new states, the places of the rows that pass, the columns of their values, and a list of (row, values).
     """
     df, order = stream.df, list(stream.order)
     hold = has_watermark(df, stream.time) and order[0] == stream.time
@@ -224,52 +294,100 @@ def with_state(stream: Flow, step: Step, added: dict[str, str], idle_ms: int | N
         raise ValueError("to forget idle keys, the flow's time needs a watermark and the first place in its order")
     out = _schema(df, stream.df.columns, added)
     passing, names = [f.name for f in out.fields if f.name not in added], [f.name for f in out.fields]
+    times = {f.name for f in out.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
     finish = getattr(step, "finish", lambda _: [])
     if stream.time:
-        df = df.withColumn("_ms", F.floor(F.unix_micros(F.col(stream.time).cast("timestamp")) / 1000).cast("long"))
+        df = df.withColumn("_ms", F.coalesce(F.floor(F.unix_micros(F.col(stream.time).cast("timestamp")) / 1000).cast("long"), F.lit(NEVER)))
 
     whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
-    times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     kept, key = df.columns, [f"_k{k}" for k in range(len(stream.key))]
     df = df.select("*", *[_own(df, c).alias(k) for k, c in zip(key, stream.key)])
 
-    def rows_of(part: pd.DataFrame) -> Iterator[tuple]:
-        """(place in the order, milliseconds, key, values) of each row; rows without a time come first."""
-        columns = {c: _column(part[c], c in whole) for c in kept}
-        places = [[(False,) if v is None else (True, v) for v in columns[c]] for c in order]
-        millis = [-(1 << 62) if v is None else v for v in columns["_ms"]] if hold else [0] * len(part)
-        keys = zip(*[part[k].tolist() for k in key]) if key else [()] * len(part)
-        return zip(zip(*places), millis, keys, zip(*[columns[c] for c in kept]))
+    needed = kept if step.reads() is None else list(step.reads())
+    several: Callable | None = getattr(step, "several", None)
+
+    def rows_of(part: pd.DataFrame) -> Rows:
+        index: dict[tuple, int] = {}
+        keys = zip(*[part[k].tolist() for k in key]) if key else repeat((), len(part))
+        of = np.fromiter((index.setdefault(k, len(index)) for k in keys), "int32", len(part))
+        return {c: _array(part[c], c in whole) for c in kept}, list(index), of
+
+    def each(held: list, first: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[list, list, list, list]:
+        """What `several` gives, of a step that has none."""
+        taken, made, others, ends = [], [], [], [*first[1:].tolist(), len(columns[order[0]])]
+        values = zip(*[_listed(c, columns[c]) for c in needed]) if needed else repeat(())
+        for k, (lo, hi) in enumerate(zip(first.tolist(), ends)):
+            for i in range(lo, hi):
+                held[k], got = step.step(held[k], dict(zip(needed, next(values))))
+                if isinstance(got, list):
+                    others += got
+                elif got is not None:
+                    taken.append(i)
+                    made.append(got)
+        return held, taken, [pd.Series(list(v), dtype="object") for v in zip(*made)], others
+
+    def stepped(keys: dict, rows: Rows) -> Iterator[pd.DataFrame]:
+        """Runs the step over rows that are ready, and puts the new states into keys."""
+        columns, own, of = rows
+        by = np.lexsort([*[_ranks(columns[c]) for c in reversed(order)], of])
+        columns, of = {c: v[by] for c, v in columns.items()}, of[by]
+
+        def place(i: int) -> tuple:
+            return tuple((False,) if v is None else (True, v) for v in (_item(columns[c][i]) for c in order))
+
+        def begins() -> np.ndarray:
+            return np.flatnonzero(np.diff(of, prepend=-1))
+
+        late = np.zeros(len(of), bool)
+        for lo, hi in zip(first := begins().tolist(), [*first[1:], len(of)]):
+            last = keys.get(own[of[lo]])
+            while last is not None and lo < hi and place(lo) < last[1][1]:  # before a row of an earlier micro-batch
+                late[lo], lo = True, lo + 1
+        if late.any():
+            columns, of = {c: v[~late] for c, v in columns.items()}, of[~late]
+        if not len(of):
+            return
+        first = begins()
+        mine = [own[k] for k in of[first].tolist()]
+        held = [keys[k][0] if k in keys else step.init() for k in mine]
+        row_at = lambda i: {c: (None if c == "_ms" and v[i] == NEVER else _item(v[i])) for c, v in columns.items()}
+        held, taken, made, others = several(held, first, {c: columns[c] for c in needed}, row_at) if several else each(held, first, columns)
+        for k, state, i in zip(mine, held, [*(first[1:] - 1).tolist(), len(of) - 1]):
+            keys[k] = state, (int(columns["_ms"][i]) if hold else 0, place(i))
+        if len(taken):
+            at = np.asarray(taken, "int64")
+            yield timed({**{c: columns[c][at] for c in passing}, **dict(zip(added, made))})
+        yield from framed(others)
+
+    def framed(made: list) -> Iterator[pd.DataFrame]:
+        if made:
+            values = zip(*[(*[row[c] for c in passing], *more) for row, more in made])
+            yield timed({n: pd.Series(list(v), dtype="object") for n, v in zip(names, values)})
+
+    def timed(made: dict) -> pd.DataFrame:
+        """Times are typed, as Spark takes others for UTC."""
+        return pd.DataFrame({n: pd.Series(v, dtype="datetime64[ns]") if n in times else v for n, v in made.items()})
 
     def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        keys, waiting = pickle.loads(state.get[0]) if state.exists else ({}, [])
-        passed, made = state.getCurrentWatermarkMs() if hold else None, []
-
-        def emit(got: list) -> None:
-            made.extend((*[row[c] for c in passing], *values) for row, values in got)
-
-        if not state.hasTimedOut:
-            for part in parts:
-                waiting += rows_of(part)
-        ready = [r for r in waiting if not hold or r[1] < passed]
-        waiting = [r for r in waiting if hold and r[1] >= passed]
-        ready.sort(key=lambda r: r[0])
-        for place, ms, own, values in ready:
-            held, last = keys[own] if own in keys else (step.init(), None)
-            if last is not None and place < last[1]:  # before a row of an earlier micro-batch
-                continue
-            row = dict(zip(kept, values))
-            for c in times:
-                row[c] = pd.Timestamp(row[c]) if row[c] is not None else None
-            held, got = step.step(held, row)
-            keys[own] = held, (ms, place)
-            if got is not None:
-                emit(got if isinstance(got, list) else [(row, got)])
-        due = min((r[1] for r in waiting), default=None)
+        warnings.filterwarnings("ignore", "The behavior of DataFrame concatenation", FutureWarning)  # of Spark's own padding
+        keys, waiting = pickle.loads(state.get[0]) if state.exists else ({}, None)
+        passed = state.getCurrentWatermarkMs() if hold else None
+        blocks = [*([waiting] if waiting else []), *([] if state.hasTimedOut else (rows_of(p) for p in parts if len(p)))]
+        ready, waiting = (_united(blocks) if blocks else None), None
+        if ready and hold:
+            held = ready[0]["_ms"] >= passed
+            if held.all():
+                ready, waiting = None, ready
+            elif held.any():
+                ready, waiting = _picked(ready, ~held), _picked(ready, held)
+        if ready:
+            yield from stepped(keys, ready)
+        due = int(waiting[0]["_ms"].min()) if waiting else None
         if idle_ms is not None:
-            busy = {r[2] for r in waiting}
+            busy, gone = set(waiting[1]) if waiting else set(), []
             for own in [k for k, (_, last) in keys.items() if k not in busy and last[0] + idle_ms < passed]:
-                emit(finish(keys.pop(own)[0]))
+                gone += finish(keys.pop(own)[0])
+            yield from framed(gone)
             due = min([*[due] * (due is not None), *[last[0] + idle_ms for k, (_, last) in keys.items() if k not in busy]], default=None)
         if keys or waiting:
             state.update((pickle.dumps((keys, waiting), pickle.HIGHEST_PROTOCOL),))
@@ -277,8 +395,6 @@ def with_state(stream: Flow, step: Step, added: dict[str, str], idle_ms: int | N
                 state.setTimeoutTimestamp(max(due, passed + 1))
         elif state.exists:
             state.remove()
-        if made:
-            yield pd.DataFrame({n: pd.Series(list(values), dtype="object") for n, values in zip(names, zip(*made))})
 
     timeout = GroupStateTimeout.EventTimeTimeout if hold else GroupStateTimeout.NoTimeout
     bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)) if key else F.lit(0).cast("long")
