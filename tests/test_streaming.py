@@ -218,6 +218,45 @@ def test_times_come_out_as_they_went_in(spark, source, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+@pytest.mark.parametrize("main", [None, 1])
+def test_latest_of_keys_at_once(main):
+    """Over two micro-batches, row for row as told by hand."""
+    rng, step = random.Random(3), stateful.Latest((1, 2, 3), "src", "value", main)
+    rows = {k: [(rng.choice([1, 2, 3, 4]), rng.choice([None, n])) for n in range(rng.randrange(1, 30))] for k in range(40)}
+    held, got = {k: step.init() for k in rows}, {k: [] for k in rows}
+    for part in (0, 1):
+        mine = {k: own for k, r in rows.items() if (own := r[: len(r) // 2] if part == 0 else r[len(r) // 2 :])}
+        first = np.cumsum([0, *map(len, mine.values())])[:-1]
+        flat = [(k, *r) for k, own in mine.items() for r in own]
+        columns = {"src": np.array([r[1] for r in flat]), "value": np.array([r[2] for r in flat], object)}
+        states, taken, made, others = step.several([held[k] for k in mine], first, columns, None)
+        held.update(zip(mine, states))
+        for i, *values in zip(taken.tolist(), *made):
+            got[flat[i][0]].append(tuple(values))
+        assert others == []
+    for k, own in rows.items():
+        want, seen = [], {}
+        for src, value in own:
+            seen[src] = value
+            if {1, 2, 3} <= set(seen) and main in (None, src):
+                want.append((seen[1], seen[2], seen[3]))
+        assert got[k] == want
+    assert sum(map(len, got.values()))
+
+
+def test_combine_latest_in_a_stream(spark, source, tmp_path):
+    batch, _ = source
+    tagged = lambda f: f.of(f.df.withColumn("src", F.when(F.col("value") == 1, "one").when(F.col("value") == 2, "two").otherwise("three")), value="ts")
+    got = ended(spark, tmp_path, lambda s: stateful.combine_latest(tagged(s), "src", ("one", "two", "three"), ("a", "b", "c")))
+    want, seen = [], {}
+    for r in sorted(batch.df.collect(), key=lambda r: r["ord"]):
+        mine = seen.setdefault(r["k"], {})
+        mine[r["value"]] = r["ts"]
+        if len(mine) == 3:
+            want.append((r["ord"], mine[1], mine[2], mine[3]))
+    assert sorted((r["ord"], r["a"], r["b"], r["c"]) for r in got.collect()) == sorted(want) and want
+
+
 def test_buffer_time_merge_and_distinct_within(source, spark, tmp_path):
     batch, stream = source
     out = ended(spark, tmp_path, lambda s: stateful.buffer_time(s.df, "ts", 1000, "value", ("k",), ("ord",)).withColumn("ord", F.lit(0)))

@@ -120,36 +120,39 @@ class Windowed(Step):
 
 @dataclass
 class Latest(Step):
-    """Latest value of each of some sources, once all were seen."""
+    """Latest value of each of some sources, once all were seen; with `main`, at that source's rows only."""
 
     sources: tuple
     tag: str
     value: str
+    main: Any = None
 
-    def init(self):
-        return {}
-
-    def step(self, seen, row):
-        seen = {**seen, row[self.tag]: row[self.value]}
-        return seen, (tuple(seen[s] for s in self.sources) if all(s in seen for s in self.sources) else None)
-
-
-@dataclass
-class LatestFrom(Step):
-    """Rows of one source with the latest value of each other source, once all of those were seen."""
-
-    main: str
-    others: tuple
-    tag: str
-    value: str
+    def reads(self):
+        return self.tag, self.value
 
     def init(self):
         return {}
 
-    def step(self, seen, row):
-        if row[self.tag] != self.main:
-            return {**seen, row[self.tag]: row[self.value]}, None
-        return seen, ((row[self.value], *[seen[s] for s in self.others]) if all(s in seen for s in self.others) else None)
+    def several(self, held, first, columns, row_at):
+        tags, values = columns[self.tag], columns[self.value]
+        n, ends = len(tags), [*first[1:].tolist(), len(tags)]
+        begins, last = np.repeat(first, np.diff(first, append=n)), np.array(ends) - 1
+        seen, made, states = np.ones(n, bool), [], [dict(h) for h in held]
+        for source in self.sources:
+            at = np.maximum.accumulate(np.where(tags == source, np.arange(n), -1))
+            known, latest = at >= begins, values[at]
+            for h, lo, hi in zip(held, first.tolist(), ends):
+                if source in h:  # of an earlier micro-batch
+                    latest = latest.astype(object) if latest.dtype.kind != "O" and latest.dtype.kind != "M" else latest
+                    before = np.flatnonzero(~known[lo:hi]) + lo
+                    latest[before], known[before] = h[source], True
+            for s, k, v in zip(states, known[last], latest[last]):
+                if k:
+                    s[source] = _item(v)
+            seen &= known
+            made.append(latest)
+        taken = np.flatnonzero(seen if self.main is None else seen & (tags == self.main))
+        return states, taken, [latest[taken] for latest in made], []
 
 
 @dataclass
@@ -461,7 +464,7 @@ def combine_latest(stream: Flow, tag: str, sources: tuple, names: tuple[str, ...
 def with_latest_from(stream: Flow, tag: str, main: str, others: tuple, names: tuple[str, ...]) -> DataFrame:
     """stream: the union of the sources, told apart by the column `tag`. names: for the main value, then the others'."""
     kind = stream.df.schema[stream.value].dataType.simpleString()
-    return with_state(stream, LatestFrom(main, others, tag, stream.value), {n: kind for n in names})
+    return with_state(stream, Latest((main, *others), tag, stream.value, main), {n: kind for n in names})
 
 
 def debounce(stream: Flow, ms: int) -> DataFrame:
